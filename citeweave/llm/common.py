@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,6 +140,58 @@ def shingle_hashes(words: np.ndarray, n: int = 5) -> np.ndarray:
     return np.unique(mix(out))
 
 
+# -- groups -------------------------------------------------------------------------------------
+class Forest:
+    """Union-find over the positions of a group: only links between trees are kept."""
+
+    def __init__(self, n: int):
+        self.root = list(range(n))
+
+    def find(self, x: int) -> int:
+        root = self.root
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        p, q = self.find(x), self.find(y)
+        self.root[max(p, q)] = min(p, q)
+        return p != q
+
+
+def by_group(df: DataFrame, keys: list[str], order: str, work: Callable, schema: str) -> DataFrame:
+    """work(rows of one group, as a dict of lists) gives rows of schema; many small groups share one Arrow batch.
+
+    Groups arrive sorted, so a task holds one group at a time.
+    """
+    names = df.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, list] = {n: [] for n in names}
+        at, out = None, []
+        for batch in batches:
+            ids = list(zip(*(batch[k].tolist() for k in keys)))
+            cols = {n: batch[n].tolist() for n in names}
+            start = 0
+            for k in range(len(ids) + 1):
+                if k == len(ids) or ids[k] != at:
+                    for n in names:
+                        held[n].extend(cols[n][start:k])
+                    start = k
+                    if k < len(ids):
+                        if at is not None:
+                            out.extend(work(held))
+                        at, held = ids[k], {n: [] for n in names}
+            if out:
+                yield pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(",")])
+                out = []
+        if at is not None and (out := list(work(held))):
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(",")])
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run, schema)
+
+
 # -- components ---------------------------------------------------------------------------------
 def connected_components(scratch: Scratch, edges: DataFrame, label: str) -> DataFrame:
     """(node, comp) for every node of edges (a, b): comp is the least node that it is connected with.

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import _powers, Scratch, connected_components, maybe_broadcast, mix, table, word_hashes
+from citeweave.llm.common import Forest, Scratch, _powers, by_group, connected_components, maybe_broadcast, mix, table, word_hashes
 
 
 @dataclass(frozen=True)
@@ -236,47 +236,46 @@ def group_links(members: DataFrame, s: Settings) -> DataFrame:
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = placed.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "words")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node")
-        nodes, words = pdf.node.to_numpy(), [np.asarray(x) for x in pdf.words]
-        cross = int(pdf.i.iloc[0]) != int(pdf.j.iloc[0])
-        side = pdf.block.to_numpy() != int(pdf.i.iloc[0])
+    def work(g: dict) -> list[tuple[int, int]]:
+        nodes, words = g["node"], [np.asarray(x) for x in g["words"]]
+        side = np.array(g["block"]) != g["i"][0]
+        if len(nodes) < 2:
+            return []
         n = np.array([len(x) for x in words])
+        d = s.distance(np.minimum(n[:, None], n[None, :]))
+        hit = np.abs(n[:, None] - n[None, :]) <= d
+        if g["i"][0] != g["j"][0]:
+            hit &= side[:, None] != side[None, :]
+        if len(nodes) > 12:  # an edit costs a line one of its distinct words at most
+            common, size = common_words(words)
+            hit &= np.maximum(size[:, None], size[None, :]) - common <= d
+        forest = Forest(len(nodes))
         kept = []
-        if len(nodes) > 1:
-            root = list(range(len(nodes)))
-
-            def find(x: int) -> int:
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            distinct = [np.unique(x) for x in words]
-            size = np.array([len(x) for x in distinct])
-            owner = np.repeat(np.arange(len(nodes)), size)
-            _, col, count = np.unique(np.concatenate(distinct), return_inverse=True, return_counts=True)
-            shared = count[col] > 1
-            owner, col = owner[shared], np.unique(col[shared], return_inverse=True)[1]
-            common = np.zeros((len(nodes), len(nodes)), np.float32)
-            for low in range(0, int(col.max()) + 1 if len(col) else 0, 4096):
-                part = (col >= low) & (col < low + 4096)
-                m = np.zeros((len(nodes), 4096), np.float32)
-                m[owner[part], col[part] - low] = 1
-                common += m @ m.T
-            d = s.distance(np.minimum(n[:, None], n[None, :]))
-            # an edit costs a line one of its distinct words at most
-            hit = (np.abs(n[:, None] - n[None, :]) <= d) & (np.maximum(size[:, None], size[None, :]) - common <= d)
-            if cross:
-                hit &= side[:, None] != side[None, :]
-            for x, y in np.argwhere(np.triu(hit, 1)):
-                p, q = find(x), find(y)
-                if p != q and within(words[x], words[y], int(d[x, y])):
-                    root[max(p, q)] = min(p, q)
-                    kept.append((nodes[x], nodes[y]))
-        return pd.DataFrame(kept, columns=["a", "b"], dtype="int64")
-
-    return dealt.groupBy("grp", "i", "j").applyInPandas(run, "a long, b long")
+        for x, y in np.argwhere(np.triu(hit, 1)).tolist():
+            if forest.find(x) != forest.find(y) and within(words[x], words[y], int(d[x, y])):
+                forest.join(x, y)
+                kept.append((nodes[x], nodes[y]))
+        return kept
+
+    return by_group(dealt, ["grp", "i", "j"], "node", work, "a long, b long")
+
+
+def common_words(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """How many distinct words each two of the lines share, and how many each has."""
+    distinct = [np.unique(x) for x in words]
+    size = np.array([len(x) for x in distinct])
+    owner = np.repeat(np.arange(len(words)), size)
+    _, col, count = np.unique(np.concatenate(distinct), return_inverse=True, return_counts=True)
+    shared = count[col] > 1
+    owner, col = owner[shared], np.unique(col[shared], return_inverse=True)[1]
+    common = np.zeros((len(words), len(words)), np.float32)
+    width = 1024
+    for low in range(0, int(col.max()) + 1 if len(col) else 0, width):
+        part = (col >= low) & (col < low + width)
+        m = np.zeros((len(words), min(width, int(col.max()) + 1 - low)), np.float32)
+        m[owner[part], col[part] - low] = 1
+        common += m @ m.T
+    return common, size
 
 
 def repeated_lines(docs: DataFrame, s: Settings = Settings()) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import Scratch, connected_components, maybe_broadcast, mix, shingle_hashes, table, word_hashes
+from citeweave.llm.common import Forest, Scratch, by_group, connected_components, maybe_broadcast, mix, shingle_hashes, table, word_hashes
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -149,6 +149,10 @@ def similar(sets: list[np.ndarray], left: np.ndarray, threshold: float) -> np.nd
     left: 0 or 1 for each set; with both present only pairs between them are wanted, else all.
     """
     size = np.array([len(x) for x in sets], np.float32)
+    if len(sets) <= 6:  # small groups are many
+        pairs = [(i, j, len(np.intersect1d(sets[i], sets[j], assume_unique=True))) for i in range(len(sets)) for j in range(i + 1, len(sets))]
+        pairs = [(i, j) for i, j, c in pairs if c >= threshold * (size[i] + size[j] - c) - 1e-3 and (left[i] != left[j] or left.all() or not left.any())]
+        return np.array(pairs, int).reshape(-1, 2)
     at = np.repeat(np.arange(len(sets)), size.astype(int))
     _, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     keep = count[col] > 1
@@ -184,30 +188,15 @@ def group_links(members: DataFrame, s: Settings) -> DataFrame:
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = placed.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "shingles")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node")
-        nodes = pdf.node.to_numpy()
-        i, j = int(pdf.i.iloc[0]), int(pdf.j.iloc[0])
-        if len(nodes) < 2 or i != j and pdf.block.nunique() < 2:
-            return pd.DataFrame({"a": nodes[:0], "b": nodes[:0]})
-        pairs = similar([np.asarray(x, np.int64) for x in pdf.shingles], (pdf.block.to_numpy() != i).astype(int), s.threshold)
-        root = list(range(len(nodes)))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        kept = []
-        for x, y in pairs:
-            p, q = find(x), find(y)
-            if p != q:
-                root[max(p, q)] = min(p, q)
-                kept.append((nodes[x], nodes[y]))
-        return pd.DataFrame(kept, columns=["a", "b"], dtype="int64")
-
-    return dealt.groupBy("grp", "i", "j").applyInPandas(run, "a long, b long")
+    def work(g: dict) -> list[tuple[int, int]]:
+        side = np.array(g["block"]) != g["i"][0]
+        if len(side) < 2 or g["i"][0] != g["j"][0] and (side.all() or not side.any()):
+            return []
+        forest, nodes = Forest(len(side)), g["node"]
+        pairs = similar([np.asarray(x, np.int64) for x in g["shingles"]], side.astype(int), s.threshold)
+        return [(nodes[x], nodes[y]) for x, y in pairs.tolist() if forest.join(x, y)]
+
+    return by_group(dealt, ["grp", "i", "j"], "node", work, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
