@@ -1,10 +1,652 @@
-"""The library's queries over the test tables, and the SQL that says what each returns."""
+"""The library's queries over the test tables, and the SQL that says what each returns.
+
+The tables hold no citations, so each query first makes them from columns, in the same way as its SQL does.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from citeweave.functions import matching as M
+from citeweave.functions import text as T
+from citeweave.operators import catalog as C
+from citeweave.operators import report as R
+from citeweave.operators.route import route
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+# -- SQL pieces ---------------------------------------------------------------------------------
+STOP = "('a','an','the','of','and','or','for','to','in','on','with','by')"
+
+
+def q_words(x: str, n: int, lower: bool = True) -> str:
+    w = f"regexp_extract_all(regexp_replace(coalesce({x}, ''), '[{{}}]', '', 'g'), '[a-zA-Z0-9]+(?:[''-][a-zA-Z0-9]+)*[?!]?')"
+    sig = (f"list_filter({w}, lambda w: lower(rtrim(w, '?!')) not in {STOP} and (length(rtrim(w, '?!')) >= 3 "
+           "or (regexp_matches(w, '[a-zA-Z]') and regexp_matches(w, '[0-9]'))))")
+    out = f"(case when len({sig}) >= 3 then {sig} else {w} end)[1:{n}]"
+    return f"list_transform({out}, lambda w: lower(w))" if lower else out
+
+
+def q_plain(x: str, n: int = 12) -> str:
+    return f"list_transform(regexp_extract_all(coalesce({x}, ''), '[a-zA-Z0-9]+(?:[''-][a-zA-Z0-9]+)*')[1:{n}], lambda w: lower(w))"
+
+
+def q_unescape(x: str) -> str:
+    for name, char in T.ENTITIES:
+        x = f"replace({x}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return x
+
+
+def q_title(x: str) -> str:
+    return f"regexp_replace(lower({q_unescape(f'coalesce({x}, {chr(39) * 2})')}), '[^a-z0-9]+', '', 'g')"
+
+
+def q_doi(x: str) -> str:
+    return f"lower(regexp_replace(regexp_replace(trim(coalesce({x}, '')), '^(?:https?://(?:dx\\.)?doi\\.org/|doi:\\s*)', '', 'i'), '[.,;:]+$', ''))"
+
+
+def q_space(x: str) -> str:
+    return f"trim(regexp_replace(coalesce({x}, ''), '\\s+', ' ', 'g'))"
+
+
+def q_url(x: str) -> str:
+    return f"lower(regexp_replace({q_space(x)}, '/+$', ''))"
+
+
+def q_round(x: str, digits: int) -> str:
+    return f"cast(printf('%.{digits}f', {x}) as double)"
+
+
+def q_arxiv(x: str) -> str:
+    patterns = [("arXiv[:\\s]+(\\d{4}\\.\\d{4,5}(?:v\\d+)?)", "i"), ("arxiv\\.org/abs/(\\d{4}\\.\\d{4,5}(?:v\\d+)?)", "i"), ("arXiv[:\\s]+([a-z\\-]+/\\d{7}(?:v\\d+)?)", "i"),
+                ("\\b(\\d{4}\\.\\d{4,5}(?:v\\d+)?)\\b", ""), ("\\b([a-z\\-]+/\\d{7}(?:v\\d+)?)\\b", "i")]
+    return "coalesce(" + ", ".join(f"nullif(regexp_extract({x}, '{p}', 1{', ' + chr(39) + o + chr(39) if o else ''}), '')" for p, o in patterns) + ")"
+
+
+def q_set_ratio(a: str, b: str) -> str:
+    return f"case when len({a}) = 0 or len({b}) = 0 then 0.0 else len(list_intersect({a}, {b}))::double / len(list_distinct({a})) end"
+
+
+def q_key(n: str) -> str:
+    """Author keys of the names that the queries make: `Surname, I.` or parts with prefixes and suffixes."""
+    s = f"regexp_replace({n}, '(?:\\s(?:jr|sr|ii|iii|iv|v)\\.*)+$', '', 'i')"
+    p = f"string_split({s}, ' ')"
+    pre = "('van','von','de','del','della','di','da','al','el','la','le','ben','ibn','mac','mc','o')"
+    last = f"case when len({p}) >= 3 and lower({p}[-3]) in {pre} then 3 when len({p}) >= 2 and lower({p}[-2]) in {pre} then 2 else 1 end"
+    return (f"case when contains({n}, ',') then trim(lower(left(trim(regexp_replace({n}, '^[^,]*,', '')), 1)) || ' ' || lower(trim(split_part({n}, ',', 1)))) "
+            f"else lower(left({n}, 1)) || ' ' || lower(array_to_string({p}[len({p}) - ({last}) + 1:], ' ')) end")
+
+
+# -- views --------------------------------------------------------------------------------------
+def first_sentence(c: str) -> F.Column:
+    return F.split_part(F.col(c), F.lit("."), F.lit(1))
+
+
+def record_view(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as arxiv (with abstracts), conversations' first turns as dblp, pages as openalex."""
+    name = lambda k: F.array(F.concat(F.lit("Ann Author"), (k % 5).cast("string")))
+    shape = lambda db, k, title, abstract, venue, url: [
+        F.lit(db).alias("db"), F.concat(F.lit(db[0]), k.cast("string")).alias("record_id"), title.alias("title"), T.normalize_title(title).alias("title_normalized"),
+        name(k).alias("authors"), abstract.alias("abstract"), (F.lit(2000) + k % 25).cast("int").alias("year"), venue.alias("venue"),
+        F.concat(F.lit("10.5555/"), k.cast("string")).alias("doi"), url.alias("url"),
+    ]
+    none = F.lit(None).cast("string")
+    a = read(spark, sf, "documents").select(*shape("arxiv", F.col("doc_id"), first_sentence("text"), F.col("text"), F.col("source"), none))
+    d = read(spark, sf, "conversations").where("turn = 0").select(*shape("dblp", F.col("conv_id"), first_sentence("text"), none, none, none))
+    o = read(spark, sf, "pages").select(*shape("openalex", F.col("page_id"), F.regexp_extract("html", "<title>([^<]*)</title>", 1), none, none, F.col("url")))
+    return a.unionAll(d).unionAll(o)
+
+
+def citation_view(spark: SparkSession, sf: str) -> DataFrame:
+    b = read(spark, sf, "benchmark")
+    title = first_sentence("text")
+    return b.select(
+        F.col("item_id").alias("citation_id"), title.alias("title"), F.array(F.concat(F.lit("Author"), (F.col("item_id") % 5).cast("string"), F.lit(", A."))).alias("authors"),
+        (F.lit(2000) + F.col("item_id") % 25).cast("int").alias("year"), T.query_words(title, 8).alias("words"), "text",
+    )
+
+
+Q_RECORDS = f"""records as (
+    select 'arxiv' as db, 'a' || doc_id as record_id, split_part(text, '.', 1) as title, 'Ann Author' || (doc_id % 5) as author, text as abstract, 2000 + doc_id % 25 as year, doc_id as k, null as url from documents
+    union all select 'dblp', 'd' || conv_id, split_part(text, '.', 1), 'Ann Author' || (conv_id % 5), null, 2000 + conv_id % 25, conv_id, null from conversations where turn = 0
+    union all select 'openalex', 'o' || page_id, regexp_extract(html, '<title>([^<]*)</title>', 1), 'Ann Author' || (page_id % 5), null, 2000 + page_id % 25, page_id, url from pages
+)"""
+Q_CITATIONS = f"""citations as (
+    select item_id as citation_id, split_part(text, '.', 1) as title, 2000 + item_id % 25 as year, item_id % 5 as author, {q_words("split_part(text, '.', 1)", 8)} as words, text from benchmark
+)"""
+Q_POSTINGS = f"postings as (select distinct unnest({q_words('title', 8)}) as word, record_id from records)"
+Q_HITS = """hits as (
+    select citation_id, db, record_id, n as matched_word_count from (
+        select *, row_number() over (partition by citation_id, db order by n desc, record_id) as r from (
+            select c.citation_id, r.db, r.record_id, count(*) as n, case when len(any_value(c.words)) <= 2 then 1 else 2 end as least
+            from (select citation_id, year, words, unnest(list_distinct(words)) as word from citations) c join postings p using (word) join records r using (record_id)
+            where r.year between c.year - 1 and c.year + 1 group by all
+        ) where n >= least
+    ) where r <= 4
+)"""
+Q_SCORED = f"""scored as (
+    select *, row_number() over (partition by citation_id, db order by lexical_score desc, matched_word_count desc, has_abstract desc, record_id) as rank from (
+        select citation_id, db, record_id, matched_word_count, matched_words, {q_round('t', 4)} as title_score, {q_round('a', 4)} as author_score, {q_round('y', 4)} as year_score,
+            {q_round('0.65::double * t + 0.25::double * a + 0.10::double * y', 4)} as lexical_score, has_abstract
+        from (
+            select h.*, array_to_string(list_sort(list_intersect(c.words, {q_words('r.title', 12)})), ' ') as matched_words,
+                len(list_intersect(c.words, {q_words('r.title', 12)}))::double / greatest(len(list_distinct(c.words)), 1) as t,
+                case when r.author = 'Ann Author' || c.author then 1.0::double else 0.0::double end as a,
+                case abs(c.year - r.year) when 0 then 1.0::double when 1 then 0.7::double when 2 then 0.3::double else 0.0::double end as y, coalesce(r.abstract, '') != '' as has_abstract
+            from hits h join citations c using (citation_id) join records r using (db, record_id)
+        ) where t >= 0.35
+    ) qualify rank <= 2
+)"""
+Q_LEX = f"with {Q_RECORDS}, {Q_CITATIONS}, {Q_POSTINGS}, {Q_HITS}"
+Q_CASCADE = """ranked as (select *, case db when 'arxiv' then 1 when 'dblp' then 2 else 3 end as pr from scored), masks as (
+    select citation_id,
+        coalesce(max(case when db = 'arxiv' and rank = 1 then (title_score >= 0.85 and author_score >= 0.5 and lexical_score >= 0.75)::int end), 0) = 1 as near,
+        arg_max(title_score < 0.75 or lexical_score < 0.65, (lexical_score, -pr, matched_word_count, has_abstract, -rank)) filter (where db != 'openalex') as weak
+    from ranked group by citation_id
+), cascaded as (
+    select *, row_number() over (partition by citation_id order by lexical_score desc, pr, matched_word_count desc, has_abstract desc, record_id) as retrieval_rank
+    from ranked join masks using (citation_id) where db = 'arxiv' or (not near and (db = 'dblp' or coalesce(weak, true)))
+)"""
+
+
+# -- text ---------------------------------------------------------------------------------------
+@query(f"select doc_id, array_to_string({q_words('split_part(text, chr(46), 1)', 8, False)}, ' ') as words8, array_to_string({q_plain('text')}, ' ') as plain12 from documents")
+def tokenize_titles(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", F.array_join(T.title_words(first_sentence("text"), 8), " ").alias("words8"), F.array_join(T.plain_words(F.col("text")), " ").alias("plain12"))
+
+
+@query(f"select page_id, {q_title('t')} as norm from (select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as t from pages)")
+def norm_title(spark, sf):
+    return read(spark, sf, "pages").select("page_id", T.normalize_title(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("norm"))
+
+
+@query(f"""select p_partkey, regexp_replace(regexp_replace(lower({q_unescape("v")}), '\\b(?:vol|volume|no|issue|pp|pages|proc|proceedings)\\b', ' ', 'g'), '[^a-z0-9]+', '', 'g') as norm
+    from (select p_partkey, 'Proc. of ' || p_name || ' &amp; Co, vol. ' || p_size || ' no 3, pp. 1-9' as v from part)""")
+def norm_venue(spark, sf):
+    v = F.concat(F.lit("Proc. of "), "p_name", F.lit(" &amp; Co, vol. "), F.col("p_size").cast("string"), F.lit(" no 3, pp. 1-9"))
+    return read(spark, sf, "part").select("p_partkey", T.normalize_venue(v).alias("norm"))
+
+
+def _doi(k="p_partkey", name="p_name"):
+    return F.concat(F.lit("https://dx.doi.org/10."), (1000 + F.col(k) % 9000).cast("string"), F.lit("/"), F.replace(F.col(name), F.lit(" "), F.lit("-")), F.lit(".,"))
+
+
+Q_DOI = "'https://dx.doi.org/10.' || (1000 + p_partkey % 9000) || '/' || replace(p_name, ' ', '-') || '.,'"
+
+
+@query(f"select p_partkey, {q_doi(Q_DOI)} as norm, {q_doi(chr(39) + 'doi: 10.1/' + chr(39) + ' || p_name')} as bare from part")
+def norm_doi(spark, sf):
+    return read(spark, sf, "part").select("p_partkey", T.normalize_doi(_doi()).alias("norm"), T.normalize_doi(F.concat(F.lit("doi: 10.1/"), "p_name")).alias("bare"))
+
+
+@query(f"select page_id, {q_url('url')} as norm from pages")
+def norm_url(spark, sf):
+    return read(spark, sf, "pages").select("page_id", T.normalize_url(F.col("url")).alias("norm"))
+
+
+@query(f"select doc_id, {q_space('text')} as norm, lower({q_space('text')}) as low from documents")
+def norm_space(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", T.normalize_space(F.col("text")).alias("norm"), T.normalize_text(F.col("text")).alias("low"))
+
+
+Q_ARXIV_TEXT = """case o_orderkey % 4 when 0 then 'arXiv: ' || lpad((o_orderkey % 10000)::varchar, 4, '0') || '.' || lpad((o_custkey % 100000)::varchar, 5, '0') || 'v2'
+    when 1 then 'see arxiv.org/abs/' || lpad((o_orderkey % 10000)::varchar, 4, '0') || '.' || lpad((o_custkey % 100000)::varchar, 5, '0')
+    when 2 then 'arXiv:hep-th/' || lpad((o_custkey % 10000000)::varchar, 7, '0') else 'no id ' || o_custkey end"""
+
+
+def _arxiv_text():
+    a, b = F.lpad((F.col("o_orderkey") % 10000).cast("string"), 4, "0"), F.lpad((F.col("o_custkey") % 100000).cast("string"), 5, "0")
+    k = F.col("o_orderkey") % 4
+    return (F.when(k == 0, F.concat(F.lit("arXiv: "), a, F.lit("."), b, F.lit("v2"))).when(k == 1, F.concat(F.lit("see arxiv.org/abs/"), a, F.lit("."), b))
+            .when(k == 2, F.concat(F.lit("arXiv:hep-th/"), F.lpad((F.col("o_custkey") % 10000000).cast("string"), 7, "0"))).otherwise(F.concat(F.lit("no id "), F.col("o_custkey").cast("string"))))
+
+
+@query(f"select o_orderkey, {q_arxiv(Q_ARXIV_TEXT)} as arxiv_id from orders")
+def arxiv_id_extract(spark, sf):
+    return read(spark, sf, "orders").select("o_orderkey", T.extract_arxiv_id(_arxiv_text()).alias("arxiv_id"))
+
+
+@query(f"""select p_partkey, {q_doi("regexp_extract(l, '(10\\.\\d{4,9}/[-._;()/:A-Z0-9]+)', 1, 'i')")} as doi from (select p_partkey, {Q_DOI} as l from part)""")
+def doi_extract(spark, sf):
+    return read(spark, sf, "part").select("p_partkey", T.extract_doi_in_link(_doi()).alias("doi"))
+
+
+@query("""select o_orderkey, try_cast(regexp_extract('In: ' || o_orderpriority || ', ' || (1890 + o_orderkey % 250) || ', pp. 3', '\\b(19\\d{2}|20\\d{2})\\b', 1) as int) as year from orders""")
+def year_extract(spark, sf):
+    raw = F.concat(F.lit("In: "), "o_orderpriority", F.lit(", "), (1890 + F.col("o_orderkey") % 250).cast("string"), F.lit(", pp. 3"))
+    return read(spark, sf, "orders").select("o_orderkey", T.extract_year(raw).alias("year"))
+
+
+def _name(k, s):
+    k4 = F.col(k) % 5
+    n = F.col(s).cast("string")
+    return (F.when(k4 == 0, F.concat(F.lit("Van Dyk"), n, F.lit(", Q. R."))).when(k4 == 1, F.concat(F.lit("Quim van der Lor"), n)).when(k4 == 2, F.concat(F.lit("Ann de Bell"), n, F.lit(" Jr.")))
+            .when(k4 == 3, F.concat(F.lit("Bo Chen"), n, F.lit(" iii"))).otherwise(F.concat(F.lit("Cy"), n)))
+
+
+Q_NAME = """case {k} % 5 when 0 then 'Van Dyk' || {s} || ', Q. R.' when 1 then 'Quim van der Lor' || {s} when 2 then 'Ann de Bell' || {s} || ' Jr.' when 3 then 'Bo Chen' || {s} || ' iii' else 'Cy' || {s} end"""
+
+
+@query(f"select c_custkey, {q_key('n')} as key from (select c_custkey, {Q_NAME.format(k='c_custkey', s='c_nationkey')} as n from customer)")
+def author_key(spark, sf):
+    return read(spark, sf, "customer").select("c_custkey", T.author_key(_name("c_custkey", "c_nationkey")).alias("key"))
+
+
+@query(f"""with k as (select l_partkey, l_suppkey, {q_key('n')} as key from (select distinct l_partkey, l_suppkey, {Q_NAME.format(k='l_suppkey', s='l_suppkey % 7')} as n from lineitem)),
+    a as (select l_partkey, list(distinct key) as a from k group by 1), b as (select l_partkey, list(distinct key) filter (where l_suppkey % 3 > 0) as b from k group by 1)
+    select l_partkey, {q_round(q_set_ratio('a', 'coalesce(b, [])'), 4)} as overlap from a join b using (l_partkey)""")
+def author_overlap(spark, sf):
+    x = read(spark, sf, "lineitem").select("l_partkey", "l_suppkey", (F.col("l_suppkey") % 7).alias("s")).distinct().withColumn("n", _name("l_suppkey", "s"))
+    g = x.groupBy("l_partkey").agg(F.collect_set("n").alias("a"), F.collect_set(F.when(F.col("l_suppkey") % 3 > 0, F.col("n"))).alias("b"))
+    return g.select("l_partkey", T.round_half_even(T.author_overlap(F.col("a"), F.col("b")), 4).alias("overlap"))
+
+
+# -- catalogs -----------------------------------------------------------------------------------
+@query(f"with {Q_RECORDS}, {Q_POSTINGS} select word, record_id from postings")
+def postings_build(spark, sf):
+    return C.postings(record_view(spark, sf))
+
+
+@query(f"""with {Q_RECORDS} select count(*) as total, count(*) as with_doi, count(*) filter (where abstract != '') as with_abstract,
+    count(*) filter (where db = 'arxiv') as with_venue from records""")
+def catalog_stats(spark, sf):
+    return C.stats(record_view(spark, sf))
+
+
+def _events(spark, sf):
+    return read(spark, sf, "events").select("user_id", "event_id", "event_type", "value")
+
+
+@query("select user_id, event_id, event_type, value from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events) where r = 1")
+def upsert_last(spark, sf):
+    e = read(spark, sf, "events").select("user_id", "event_id", "event_type", "value", "ts")
+    return C.upsert(e, "user_id", ["ts", "event_id"], True).drop("ts")
+
+
+@query("select user_id, event_id, event_type, value from (select *, row_number() over (partition by user_id order by ts, event_id) as r from events) where r = 1")
+def upsert_first(spark, sf):
+    e = read(spark, sf, "events").select("user_id", "event_id", "event_type", "value", "ts")
+    return C.upsert(e, "user_id", ["ts", "event_id"], False).drop("ts")
+
+
+# -- exact --------------------------------------------------------------------------------------
+def exact_citations(spark, sf):
+    """Every tenth document as a citation: some by arXiv id, some by DOI, the rest by title."""
+    k = F.col("doc_id")
+    return read(spark, sf, "documents").where("doc_id % 10 = 0").select(
+        k.alias("citation_id"), F.when(k % 20 == 0, F.array(*map(F.lit, ("arxiv", "openalex", "dblp")))).otherwise(F.array(*map(F.lit, ("dblp", "openalex", "arxiv")))).alias("db_priority"),
+        (k % 50 != 0).alias("run_exact_match"), F.when(k % 30 == 0, F.concat(F.lit("a"), k.cast("string"))).alias("arxiv_id"),
+        F.when(k % 40 == 0, F.concat(F.lit("doi:10.5555/"), (k + 1).cast("string"))).alias("doi"), first_sentence("text").alias("title"),
+        F.array(F.concat(F.lit("A Author"), (k % 3).cast("string"))).alias("authors"), (F.lit(2000) + k % 25).cast("int").alias("year"),
+    )
+
+
+Q_EXACT = f"""c as (
+    select doc_id as citation_id, case when doc_id % 20 = 0 then ['arxiv', 'openalex', 'dblp'] else ['dblp', 'openalex', 'arxiv'] end as pr, case when doc_id % 30 = 0 then 'a' || doc_id end as arxiv_id,
+        case when doc_id % 40 = 0 then '10.5555/' || (doc_id + 1) end as doi, nullif({q_title("split_part(text, '.', 1)")}, '') as nt, 'Ann Author' || (doc_id % 3) as author, 2000 + doc_id % 25 as year
+    from documents where doc_id % 10 = 0 and doc_id % 50 != 0
+), r as (select *, {q_title('title')} as nt, '10.5555/' || k as doi from records), hit as (
+    select c.citation_id, r.db, r.record_id, pr, 1 as kind, c.year as cy, r.year as ry, (c.author = r.author) as same from c join r on c.arxiv_id = r.record_id and r.db = 'arxiv'
+    union all select c.citation_id, r.db, r.record_id, pr, 2, c.year, r.year, (c.author = r.author) from c join r on c.doi = r.doi
+    union all select c.citation_id, r.db, r.record_id, pr, 3, c.year, r.year, (c.author = r.author) from c join r on c.nt = r.nt
+), exact as (
+    select citation_id, db, record_id, case kind when 1 then 'arxiv_id_exact' when 2 then 'doi_exact' else case when cy = ry then 'title_year_exact' else 'title_exact' end end as match_type,
+        case when kind < 3 then 0.99::double when cy = ry then 0.93::double else 0.88::double end as confidence
+    from hit qualify row_number() over (partition by citation_id order by list_position(pr, db), kind, cy != ry, not same, record_id) = 1
+)"""
+
+
+@query(f"with {Q_RECORDS}, {Q_EXACT} select * from exact")
+def exact_priority(spark, sf):
+    return C.best_exact(exact_citations(spark, sf), record_view(spark, sf))
+
+
+@query(f"""with {Q_RECORDS}, t as (select record_id, {q_title('title')} as nt, year, k from records where db = 'arxiv')
+    select a.record_id as citation, b.record_id, case when a.year = b.year then 'title_year_exact' else 'title_exact' end as match_type
+    from t a join t b on a.nt = b.nt and a.record_id != b.record_id where a.nt != '' and a.k % 10 = 0""")
+def exact_title(spark, sf):
+    r = record_view(spark, sf).where("db = 'arxiv' and title_normalized != ''").select("record_id", "title_normalized", "year", F.substring("record_id", 2, 20).cast("long").alias("k"))
+    a = r.where("k % 10 = 0").select(F.col("record_id").alias("citation"), "title_normalized", F.col("year").alias("y"))
+    return a.join(r, "title_normalized").where("citation != record_id").select("citation", "record_id", F.when(F.col("y") == F.col("year"), "title_year_exact").otherwise("title_exact").alias("match_type"))
+
+
+# Words that the test tables have, in the place of the field keywords.
+Q_ANY = "(contains(t, '{0}') or contains(t, '{1}'))"
+
+
+@query(f"""select doc_id, db_priority, run_exact_match, confidence from (
+    select doc_id, case when x then 'arxiv,openalex,dblp' when has and (nlp or cs) then 'dblp,openalex,arxiv' when has and bio then 'openalex,arxiv,dblp' when nlp or cs then 'dblp,openalex,arxiv'
+        when bio then 'openalex,arxiv,dblp' else 'openalex,dblp,arxiv' end as db_priority, x or has as run_exact_match,
+        case when x then 0.95::double when has and (nlp or cs or bio) then 0.90::double when nlp then 0.82::double when cs then 0.78::double when bio then 0.78::double else 0.55::double end as confidence
+    from (select doc_id, doc_id % 7 = 0 as x, doc_id % 3 = 0 as has, contains(t, 'eaux') as nlp, contains(t, 'lich') as cs, contains(t, 'thon') as bio from (
+        select doc_id, lower({q_space("source || ' ' || split_part(text, '.', 1) || ' ' || left(text, 200)")}) as t from documents)))""")
+def route_plan(spark, sf):
+    k = F.col("doc_id")
+    plan = route(first_sentence("text"), F.col("source"), F.substring("text", 1, 200), F.when(k % 3 == 0, "10.1/x"), F.when(k % 7 == 0, "2001.00001"), F.lit(None).cast("string"), ["eaux"], ["lich"], ["thon"])
+    return read(spark, sf, "documents").select("doc_id", plan.alias("p")).select("doc_id", F.array_join("p.db_priority", ",").alias("db_priority"), "p.run_exact_match", "p.confidence")
+
+
+# -- lexical ------------------------------------------------------------------------------------
+def _lex(spark, sf):
+    r, c = record_view(spark, sf), citation_view(spark, sf)
+    return c, r, C.lexical_hits(c, r, C.postings(r))
+
+
+@query(f"{Q_LEX} select * from hits")
+def lexical_topk(spark, sf):
+    return _lex(spark, sf)[2]
+
+
+@query(f"{Q_LEX}, {Q_SCORED} select citation_id, db, record_id, matched_word_count, matched_words, title_score, author_score, year_score, lexical_score, rank from scored")
+def lexical_scored(spark, sf):
+    return C.lexical_scored(*_lex(spark, sf)).drop("has_abstract")
+
+
+@query(f"{Q_LEX}, {Q_SCORED}, {Q_CASCADE} select citation_id, db, record_id, lexical_score, pr as db_priority_rank, retrieval_rank from cascaded where retrieval_rank <= 10")
+def lexical_cascade(spark, sf):
+    return C.cascade(C.lexical_scored(*_lex(spark, sf))).select("citation_id", "db", "record_id", "lexical_score", "db_priority_rank", "retrieval_rank")
+
+
+# -- fusion -------------------------------------------------------------------------------------
+def _exact_of_benchmark(spark, sf):
+    """Every fourth citation has an exact match made up from its id."""
+    return citation_view(spark, sf).where("citation_id % 4 = 0").select(
+        "citation_id", F.lit("dblp").alias("db"), F.concat(F.lit("d"), F.col("citation_id").cast("string")).alias("record_id"),
+        F.when(F.col("citation_id") % 8 == 0, "doi_exact").otherwise("title_exact").alias("match_type"), F.when(F.col("citation_id") % 8 == 0, 0.99).otherwise(0.88).alias("confidence"),
+    )
+
+
+Q_FUSE_E = "case when citation_id % 8 = 0 then 'doi_exact' when citation_id % 4 = 0 then 'title_exact' end"
+
+
+@query(f"""with {Q_CITATIONS} select citation_id, case when citation_id % 4 = 0 then 'exact' end as selected_source, {Q_FUSE_E} as selected_match_type,
+    case when citation_id % 8 = 0 then 0.99::double when citation_id % 4 = 0 then 0.88::double else 0.0::double end as selected_confidence,
+    case when citation_id % 8 = 0 then 'high_confidence_exact' when citation_id % 4 = 0 then 'exact' else 'no_candidate' end as fusion_status,
+    case when citation_id % 4 = 0 then 'dblp' end as db, case when citation_id % 4 = 0 then 'd' || citation_id end as record_id, 0::bigint as candidate_count from citations""")
+def fuse_stage1(spark, sf):
+    return R.fuse(citation_view(spark, sf), _exact_of_benchmark(spark, sf))
+
+
+@query(f"""{Q_LEX}, {Q_SCORED}, {Q_CASCADE}, best as (select citation_id, count(*) as n, arg_min(db, retrieval_rank) as ldb, arg_min(record_id, retrieval_rank) as lid, arg_min(lexical_score, retrieval_rank) as ls
+        from cascaded where retrieval_rank <= 10 group by 1)
+    select citation_id, case when citation_id % 4 = 0 then 'exact' when n > 0 then 'lexical' end as selected_source, coalesce({Q_FUSE_E}, case when n > 0 then 'lexical' end) as selected_match_type,
+    case when citation_id % 8 = 0 then 0.99::double when citation_id % 4 = 0 then 0.88::double else coalesce(ls, 0.0::double) end as selected_confidence,
+    case when citation_id % 8 = 0 then 'high_confidence_exact' when citation_id % 4 = 0 then 'exact' when n > 0 then 'lexical' else 'no_candidate' end as fusion_status,
+    case when citation_id % 4 = 0 then 'dblp' else ldb end as db, case when citation_id % 4 = 0 then 'd' || citation_id else lid end as record_id, coalesce(n, 0)::bigint as candidate_count
+    from citations left join best using (citation_id)""")
+def fuse_stage2(spark, sf):
+    return R.fuse(citation_view(spark, sf), _exact_of_benchmark(spark, sf), C.cascade(C.lexical_scored(*_lex(spark, sf))))
+
+
+# -- verification -------------------------------------------------------------------------------
+def pair_view(spark, sf):
+    """Orders as citations against candidates that differ in a field by the keys' remainders."""
+    k = F.col("o_orderkey")
+    r = lambda n: k % n
+    title = F.concat(F.lit("A Study of "), "o_orderpriority", F.lit(" Effects in Large Systems "), F.col("o_custkey").cast("string"))
+    c_title = F.when(r(5) == 1, F.concat(title, F.lit(" Revised"))).when(r(5) == 2, F.lit("Quite Another Thing")).when(r(5) == 3, F.lit("")).otherwise(F.upper(title))
+    return read(spark, sf, "orders").select(
+        k.alias("citation_id"), F.when(r(11) == 0, F.lit(None).cast("string")).when(r(2) == 0, "exact").otherwise("lexical").alias("selected_source"),
+        F.when(r(11) == 0, F.lit(None).cast("string")).when(r(6) == 0, "doi_exact").when(r(2) == 0, "title_exact").otherwise("lexical").alias("selected_match_type"),
+        F.when(r(11) == 0, 0.0).when(r(6) == 0, 0.99).otherwise(0.5).alias("selected_confidence"), (r(11) != 0).alias("has_candidate"), title.alias("p_title"), c_title.alias("c_title"),
+        F.array(F.lit("Bo Chen"), F.lit("Ann Bell")).alias("p_authors"),
+        F.when(r(4) == 0, F.array(F.lit("Chen, B."), F.lit("A Bell"))).when(r(4) == 1, F.array(F.lit("Chen, B."))).when(r(4) == 2, F.array(F.lit("Z Nobody"))).otherwise(F.array().cast("array<string>")).alias("c_authors"),
+        F.lit(2000).alias("p_year"), F.when(r(7) == 6, F.lit(None).cast("int")).otherwise((F.lit(2000) + r(7) % 3).cast("int")).alias("c_year"),
+        F.when(r(3) == 0, F.concat(F.lit("doi:10.1/"), k.cast("string"))).alias("p_doi"), F.concat(F.lit("10.1/"), F.when(r(9) == 0, k).otherwise(k + 1).cast("string")).alias("c_doi"),
+        F.when(r(13) < 9, F.lit("https://arxiv.org/abs/1/")).alias("p_url"), F.when(r(13) < 4, F.lit("https://arxiv.org/abs/1")).when(r(13) < 7, F.lit("arxiv.org/abs/1")).otherwise(F.lit("http://x.org")).alias("c_url"),
+        F.when(r(8) < 3, F.lit("2001.00001")).alias("p_arxiv"), F.when(r(16) < 2, F.lit("2001.00001")).when(r(16) < 9, F.lit("2001.00002")).alias("c_arxiv"),
+    )
+
+
+Q_VERIFY = f"""p as (
+    select o_orderkey as k, o_orderkey % 11 != 0 as has, case when k % 11 = 0 then null when k % 2 = 0 then 'exact' else 'lexical' end as selected_source,
+        case when k % 11 = 0 then null when k % 6 = 0 then 'doi_exact' when k % 2 = 0 then 'title_exact' else 'lexical' end as mt, case when k % 11 = 0 then 0.0::double when k % 6 = 0 then 0.99::double else 0.5::double end as conf,
+        case k % 5 when 1 then 'partial' when 2 then 'mismatch' when 3 then 'unknown' else 'exact' end as tm, case k % 4 when 0 then 'exact' when 1 then 'partial' when 2 then 'mismatch' else 'unknown' end as am,
+        case when k % 7 = 6 then 'unknown' when (k % 7) % 3 = 0 then 'exact' when (k % 7) % 3 = 1 then 'partial' else 'mismatch' end as ym,
+        case when k % 3 != 0 then 'unknown' when k % 9 = 0 then 'exact' else 'mismatch' end as dm, case when k % 13 >= 9 then 'unknown' when k % 13 < 4 then 'exact' when k % 13 < 7 then 'partial' else 'mismatch' end as um,
+        case when k % 8 >= 3 or k % 16 >= 9 then 'unknown' when k % 16 < 2 then 'exact' else 'mismatch' end as xm
+    from orders
+), s as (
+    select *, {q_round('''0.40::double * (case tm when 'exact' then 1.0::double when 'partial' then 0.75::double when 'unknown' then 0.5::double else 0.0::double end)
+        + 0.25::double * (case am when 'exact' then 1.0::double when 'partial' then 0.65::double when 'unknown' then 0.5::double else 0.0::double end)
+        + 0.15::double * (case ym when 'exact' then 1.0::double when 'partial' then 0.65::double when 'unknown' then 0.5::double else 0.0::double end)
+        + 0.10::double * (case dm when 'exact' then 1.0::double when 'unknown' then 0.5::double else 0.0::double end)
+        + 0.05::double * (case um when 'exact' then 1.0::double when 'partial' then 0.7::double when 'unknown' then 0.5::double else 0.0::double end)
+        + 0.05::double * (case xm when 'exact' then 1.0::double when 'unknown' then 0.5::double else 0.0::double end)''', 4)} as raw from p
+), b as (select *, case when mt = 'doi_exact' and tm != 'mismatch' then greatest(raw, 0.92::double) else raw end as bs from s), v as (
+    select k as citation_id, selected_source, mt as selected_match_type, case when has then tm else 'unknown' end as title_match, case when has then am else 'unknown' end as author_match,
+        case when has then ym else 'unknown' end as year_match, case when has then dm else 'unknown' end as doi_match, case when has then um else 'unknown' end as url_match, case when has then xm else 'unknown' end as arxiv_match,
+        case when has then bs else 0.0::double end as bibliographic_score, case when has then greatest(conf, bs) else 0.0::double end as overall_confidence,
+        case when not has then 'hallucinated' when mt = 'doi_exact' and tm != 'mismatch' then 'verified' when tm = 'mismatch' then 'hallucinated'
+            when tm = 'partial' or am in ('partial', 'mismatch') or ym in ('partial', 'mismatch') then 'partially_verified' when tm = 'exact' then 'verified' else 'partially_verified' end as overall_status,
+        case when not has then 'no_candidate_found' when tm = 'mismatch' then 'title_mismatch' when mt = 'doi_exact' then 'exact_identifier_match'
+            when tm = 'exact' and am not in ('partial', 'mismatch') and ym not in ('partial', 'mismatch') and bs >= 0.75 then 'strong_metadata_match'
+            when am in ('partial', 'mismatch') or ym in ('partial', 'mismatch') then 'author/year mismatch' when tm = 'partial' then 'minor_title_mismatch' else 'author/year mismatch' end as verification_subcategory,
+        concat_ws(',', case when tm = 'partial' then 'minor_title_mismatch' end, case when am in ('partial', 'mismatch') then 'author_mismatch' end, case when ym in ('partial', 'mismatch') then 'year_mismatch' end) as found
+    from b
+), w as (
+    select *, case when verification_subcategory in ('no_candidate_found', 'title_mismatch') then 'Not Verified' when verification_subcategory in ('exact_identifier_match', 'strong_metadata_match') then 'Verified' else 'Partially Verified' end as verification_category,
+        case when verification_subcategory in ('no_candidate_found', 'title_mismatch', 'exact_identifier_match', 'strong_metadata_match') then verification_subcategory when found = '' then 'author_mismatch,year_mismatch' else found end as verification_reasons,
+        case when verification_subcategory = 'no_candidate_found' then 'No fused candidate was available for verification.' else concat_ws('; ', 'Selected candidate came from ' || selected_source, 'title=' || title_match, 'authors=' || author_match,
+            'year=' || year_match, case when doi_match != 'unknown' then 'doi=' || doi_match end, case when arxiv_match != 'unknown' then 'arxiv_id=' || arxiv_match end, 'overall_status=' || overall_status) || '.' end as explanation
+    from v
+)"""
+
+
+def _verified(spark, sf):
+    return R.verify(pair_view(spark, sf))
+
+
+@query(f"with {Q_VERIFY} select citation_id, title_match, author_match, year_match, doi_match, url_match, arxiv_match, bibliographic_score from w")
+def verify_fields(spark, sf):
+    return _verified(spark, sf).select("citation_id", *(f"{k}_match" for k in ("title", "author", "year", "doi", "url", "arxiv")), "bibliographic_score")
+
+
+@query(f"with {Q_VERIFY} select citation_id, overall_status, verification_category, verification_subcategory, verification_reasons, overall_confidence from w")
+def verify_status(spark, sf):
+    return _verified(spark, sf).select("citation_id", "overall_status", "verification_category", "verification_subcategory", "verification_reasons", "overall_confidence")
+
+
+@query(f"with {Q_VERIFY} select citation_id, explanation from w")
+def verify_explain(spark, sf):
+    return _verified(spark, sf).select("citation_id", "explanation")
+
+
+# -- semantic -----------------------------------------------------------------------------------
+def _to_judge(spark, sf):
+    """Documents as candidates of citations whose context is a benchmark item."""
+    b = read(spark, sf, "benchmark").select("item_id", F.col("text").alias("t"))
+    d = read(spark, sf, "documents").where("doc_id % 5 = 0").withColumn("item_id", F.col("doc_id") % 40)
+    k = F.col("doc_id")
+    return d.join(b, "item_id").select(
+        k.alias("citation_id"), (k % 15 != 0).alias("has_candidate"), F.when(k % 20 != 0, F.col("text")).alias("abstract"), first_sentence("text").alias("title"),
+        F.when(k % 35 == 0, F.array().cast("array<string>")).otherwise(F.array("t")).alias("lines"),
+    )
+
+
+Q_JUDGE = f"""j as (
+    select doc_id as citation_id, case when doc_id % 15 = 0 then 'no_selected_candidate' when doc_id % 20 = 0 then 'no_candidate_abstract' when doc_id % 35 = 0 then 'no_expanded_context' end as skip_reason,
+        {q_set_ratio(q_plain('b.text', 40), q_plain('d.text', 400))} as ratio
+    from documents d join benchmark b on d.doc_id % 40 = b.item_id where doc_id % 5 = 0
+), judged as (
+    select citation_id, skip_reason is not null as skipped, skip_reason, case when skip_reason is not null or ratio >= 0.15 and ratio < 0.35 then 'unclear' when ratio >= 0.6 then 'supported' when ratio >= 0.35 then 'partially_supported' else 'unsupported' end as support_label,
+        case when skip_reason is not null then 0.0::double else {q_round('ratio', 4)} end as support_score from j
+)"""
+
+
+@query(f"with {Q_JUDGE} select * from judged")
+def semantic_judge(spark, sf):
+    return R.judge(_to_judge(spark, sf))
+
+
+@query(f"with {Q_JUDGE} select *, case when citation_id % 10 = 0 then 'stage1' else 'stage2' end as stage from judged")
+def semantic_stages(spark, sf):
+    rows = _to_judge(spark, sf)
+    return R.judge_stages(R.judge(rows.where("citation_id % 10 = 0")), rows)
+
+
+@query(f"""with {Q_JUDGE}, x as (select *, case when citation_id % 10 = 0 then 'stage1' else 'stage2' end as stage from judged), y as (
+    select stage, count(*) as total_records, count(*) filter (where not skipped) as judged_records, count(*) filter (where skipped) as skipped_records,
+        count(*) filter (where not skipped and support_label = 'supported') as n_supported, count(*) filter (where not skipped and support_label = 'partially_supported') as n_partially_supported,
+        count(*) filter (where not skipped and support_label = 'unclear') as n_unclear, count(*) filter (where not skipped and support_label = 'unsupported') as n_unsupported from x group by stage)
+    select *, n_supported + n_partially_supported as supporting_count,
+        case when judged_records > 0 then {q_round('(n_supported + n_partially_supported)::double / judged_records * 100', 2)} else 0.0::double end as supporting_percentage from y""")
+def semantic_summary(spark, sf):
+    rows = _to_judge(spark, sf)
+    return R.semantic_summary(R.judge_stages(R.judge(rows.where("citation_id % 10 = 0")), rows))
+
+
+# -- reports ------------------------------------------------------------------------------------
+def _semantic_of_orders(spark, sf):
+    """Four of five orders have a semantic result."""
+    k = F.col("o_orderkey")
+    label = F.element_at(F.array(*map(F.lit, ("supported", "partially_supported", "unclear", "unsupported", "Odd"))), (k % 5 + 1).cast("int"))
+    return read(spark, sf, "orders").where("o_orderkey % 9 != 0").select(
+        k.alias("citation_id"), (k % 10 == 3).alias("skipped"), F.when(k % 10 == 3, "no_candidate_abstract").alias("skip_reason"), label.alias("support_label"), ((k % 8) / 8).alias("support_score"),
+    )
+
+
+Q_COMBINE = f"""{Q_VERIFY}, sem as (select o_orderkey as citation_id, o_orderkey % 10 = 3 as skipped, ['supported', 'partially_supported', 'unclear', 'unsupported', 'odd'][o_orderkey % 5 + 1] as support_label,
+    (o_orderkey % 8) / 8.0::double as support_score from orders where o_orderkey % 9 != 0), m as (
+    select w.*, coalesce(skipped, true) as semantic_skipped, case when coalesce(skipped, true) then 'skipped' when support_label = 'odd' then 'unclear' else support_label end as semantic_label, coalesce(support_score, 0.0::double) as semantic_score
+    from w left join sem using (citation_id)
+), combined as (
+    select *, combined_label in ('needs_manual_review', 'promising_but_needs_review', 'bibliographically_valid_but_semantically_unsupported', 'likely_problematic') as needs_review,
+        case when overall_status = 'hallucinated' and citation_id % 2 = 0 then null when citation_id % 3 = 0 then 'dblp' else 'arxiv' end as db from (
+        select *, case when overall_status = 'verified' and semantic_label in ('supported', 'partially_supported') then 'strongly_supported_citation'
+            when overall_status = 'verified' and semantic_label = 'unsupported' then 'bibliographically_valid_but_semantically_unsupported' when overall_status = 'hallucinated' then 'likely_problematic'
+            when semantic_skipped or semantic_label in ('unclear', 'unsupported') then 'needs_manual_review' else 'promising_but_needs_review' end as combined_label from m)
+)"""
+
+
+def _combined(spark, sf):
+    rows = R.combine(_verified(spark, sf), _semantic_of_orders(spark, sf))
+    db = F.when((F.col("overall_status") == "hallucinated") & (F.col("citation_id") % 2 == 0), F.lit(None)).when(F.col("citation_id") % 3 == 0, "dblp").otherwise("arxiv")
+    return rows.withColumn("db", db)
+
+
+@query(f"""with {Q_COMBINE} select citation_id, overall_status, semantic_label, semantic_skipped, semantic_score, combined_label, needs_review,
+    case author_match when 'exact' then 'match' when 'partial' then 'partial' else 'mismatch' end as author_status, case year_match when 'exact' then 'match' when 'partial' then 'partial' else 'mismatch' end as year_status from combined""")
+def report_combined(spark, sf):
+    return _combined(spark, sf).select(
+        "citation_id", "overall_status", "semantic_label", "semantic_skipped", "semantic_score", "combined_label", "needs_review",
+        M.shown(F.col("author_match")).alias("author_status"), M.shown(F.col("year_match")).alias("year_status"),
+    )
+
+
+def _q_domain(kind: str, column: str, domain: list[str]) -> str:
+    values = ", ".join(f"('{v}')" for v in domain)
+    return (f"select '{kind}' as kind, value, (select count(*) from combined where {column} = value) as count, "
+            f"{q_round(f'(select count(*) from combined where {column} = value)::double / (select count(*) from combined) * 100', 2)} as percentage from (values {values}) t(value)")
+
+
+@query(f"with {Q_COMBINE} {_q_domain('status', 'overall_status', R.STATUSES)} union all {_q_domain('label', 'semantic_label', R.LABELS)} union all {_q_domain('category', 'verification_category', R.CATEGORIES)}")
+def report_counts(spark, sf):
+    rows = _combined(spark, sf)
+    parts = [R.counts_in_order(rows, c, d).withColumn("kind", F.lit(k)) for k, c, d in (("status", "overall_status", R.STATUSES), ("label", "semantic_label", R.LABELS), ("category", "verification_category", R.CATEGORIES))]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
+@query(f"""with {Q_COMBINE} select verification_category, verification_subcategory, count(*) as count from combined group by rollup(verification_category, verification_subcategory)""")
+def report_subcats(spark, sf):
+    return _combined(spark, sf).rollup("verification_category", "verification_subcategory").agg(F.count("*").alias("count"))
+
+
+@query(f"""with {Q_COMBINE}, d as (select unnest(['verified', 'partially_verified', 'ambiguous', 'hallucinated']) as overall_status) select d.overall_status,
+    {', '.join(f"count(*) filter (where semantic_label = '{v}') as {v}" for v in R.LABELS)} from d left join combined using (overall_status) group by 1""")
+def report_crosstab(spark, sf):
+    return R.crosstab(_combined(spark, sf))
+
+
+@query(f"""with {Q_COMBINE} select coalesce(db, 'unknown') as db, count(*) as count, {q_round('sum(bibliographic_score::decimal(18,4))::double / count(*)', 4)} as average_bibliographic_score,
+    {q_round('coalesce(avg(semantic_score) filter (where not semantic_skipped), 0)', 4)} as average_semantic_score, {', '.join(f"count(*) filter (where overall_status = '{v}') as {v}" for v in R.STATUSES)} from combined group by 1""")
+def report_sources(spark, sf):
+    return R.source_summary(_combined(spark, sf))
+
+
+@query(f"""with {Q_COMBINE} select citation_id, overall_status, semantic_label, overall_confidence, row_number() over (order by (overall_status != 'hallucinated')::int, (overall_status != 'ambiguous')::int,
+    (semantic_label != 'unsupported')::int, -overall_confidence, citation_id) as position from combined where needs_review order by position limit 20""")
+def review_queue(spark, sf):
+    """The head of the queue that a report shows: its first 20."""
+    head = _combined(spark, sf).where("needs_review").orderBy(*R.review_order()).limit(20)
+    return head.withColumn("position", F.row_number().over(Window.orderBy(*R.review_order()))).select("citation_id", "overall_status", "semantic_label", "overall_confidence", "position")
+
+
+@query(f"""with {Q_COMBINE} select 'verify' as stage, count(*) filter (where overall_status = 'verified') || '/' || count(*) || ' verified' as metric from combined
+    union all select 'semantic', count(*) filter (where not semantic_skipped) || '/' || count(*) || ' semantic judgments' from combined union all select 'report', count(*) filter (where needs_review) || ' need review' from combined
+    union all select 'lexical', count(*) filter (where selected_source = 'lexical') || '/' || count(*) || ' citations retrieved' from combined""")
+def stage_metrics(spark, sf):
+    n = F.count("*")
+    one = _combined(spark, sf).agg(n.alias("n"), F.count_if(F.col("overall_status") == "verified").alias("v"), F.count_if(~F.col("semantic_skipped")).alias("s"), F.count_if("needs_review").alias("r"),
+                                   F.count_if(F.coalesce(F.col("selected_source") == "lexical", F.lit(False))).alias("l"))
+    row = lambda stage, *parts: F.struct(F.lit(stage).alias("stage"), F.concat(*parts).alias("metric"))
+    s = lambda c: F.col(c).cast("string")
+    return one.select(F.explode(F.array(
+        row("verify", s("v"), F.lit("/"), s("n"), F.lit(" verified")), row("semantic", s("s"), F.lit("/"), s("n"), F.lit(" semantic judgments")), row("report", s("r"), F.lit(" need review")),
+        row("lexical", s("l"), F.lit("/"), s("n"), F.lit(" citations retrieved")),
+    )).alias("x")).select("x.*")
+
+
+# -- contexts and references --------------------------------------------------------------------
+Q_MARKED = "'Text of ' || l_partkey || ' here [' || (l_linenumber) || ', ' || (l_linenumber + 2) || '-' || (l_linenumber + 4) || ']. Next one follows. See [' || (l_suppkey % 9) || '] too.'"
+
+
+def _marked():
+    s = lambda c: c.cast("string")
+    n = F.col("l_linenumber")
+    return F.concat(F.lit("Text of "), s(F.col("l_partkey")), F.lit(" here ["), s(n), F.lit(", "), s(n + 2), F.lit("-"), s(n + 4), F.lit("]. Next one follows. See ["), s(F.col("l_suppkey") % 9), F.lit("] too."))
+
+
+@query(f"""with s as (select l_orderkey, l_linenumber, string_split({Q_MARKED.replace("'. Next", "'. Next")}, '. ') as raw, l_suppkey % 9 as q from lineitem),
+    t as (select l_orderkey, l_linenumber, [raw[1] || '.', raw[2] || '.', raw[3]] as x, q from s)
+    select l_orderkey, l_linenumber, 1 as pos, l_linenumber || ',' || (l_linenumber + 2) || ',' || (l_linenumber + 3) || ',' || (l_linenumber + 4) as ids, x[1] || ' ' || x[2] as context from t
+    union all select l_orderkey, l_linenumber, 3, q::varchar, x[2] || ' ' || x[3] from t""")
+def sentence_contexts(spark, sf):
+    """Sentences with markers, the numbers in them, and the sentences before and after."""
+    x = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", T.split_sentences(_marked()).alias("s"))
+    x = x.select("l_orderkey", "l_linenumber", "s", F.posexplode("s").alias("p", "sentence")).withColumn("ids", T.citation_ids(F.col("sentence"))).where("size(ids) > 0")
+    near = F.filter(F.array(F.when(F.col("p") > 0, F.get("s", F.col("p") - 1)), F.col("sentence"), F.get("s", F.col("p") + 1)), lambda v: v.isNotNull())
+    return x.select("l_orderkey", "l_linenumber", (F.col("p") + 1).alias("pos"), F.array_join(F.transform("ids", lambda v: v.cast("string")), ",").alias("ids"), F.array_join(near, " ").alias("context"))
+
+
+@query("""with e as (select user_id, event_id, case when event_id % 3 = 0 then event_type end as v, row_number() over (partition by user_id order by event_id) as reference_id from events)
+    select user_id, event_id, reference_id, coalesce(v, last_value(v ignore nulls) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding)) as authors from e""")
+def same_as_previous(spark, sf):
+    by = Window.partitionBy("user_id").orderBy("event_id")
+    v = F.when(F.col("event_id") % 3 == 0, F.col("event_type"))
+    return read(spark, sf, "events").select(
+        "user_id", "event_id", F.row_number().over(by).alias("reference_id"),
+        F.coalesce(v, F.last(v, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))).alias("authors"),
+    )
+
+
+@query("""select o_orderkey, trim(case when o_orderkey % 3 = 0 then 'Body of ' || o_custkey else 'Body of ' || o_custkey || ' without a list' end) as body,
+    case when o_orderkey % 3 = 0 then 'References' || chr(10) || '[1] X' else '' end as refs from orders""")
+def split_sections(spark, sf):
+    c = F.col("o_custkey").cast("string")
+    text = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("Body of "), c, F.lit("\nReferences\n[1] X"))).otherwise(F.concat(F.lit("Body of "), c, F.lit(" without a list")))
+    return read(spark, sf, "orders").select("o_orderkey", T.split_sections(text).alias("x")).select("o_orderkey", F.regexp_replace("x.body", r"\s+$", "").alias("body"), F.regexp_replace("x.refs", r"^\s+", "").alias("refs"))
+
+
+@query("select lower(regexp_replace(p_name, '[^a-zA-Z0-9]+', '_', 'g')) || '_' || p_size as tag, p_partkey from part")
+def run_tags(spark, sf):
+    return read(spark, sf, "part").select(T.run_tag(F.concat("p_name", F.lit(" - "), F.col("p_size").cast("string"))).alias("tag"), "p_partkey")
