@@ -110,9 +110,11 @@ def randomised_svd(rows: DataFrame, n_cols: int, rank: int, s: Settings) -> np.n
                     total[cols] += np.outer(vals, vals @ shared.value[cols])
             yield pd.DataFrame({"m": [total.tobytes()]})
 
-        got = rows.mapInPandas(run, "m binary").collect()
-        shared.unpersist()
-        return sum((np.frombuffer(bytes(r.m)).reshape(x.shape) for r in got), np.zeros_like(x))
+        total = np.zeros_like(x)
+        for r in rows.mapInPandas(run, "m binary").toLocalIterator():  # one partition's sum at a time
+            total += np.frombuffer(r.m).reshape(x.shape)
+        shared.destroy()
+        return total
 
     for _ in range(s.powers):
         x = np.linalg.qr(project(x))[0]
@@ -135,7 +137,7 @@ def spaces(spark: SparkSession, items: list[tuple[int, np.ndarray]], idf: np.nda
         index[vocabulary] = np.arange(len(vocabulary))
         vals = [idf[c] / np.linalg.norm(idf[c]) for _, c in part]
         rows = spark.createDataFrame([(index[c].tolist(), v.astype(float).tolist()) for (_, c), v in zip(part, vals)], "cols array<int>, vals array<double>")
-        basis = randomised_svd(rows.repartition(max(1, min(16, len(part) // 64))), len(vocabulary), len(part), s)
+        basis = randomised_svd(rows.coalesce(max(1, len(part) // 256)), len(vocabulary), len(part), s)
         queries = np.stack([v @ basis[index[c]] for (_, c), v in zip(part, vals)])
         out.append(Space(index, (basis * idf[vocabulary][:, None]).astype(np.float32), queries.astype(np.float32), np.array([k for k, _ in part])))
     return out
