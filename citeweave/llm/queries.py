@@ -34,11 +34,10 @@ ORACLE_SQL: dict[str, str] = {
             union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'
         ), shaped as (
             select conv_id, role, text, row_number() over (partition by conv_id order by turn nulls last, role, text) as pos,
-                4 + length(replace(replace(regexp_replace(replace(role, '\', '\\'), '###', '#\##', 'g'), '</turn>', '<\/turn>'), ':', '\:')) + 2
-                + length(replace(regexp_replace(replace(text, '\', '\\'), '###', '#\##', 'g'), '</turn>', '<\/turn>')) + 8 as n
+                4 + (length(role) + length(role) - length(replace(role, '\', '')) + (length(role) - length(replace(role, '</turn>', ''))) // 7 + coalesce(list_sum(list_transform(regexp_extract_all(role, '#{3,}'), lambda x: length(x) - 2)), 0)) + (length(role) - length(replace(role, ':', ''))) + 2 + (length(text) + length(text) - length(replace(text, '\', '')) + (length(text) - length(replace(text, '</turn>', ''))) // 7 + coalesce(list_sum(list_transform(regexp_extract_all(text, '#{3,}'), lambda x: length(x) - 2)), 0)) + 8 as n
             from all_rows
         )
-        select conv_id, count(*) as n_turns,
+        select conv_id, count(*)::bigint as n_turns,
             sha256(string_agg(role || chr(10) || text || chr(10), '' order by pos)) as turns_sha256,
             coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
             sha256(coalesce(string_agg(text, '' order by pos) filter (where role = 'assistant'), '')) as loss_sha256,
