@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,25 +45,32 @@ def _result(label: Column, score: Column) -> Column:
 
 
 def _cases(*cases: tuple[Column | None, str, float]) -> Column:
-    label = score = None
+    out = None
     for test, name, value in cases:
+        shown = _result(F.lit(name), F.lit(value))
         if test is None:
-            return _result(label.otherwise(name), score.otherwise(value))
-        label = F.when(test, name) if label is None else label.when(test, name)
-        score = F.when(test, value) if score is None else score.when(test, value)
+            return out.otherwise(shown)
+        out = F.when(test, shown) if out is None else out.when(test, shown)
     raise ValueError("the last case needs no test")
 
 
+def _both(a: Column, b: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """body of two normalised values, each computed once."""
+    return T.let(F.struct(a.alias("x"), b.alias("y")), lambda v: body(v["x"], v["y"]))
+
+
 def title_match(a: Column, b: Column) -> Column:
-    x, y = T.normalize_title(a), T.normalize_title(b)
     overlap = T.overlap_ratio(T.plain_words(a), T.plain_words(b))
-    return _cases(((x == "") | (y == ""), "unknown", 0.5), (x == y, "exact", 1.0), (overlap >= 0.75, "partial", 0.75), (None, "mismatch", 0.0))
+    return _both(
+        T.normalize_title(a), T.normalize_title(b),
+        lambda x, y: _cases(((x == "") | (y == ""), "unknown", 0.5), (x == y, "exact", 1.0), (overlap >= 0.75, "partial", 0.75), (None, "mismatch", 0.0)),
+    )
 
 
 def author_match(a: Column, b: Column) -> Column:
-    overlap = T.author_overlap(a, b)
     missing = F.coalesce(F.size(a) == 0, F.lit(True)) | F.coalesce(F.size(b) == 0, F.lit(True))
-    return _cases((missing, "unknown", 0.5), (overlap >= 0.8, "exact", 1.0), (overlap > 0, "partial", 0.65), (None, "mismatch", 0.0))
+    overlap = T.author_overlap(a, b)
+    return T.let(overlap, lambda share: _cases((missing, "unknown", 0.5), (share >= 0.8, "exact", 1.0), (share > 0, "partial", 0.65), (None, "mismatch", 0.0)))
 
 
 def year_match(a: Column, b: Column) -> Column:
@@ -70,22 +79,25 @@ def year_match(a: Column, b: Column) -> Column:
 
 
 def venue_match(a: Column, b: Column) -> Column:
-    x, y = T.normalize_venue(a), T.normalize_venue(b)
     overlap = T.overlap_ratio(T.plain_words(a), T.plain_words(b))
-    return _cases(
-        ((x == "") | (y == ""), "unknown", 0.5), (x == y, "exact", 1.0), (F.contains(x, y) | F.contains(y, x), "partial", 0.7),
-        (overlap >= 0.5, "partial", 0.6), (None, "mismatch", 0.0),
+    return _both(
+        T.normalize_venue(a), T.normalize_venue(b),
+        lambda x, y: _cases(
+            ((x == "") | (y == ""), "unknown", 0.5), (x == y, "exact", 1.0), (F.contains(x, y) | F.contains(y, x), "partial", 0.7),
+            (overlap >= 0.5, "partial", 0.6), (None, "mismatch", 0.0),
+        ),
     )
 
 
 def doi_match(a: Column, b: Column) -> Column:
-    x, y = T.normalize_doi(a), T.normalize_doi(b)
-    return _cases(((x == "") | (y == ""), "unknown", 0.5), (x == y, "exact", 1.0), (None, "mismatch", 0.0))
+    return _both(T.normalize_doi(a), T.normalize_doi(b), lambda x, y: _cases(((x == "") | (y == ""), "unknown", 0.5), (x == y, "exact", 1.0), (None, "mismatch", 0.0)))
 
 
 def url_match(a: Column, b: Column) -> Column:
-    x, y = T.normalize_url(a), T.normalize_url(b)
-    return _cases(((x == "") | (y == ""), "unknown", 0.5), (x == y, "exact", 1.0), (F.contains(x, y) | F.contains(y, x), "partial", 0.7), (None, "mismatch", 0.0))
+    return _both(
+        T.normalize_url(a), T.normalize_url(b),
+        lambda x, y: _cases(((x == "") | (y == ""), "unknown", 0.5), (x == y, "exact", 1.0), (F.contains(x, y) | F.contains(y, x), "partial", 0.7), (None, "mismatch", 0.0)),
+    )
 
 
 def arxiv_match(a: Column, b: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ ARXIV_PATTERNS = [
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once a row however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -68,12 +75,11 @@ def title_words(c: Column, n: int) -> Column:
     words = F.regexp_extract_all(F.regexp_replace(_text(c), "[{}]", ""), F.lit(TITLE_WORD), F.lit(0))
 
     def significant(w: Column) -> Column:
-        base = F.regexp_replace(w, "[?!]+$", "")
+        base = F.rtrim(w, F.lit("?!"))
         mixed = base.rlike("[a-zA-Z]") & base.rlike("[0-9]")
         return ~F.lower(base).isin(STOP_WORDS) & ((F.length(base) >= 3) | mixed)
 
-    some = F.filter(words, significant)
-    return F.slice(F.when(F.size(some) >= 3, some).otherwise(words), 1, n)
+    return let(words, lambda w: let(F.filter(w, significant), lambda some: F.slice(F.when(F.size(some) >= 3, some).otherwise(w), 1, n)))
 
 
 def query_words(c: Column, n: int) -> Column:
@@ -126,32 +132,41 @@ def parse_authors_loose(c: Column) -> Column:
 
 def author_key(name: Column) -> Column:
     """First initial and surname, lower case. A name with a comma begins with the surname."""
-    name = normalize_space(name)
-    after = F.trim(F.regexp_replace(name, "^[^,]*,", ""))
-    comma = F.trim(F.concat(F.lower(F.substring(after, 1, 1)), F.lit(" "), F.lower(F.trim(F.regexp_extract(name, "^[^,]*", 0)))))
     suffix = "(?i)( (?:" + "|".join(NAME_SUFFIXES) + r")\.*)+$"
-    parts = F.split(F.regexp_replace(name, suffix, ""), " ")
-    n = F.size(parts)
 
-    def prefix(back: int) -> Column:
-        return F.regexp_replace(F.lower(F.get(parts, n - back)), r"\.+$", "").isin(SURNAME_PREFIXES)
+    def comma(name: Column) -> Column:
+        first = F.lower(F.substring(F.trim(F.regexp_replace(name, "^[^,]*,", "")), 1, 1))
+        return F.trim(F.concat(first, F.lit(" "), F.lower(F.trim(F.substring_index(name, ",", 1)))))
+
+    def surname(parts: Column) -> Column:
+        n = F.size(parts)
+
+        def prefix(back: int) -> Column:
+            return F.rtrim(F.lower(F.get(parts, n - back)), F.lit(".")).isin(SURNAME_PREFIXES)
+
+        take = F.when((n >= 3) & prefix(3), 3).when((n >= 2) & prefix(2), 2).otherwise(1)
+        return let(take, lambda k: F.lower(F.array_join(F.slice(parts, n - k + 1, k), " ")))
 
-    take = F.when((n >= 3) & prefix(3), 3).when((n >= 2) & prefix(2), 2).otherwise(1)
-    surname = F.lower(F.array_join(F.slice(parts, n - take + 1, take), " "))
-    plain = F.concat(F.lower(F.substring(name, 1, 1)), F.lit(" "), surname)
-    return F.when(name == "", "").when(name.contains(","), comma).otherwise(plain)
+    def key(name: Column) -> Column:
+        plain = F.concat(F.lower(F.substring(name, 1, 1)), F.lit(" "), let(F.split(F.regexp_replace(name, suffix, ""), " "), surname))
+        return F.when(name == "", "").when(name.contains(","), comma(name)).otherwise(plain)
+
+    return let(normalize_space(name), key)
+
+
+def _share(a: Column, b: Column) -> Column:
+    return let(a, lambda x: F.when((F.size(x) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(x, b)) / F.size(x)))
 
 
 def author_overlap(ref: Column, cand: Column) -> Column:
     """Share of the reference's author keys that the candidate has; 0 if either has none."""
     a, b = (F.array_distinct(F.filter(F.transform(x, author_key), lambda k: k != "")) for x in (ref, cand))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+    return let(b, lambda y: _share(a, y))
 
 
 def overlap_ratio(a: Column, b: Column) -> Column:
     """|A and B| / |A| of two word lists; 0 if either is empty."""
-    a, b = F.array_distinct(a), F.array_distinct(b)
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+    return let(b, lambda y: _share(F.array_distinct(a), y))
 
 
 def split_sentences(c: Column) -> Column:
@@ -176,9 +191,14 @@ def citation_ids(sentence: Column) -> Column:
     tokens = F.flatten(F.transform(inner, lambda x: F.split(F.regexp_replace(x, "[–—]", "-"), ",")))
 
     def numbers(t: Column) -> Column:
-        a = F.regexp_extract(t, r"^\s*([0-9]+)\s*(?:-\s*([0-9]+)\s*)?$", 1).try_cast("int")
-        b = F.coalesce(F.regexp_extract(t, r"^\s*([0-9]+)\s*-\s*([0-9]+)\s*$", 2).try_cast("int"), a)
-        return F.when(a.isNull() | (a > b), F.array().cast("array<int>")).otherwise(F.sequence(a, F.greatest(a, b)))
+        ends = F.regexp_extract_all(F.regexp_extract(t, r"^\s*[0-9]+\s*(?:-\s*[0-9]+\s*)?$", 0), F.lit("[0-9]+"), F.lit(0))
+        ends = F.transform(ends, lambda x: x.try_cast("int"))
+
+        def span(e: Column) -> Column:
+            a, b = F.get(e, F.lit(0)), F.coalesce(F.get(e, F.lit(1)), F.get(e, F.lit(0)))
+            return F.when(a.isNull() | (a > b), F.array().cast("array<int>")).otherwise(F.sequence(a, F.greatest(a, b)))
+
+        return let(ends, span)
 
     return F.array_sort(F.array_distinct(F.flatten(F.transform(tokens, numbers))))
 

@@ -622,10 +622,15 @@ def _marked():
     union all select l_orderkey, l_linenumber, 3, q::varchar, x[2] || ' ' || x[3] from t""")
 def sentence_contexts(spark, sf):
     """Sentences with markers, the numbers in them, and the sentences before and after."""
-    x = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", T.split_sentences(_marked()).alias("s"))
-    x = x.select("l_orderkey", "l_linenumber", "s", F.posexplode("s").alias("p", "sentence")).withColumn("ids", T.citation_ids(F.col("sentence"))).where("size(ids) > 0")
-    near = F.filter(F.array(F.when(F.col("p") > 0, F.get("s", F.col("p") - 1)), F.col("sentence"), F.get("s", F.col("p") + 1)), lambda v: v.isNotNull())
-    return x.select("l_orderkey", "l_linenumber", (F.col("p") + 1).alias("pos"), F.array_join(F.transform("ids", lambda v: v.cast("string")), ",").alias("ids"), F.array_join(near, " ").alias("context"))
+    def around(s: F.Column) -> F.Column:
+        def one(sentence, p):
+            near = F.filter(F.array(F.when(p > 0, F.get(s, p - 1)), sentence, F.get(s, p + 1)), lambda v: v.isNotNull())
+            ids = F.array_join(F.transform(T.citation_ids(sentence), lambda v: v.cast("string")), ",")
+            return F.when(sentence.contains("["), F.struct((p + 1).alias("pos"), ids.alias("ids"), F.array_join(near, " ").alias("context")))
+
+        return F.filter(F.transform(s, one), lambda v: v["ids"] != "")
+
+    return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.inline(T.let(T.split_sentences(_marked()), around)))
 
 
 @query("""with e as (select user_id, event_id, case when event_id % 3 = 0 then event_type end as v, row_number() over (partition by user_id order by event_id) as reference_id from events)
