@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeweave.session import ship
@@ -67,6 +67,19 @@ def held_out(doc_id) -> "F.Column":
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def draw(rows: DataFrame, group: str, key: list[str], most: int, groups: int, seed: int) -> DataFrame:
+    """(group, *key) of at most `most` distinct rows of each of the `groups` largest groups: those with the least hash of key.
+
+    A group's count first bounds the hash, so that `most` rows and a margin of eight deviations are expected under it. The
+    window that ranks them thus gets as few rows of a hot group as of a small one.
+    """
+    sizes = rows.groupBy(group).agg(F.count("*").alias("n_")).orderBy(F.desc("n_"), group).limit(groups)
+    place = F.xxhash64(*key, F.lit(seed)).cast("double") / 2.0**64 + 0.5
+    near = rows.select(group, *key).join(F.broadcast(sizes), group).withColumn("u_", place).where(F.col("u_") * F.col("n_") < most + 8 * most**0.5 + 16)
+    rank = F.row_number().over(Window.partitionBy(group).orderBy("u_", *key))
+    return near.drop("n_").distinct().withColumn("r_", rank).where(F.col("r_") <= most).select(group, *key)
+
+
 # -- hashes -------------------------------------------------------------------------------------
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads 64-bit values."""

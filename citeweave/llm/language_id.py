@@ -8,10 +8,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import held_out, table
+from citeweave.llm.common import draw, held_out, table
 
 _LETTER = re.compile(r"[^\W\d_]")
 _PIECE = 1 << 18
@@ -129,21 +129,14 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], s: Settings) -> Model:
 
 
 def train(docs: DataFrame, s: Settings = Settings()) -> Model:
-    """Learns from at most rows_per_language rows of each language: those with the least hash of the id.
+    """Learns from at most rows_per_language distinct rows of each language: those with the least hash of id and text.
 
     Executors count the subwords of the whole sampled texts, so the driver gets a bounded table.
     """
     usable = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    draw = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(s.seed)), "doc_id", F.xxhash64("text"))
-    chosen = (
-        usable.select("doc_id", "lang", F.xxhash64("text").alias("h"), F.row_number().over(draw).alias("rank"))
-        .where(F.col("rank") <= s.rows_per_language)
-        .orderBy("rank", "lang")
-        .limit(s.rows_per_language * s.languages)
-        .select("doc_id", "lang", "h")
-        .distinct()
-    )
-    sample = usable.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "lang", "h"])
+    usable = usable.withColumn("h", F.xxhash64("text"))
+    chosen = draw(usable, "lang", ["doc_id", "h"], s.rows_per_language, s.languages, s.seed)
+    sample = usable.join(F.broadcast(chosen), ["doc_id", "lang", "h"])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -151,7 +144,7 @@ def train(docs: DataFrame, s: Settings = Settings()) -> Model:
             hit = [np.flatnonzero(c) for c in found]
             yield pd.DataFrame({"doc_id": batch.doc_id, "h": batch.h, "lang": batch.lang, "i": [i.astype(np.int32) for i in hit], "c": [c[i].astype(np.int32) for c, i in zip(found, hit)]})
 
-    got = sample.mapInPandas(count, "doc_id long, h long, lang string, i array<int>, c array<int>").toPandas()
+    got = sample.mapInPandas(count, "doc_id long, h long, lang string, i array<int>, c array<int>").dropDuplicates(["lang", "doc_id", "h"]).toPandas()
     got = got.sort_values(["lang", "doc_id", "h"], kind="stable")
     rows = [(lang, np.array(i), np.array(c)) for lang, i, c in zip(got.lang, got.i, got.c)]
     return fit(rows, s)
