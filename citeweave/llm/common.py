@@ -26,9 +26,16 @@ _CHUNK = 1 << 20
 # -- tables -------------------------------------------------------------------------------------
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Batches to Python by bytes, so that long texts don't fill a worker; a value that the session sets stays."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where that is unset (tests, local mode) a temporary one is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -43,6 +50,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
+        bound_batches(spark)
         self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, label: str) -> DataFrame:

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from citeweave.llm.common import Forest, Scratch, _powers, by_group, connected_components, maybe_broadcast, mix, table, word_hashes
 
 
+#: Characters of texts worked on at once, and lines that a task remembers: both bound a worker's memory, not the result.
+_GROUP_CHARS, _SEEN = 1_000_000, 200_000
+
+
 @dataclass(frozen=True)
 class Settings:
     """Lines of at least min_words count; shorter ones are left alone.
@@ -129,7 +133,7 @@ def occurrences(docs: DataFrame, s: Settings) -> DataFrame:
     """(doc_id, h, line, node, more, n, own, probes) of every line that counts.
 
     node (63 bits) and more (64 bits) stand for the line's words; own and probes are its keys, given with the first of
-    equal lines that a task meets.
+    equal lines that a task meets, and again after a task has met _SEEN others, so that its memory is bounded.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,7 +143,7 @@ def occurrences(docs: DataFrame, s: Settings) -> DataFrame:
             for row in batch.itertuples(index=False):
                 group.append(row)
                 size += len(row.text or "")
-                if size > 4_000_000:
+                if size > _GROUP_CHARS:
                     yield frame(group, seen)
                     group, size = [], 0
             if group:
@@ -147,6 +151,8 @@ def occurrences(docs: DataFrame, s: Settings) -> DataFrame:
 
     def frame(rows: list, seen: set[int]) -> pd.DataFrame:
         words, firsts, counts, owner, number, base = [], [], [], [], [], 0
+        if len(seen) > _SEEN:
+            seen.clear()
         for k, row in enumerate(rows):
             w, first, n = line_words(row.text)
             keep = np.flatnonzero(n >= s.min_words)
