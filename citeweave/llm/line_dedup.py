@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeweave.llm.common import Forest, Scratch, _powers, by_group, connected_components, maybe_broadcast, mix, table, word_hashes
@@ -27,7 +27,6 @@ class Settings:
 
     min_words: int = 5
     steps: tuple[tuple[int, int], ...] = ((10, 1), (20, 2))
-    loose: int = 3  # times d: what still falls into one group for the exact comparison
     block_lines: int = 512
     block_words: int = 500_000
 
@@ -221,26 +220,40 @@ def payload(docs: DataFrame, places: DataFrame, s: Settings) -> DataFrame:
 
 
 def pair_links(pairs: DataFrame, s: Settings) -> DataFrame:
-    """(a, b) of pairs (a, b, wa, wb) within loose times their distance."""
+    """(a, b) of pairs (a, b, wa, wb) within their distance."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.wa, batch.wb):
                 d = int(s.distance(np.array([min(len(x), len(y))]))[0])
-                keep.append(within(np.asarray(x), np.asarray(y), s.loose * d))
+                keep.append(within(np.asarray(x), np.asarray(y), d))
             yield batch.loc[np.array(keep, bool), ["a", "b"]]
 
     return pairs.mapInPandas(run, "a long, b long")
 
 
+def split_hot(members: DataFrame, s: Settings) -> DataFrame:
+    """Members (grp, node, own, n, words) of hot groups, dealt into groups that share a rare word; no pair is lost.
+
+    An edit costs a line one of its distinct words at most, so of the d + 1 words of a line that are rarest in
+    its group, one is among the d + 1 rarest of every line within d edits.
+    """
+    words = members.select("grp", "node", "n", F.explode(F.array_distinct("words")).alias("word"))
+    words = words.join(words.groupBy("grp", "word").agg(F.count("*").alias("lines")), ["grp", "word"])
+    most = F.lit(1) + sum(F.when(F.col("n") >= n, F.lit(d - before)).otherwise(0) for (n, d), (_, before) in zip(s.steps, ((0, 0), *s.steps)))
+    rarest = F.row_number().over(Window.partitionBy("grp", "node").orderBy("lines", "word"))
+    chosen = words.withColumn("r", rarest).where((F.col("r") <= most) & (F.col("lines") > 1)).select("grp", "node", F.xxhash64("grp", "word").alias("part"))
+    return members.join(chosen, ["grp", "node"]).select(F.col("part").alias("grp"), "node", "own", "n", "words")
+
+
 def group_links(members: DataFrame, s: Settings) -> DataFrame:
-    """Links (a, b) inside groups of (grp, node, n, words), compared block by block; a forest of them for each pair of blocks."""
+    """Links (a, b) of an own line and any other inside groups of (grp, node, own, n, words), block by block; a forest for each pair of blocks."""
     sizes = members.groupBy("grp").agg(F.count("*").alias("lines"), F.sum("n").alias("total")).where("lines > 1")
     sizes = sizes.select("grp", F.greatest(F.ceil(F.col("lines") / s.block_lines), F.ceil(F.col("total") / s.block_words)).cast("int").alias("blocks"))
     placed = members.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = placed.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "words")
+    dealt = placed.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "own", "words")
 
     def work(g: dict) -> list[tuple[int, int]]:
         nodes, words = g["node"], [np.asarray(x) for x in g["words"]]
@@ -249,7 +262,8 @@ def group_links(members: DataFrame, s: Settings) -> DataFrame:
             return []
         n = np.array([len(x) for x in words])
         d = s.distance(np.minimum(n[:, None], n[None, :]))
-        hit = np.abs(n[:, None] - n[None, :]) <= d
+        own = np.array(g["own"], bool)
+        hit = (np.abs(n[:, None] - n[None, :]) <= d) & (own[:, None] | own[None, :])
         if g["i"][0] != g["j"][0]:
             hit &= side[:, None] != side[None, :]
         if len(nodes) > 12:  # an edit costs a line one of its distinct words at most
@@ -289,25 +303,33 @@ def repeated_lines(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     Lines that are equal word by word, or linked within the settings' distance, are one class (a connected
     component of links); of each class the first line stays, by doc_id (null first), text hash and line. Rows that agree in
-    doc_id and text are treated alike. Equal lines collapse before anything is compared. The index and the
-    probes of a key meet their least index line only; pairs not much further apart than allowed form groups,
-    and each group is compared exactly in blocks.
+    doc_id and text are treated alike. Equal lines collapse before anything is compared. The index lines of a key
+    meet each other and all its probes, exactly and in blocks; a hot key is first split by its lines' rare words.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     lines = scratch.save(occurrences(docs, s), "lines")
     own = lines.select(F.explode("own").alias("key"), F.shiftleft("node", 1).alias("x"))
     probes = lines.select(F.explode("probes").alias("key"), (F.shiftleft("node", 1) + 1).alias("x"))
-    over = F.expr("min(if(x % 2 = 0, x, null)) over (partition by key)")
-    stars = own.unionAll(probes).withColumn("rep", over).where("rep is not null and shiftrightunsigned(rep, 1) != shiftrightunsigned(x, 1)")
-    stars = scratch.save(stars.select(F.shiftrightunsigned("rep", 1).alias("a"), F.shiftrightunsigned("x", 1).alias("b")).distinct(), "stars")
-    needed = stars.select(F.col("a").alias("node")).unionAll(stars.select(F.col("b").alias("node"))).distinct()
+    over = "over (partition by key)"
+    keyed = own.unionAll(probes).selectExpr("key", "x", f"min(x & 1) {over} kind", f"min(shiftrightunsigned(x, 1)) {over} low", f"max(shiftrightunsigned(x, 1)) {over} high")
+    keyed = keyed.where("kind = 0 and low != high").groupBy("key", F.shiftrightunsigned("x", 1).alias("node")).agg((F.min(F.expr("x & 1")) == 0).alias("own"))
+    keyed = scratch.save(keyed, "keyed")
+    sizes = scratch.save(keyed.groupBy("key").agg(F.count("*").alias("lines"), F.min("node").alias("a"), F.max("node").alias("b")), "sizes")
+    needed = keyed.select("node").distinct()
     at = F.struct("doc_id", "h", "line")
     places = lines.select("node", at.alias("at")).join(needed, "node").groupBy("node").agg(F.min("at").alias("at")).select("node", "at.*")
     words = scratch.save(payload(docs, scratch.save(places, "places"), s), "words")
-    pairs = stars.join(words.selectExpr("node a", "words wa"), "a").join(words.selectExpr("node b", "words wb"), "b")
-    groups = connected_components(scratch, pair_links(pairs.select("a", "b", "wa", "wb"), s), "groups").withColumnRenamed("comp", "grp")
-    members = words.join(groups, "node").select("grp", "node", F.size("words").alias("n"), "words")
-    classes = connected_components(scratch, group_links(members, s), "classes")
+    pairs = sizes.where("lines = 2").select("a", "b").distinct()
+    pairs = pairs.join(words.selectExpr("node a", "words wa"), "a").join(words.selectExpr("node b", "words wb"), "b")
+    links = pair_links(pairs.select("a", "b", "wa", "wb"), s)
+    larger = keyed.join(sizes.where("lines > 2").select("key", "lines"), "key").join(words, "node")
+    larger = larger.select(F.col("key").alias("grp"), "node", "own", F.size("words").alias("n"), "words", "lines")
+    hot = F.col("lines") > s.block_lines
+    links = links.unionAll(group_links(larger.where(~hot).drop("lines"), s))
+    if sizes.where(hot).limit(1).count():
+        parts = scratch.save(split_hot(larger.where(hot).drop("lines"), s), "parts")
+        links = links.unionAll(group_links(parts, s))
+    classes = connected_components(scratch, links, "classes")
     exact = lines.groupBy("node", "more").agg(F.min(at).alias("first"), F.count("*").alias("lines"))
     exact = scratch.save(exact.join(classes, "node", "left").withColumn("more_", F.when(F.col("comp").isNull(), F.col("more"))).withColumn("comp", F.coalesce("comp", "node")), "exact")
     firsts = exact.groupBy("comp", "more_").agg(F.min("first").alias("first"), F.sum("lines").alias("lines")).where("lines > 1").select(F.struct("comp", "more_").alias("k"), "first")

@@ -129,6 +129,42 @@ def test_lines_match_brute_force(spark):
     assert out == {d: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in expected.get(d, [])) for d, t in docs}
 
 
+@pytest.mark.parametrize("block", [8, 512])  # hot keys are split, or not
+def test_lines_with_a_common_head_match_brute_force(spark, block):
+    rng = random.Random(11)
+    pool = [f"w{i}" for i in range(30)]
+    lines = []
+    for n in (12, 24):
+        head = [f"head{i}" for i in range(n // 2)]
+        tails = [rng.sample(pool, n // 2) for _ in range(40)]
+        for tail in tails:
+            lines.append(tuple(head + tail))
+            if rng.random() < 0.6:
+                k = rng.randrange(n // 2)
+                tail[k : k + 1] = rng.choice([["new"], [], [tail[k], "more"]])
+                lines.append(tuple(head + tail))
+    rng.shuffle(lines)
+    s = line_dedup.Settings(block_lines=block)
+    root = {w: w for w in lines}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    hashes = {w: word_hashes(" ".join(w))[0] for w in lines}
+    for a, b in itertools.combinations(list(root), 2):
+        if line_dedup.within(hashes[a], hashes[b], int(s.distance(np.array([min(len(a), len(b))]))[0])):
+            root[find(b)] = find(a)
+    seen, expected = set(), set()
+    for k, w in enumerate(lines):
+        if find(w) in seen:
+            expected.add(k)
+        seen.add(find(w))
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(lines)], "doc_id long, text string")
+    assert {r.doc_id for r in line_dedup.repeated_lines(df, s).collect()} == expected and len(expected) > 20
+
+
 def test_line_dedup_of_odd_rows(spark, odd):
     out = line_dedup.stage_line_dedup(spark, odd, SF)
     assert out.columns == odd.columns and out.count() == odd.count()
