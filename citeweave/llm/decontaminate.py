@@ -17,6 +17,8 @@ from citeweave.llm.common import Scratch, table, word_hashes
 class Settings:
     """A passage is two blocks of words; every block but the first and last lies in two passages.
 
+    Two passages are compared from a cosine of `cosine` on, or where the document's has the share `covers` of the squared weights
+    of the benchmark's; that share doesn't fall with the weight of what stands beside an item, however frequent the item's words.
     A document holds an item if their longest common subsequence covers `sure` of the item's words, or `maybe` of
     them and the item's last answer_words in a row.
     space_passages: benchmark passages that share one latent space, whose rank is no less, so that no
@@ -25,12 +27,12 @@ class Settings:
 
     block: int = 24
     buckets: int = 1 << 18
-    common_share: float = 0.2  # words in more documents weigh nothing
-    common_least: int = 1000  # documents from which that holds
     space_passages: int = 512
     oversample: int = 16
     powers: int = 2
     cosine: float = 0.3
+    covers: float = 0.4
+    stretch_blocks: int = 2048  # of a document searched at once; bounds memory, not the result
     sure: float = 0.7
     maybe: float = 0.5
     answer_words: int = 5
@@ -65,11 +67,9 @@ def document_frequencies(docs: DataFrame, s: Settings) -> tuple[np.ndarray, int]
     return out, int(got.n[got.b == -1].sum())
 
 
-def weights_of(df: np.ndarray, n: int, s: Settings) -> np.ndarray:
-    idf = np.log((1 + n) / (1 + df)) + 0.05
-    if n >= s.common_least:
-        idf[df > s.common_share * n] = 0
-    return idf.astype(np.float32)
+def weights_of(df: np.ndarray, n: int) -> np.ndarray:
+    """The weight of each bucket of words; none is 0."""
+    return (np.log((1 + n) / (1 + df)) + 0.05).astype(np.float32)
 
 
 def passages(words: np.ndarray, s: Settings) -> list[tuple[int, int]]:
@@ -88,6 +88,7 @@ class Space:
     index: np.ndarray  # bucket to row, or -1
     basis: np.ndarray  # rows by rank, times the words' weights
     queries: np.ndarray  # passages by rank
+    norms: np.ndarray  # the length of each passage before it was made a unit vector
     items: np.ndarray  # the item of each passage
 
 
@@ -127,8 +128,7 @@ def randomised_svd(rows: DataFrame, n_cols: int, rank: int, s: Settings) -> np.n
 def spaces(spark: SparkSession, items: list[tuple[int, np.ndarray]], idf: np.ndarray, s: Settings) -> list[Space]:
     """Latent spaces of the TF-IDF passages of the benchmark, each from a randomised SVD of its own."""
     all_passages = [(k, _codes(w[a:b], s)) for k, (_, w) in enumerate(items) for a, b in passages(w, s)]
-    all_passages = [(k, np.unique(c[idf[c] > 0])) for k, c in all_passages]
-    all_passages = [(k, c) for k, c in all_passages if len(c)]
+    all_passages = [(k, np.unique(c)) for k, c in all_passages]
     out = []
     for at in range(0, len(all_passages), s.space_passages):
         part = all_passages[at : at + s.space_passages]
@@ -139,12 +139,16 @@ def spaces(spark: SparkSession, items: list[tuple[int, np.ndarray]], idf: np.nda
         rows = spark.createDataFrame([(index[c].tolist(), v.astype(float).tolist()) for (_, c), v in zip(part, vals)], "cols array<int>, vals array<double>")
         basis = randomised_svd(rows.coalesce(max(1, len(part) // 256)), len(vocabulary), len(part), s)
         queries = np.stack([v @ basis[index[c]] for (_, c), v in zip(part, vals)])
-        out.append(Space(index, (basis * idf[vocabulary][:, None]).astype(np.float32), queries.astype(np.float32), np.array([k for k, _ in part])))
+        out.append(Space(index, (basis * idf[vocabulary][:, None]).astype(np.float32), queries.astype(np.float32), np.array([np.linalg.norm(idf[c]) for _, c in part], np.float32), np.array([k for k, _ in part])))
     return out
 
 
 def candidates(words: np.ndarray, idf: np.ndarray, found: list[Space], s: Settings) -> list[tuple[int, int, float]]:
-    """(item, passage start, cosine) of the document's passages and the benchmark's that reach the cosine."""
+    """(item, passage start, cosine) of the document's passages and the benchmark's that reach the cosine or are covered."""
+    size = s.stretch_blocks * s.block
+    if len(words) > size + s.block:  # a stretch has the first block of the next one too
+        starts = range(0, len(words) - s.block, size)
+        return [(k, at + start, c) for at in starts for k, start, c in candidates(words[at : at + size + s.block], idf, found, s)]
     codes = _codes(words, s)
     weight = idf[codes]
     n_blocks = -(-len(words) // s.block)
@@ -155,7 +159,7 @@ def candidates(words: np.ndarray, idf: np.ndarray, found: list[Space], s: Settin
     out = []
     for space in found:
         rows = space.index[codes]
-        hit = np.flatnonzero((rows >= 0) & (weight > 0))
+        hit = np.flatnonzero(rows >= 0)
         if not len(hit):
             continue
         block = hit // s.block
@@ -170,13 +174,13 @@ def candidates(words: np.ndarray, idf: np.ndarray, found: list[Space], s: Settin
         where[touched] = np.arange(len(touched))
         sums = np.vstack([sums, np.zeros((1, sums.shape[1]), np.float32)])
         latent = sums[where[starts]] + (sums[where[starts + 1]] if n_blocks > 1 else 0)
-        # no cosine exceeds the share of a passage that lies in the space
-        live = np.linalg.norm(latent, axis=1) >= s.cosine * norm[starts]
+        # no product with a unit vector exceeds the length of what lies in the space
+        live = np.linalg.norm(latent, axis=1) >= np.minimum(s.cosine * norm[starts], s.covers * space.norms.min())
         starts, latent = starts[live], latent[live]
         if len(starts):
-            cosine = (latent / norm[starts][:, None]) @ space.queries.T
-            for i, j in np.argwhere(cosine >= s.cosine):
-                out.append((int(space.items[j]), int(starts[i]) * s.block, float(cosine[i, j])))
+            product = latent @ space.queries.T
+            for i, j in np.argwhere((product >= s.cosine * norm[starts][:, None]) | (product >= s.covers * space.norms)):
+                out.append((int(space.items[j]), int(starts[i]) * s.block, float(product[i, j] / norm[starts[i]])))
     return out
 
 
@@ -230,7 +234,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> Da
         raise ValueError(f"the benchmark has more than {s.max_items} items")
     items = [x for x in items if len(x[1])]
     df, n = document_frequencies(docs, s)
-    idf = weights_of(df, n, s)
+    idf = weights_of(df, n)
     shared = spark.sparkContext.broadcast((items, idf, spaces(spark, items, idf, s)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -185,6 +185,24 @@ def test_decontamination(spark, odd):
     assert decontaminate.lcs([ord(x) for x in a], [ord(x) for x in b]) == 4
 
 
+def test_decontamination_of_an_item_in_a_third_of_the_rows(spark):
+    rng = random.Random(17)
+    items = [*invented(2, 98), " ".join(f"frequent{k}" for k in range(36))]
+    rows = []
+    for d in range(1500):  # the words beside an item are in one document only
+        before, after = ([f"{side}{d}x{k}" for k in range(rng.randrange(90))] for side in "ab")
+        held = items[0].split() if d % 3 == 0 else items[1].split() if d == 1000 else []
+        if d % 3:
+            before += rng.sample(items[2].split(), 20)
+        rows.append((d, " ".join([*before, *held, *after])))
+    rows.append((1500, " ".join([*(f"c{k}" for k in range(60)), items[2], *(f"d{k}" for k in range(60))])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    expected = {(d, 0) for d in range(0, 1500, 3)} | {(1000, 1), (1500, 2)}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect()} == expected
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench, decontaminate.Settings(stretch_blocks=2)).collect()} == expected
+
+
 def test_svd_keeps_the_space(spark):
     rng = np.random.default_rng(3)
     m = rng.normal(size=(12, 30))
