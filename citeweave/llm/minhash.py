@@ -19,8 +19,8 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 class Settings:
     """A pair at the threshold shares no band with probability (1 - 0.8^rows)^bands, 5e-6 here.
 
-    loose: estimated similarity from which documents are compared as one group; in a bucket with a third
-    document, two that reach the threshold fall into one group unless every estimate that links them fails.
+    loose: estimated similarity from which documents are compared as one group; a pair at the threshold lies 14 deviations
+    above it.
     """
 
     shingle: int = 5
@@ -143,6 +143,36 @@ def loose_links(pairs: DataFrame, s: Settings) -> DataFrame:
     return pairs.mapInPandas(run, "a long, b long")
 
 
+def bucket_links(members: DataFrame, sketches: DataFrame, s: Settings) -> DataFrame:
+    """Links (a, b) in buckets of members (key, node, comp, linked) between components, by sketch and block by block.
+
+    Members linked to their bucket's representative are one component already, so the others meet each other and
+    them, but they don't meet among themselves.
+    """
+    n = F.count_if(~F.col("linked")), F.count_if("linked")
+    sizes = members.groupBy("key").agg(*(F.ceil(x / s.block_docs).cast("int").alias(c) for x, c in zip(n, ("loose", "tight"))))
+    place = F.when(F.col("linked"), F.col("loose") + F.pmod(F.xxhash64("node"), F.col("tight"))).otherwise(F.pmod(F.xxhash64("node"), F.col("loose"))).cast("int")
+    placed = members.join(sizes.where("loose > 0"), "key").withColumn("block", place)
+    last = F.when(F.col("linked"), F.col("loose")).otherwise(F.col("loose") + F.col("tight")) - 1
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), last))).join(sketches, "node")
+    dealt = placed.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "sketch")
+
+    def work(g: dict) -> list[tuple[int, int]]:
+        nodes, comp, block = g["node"], np.array(g["comp"]), np.array(g["block"])
+        x = np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(len(nodes), s.k)
+        forest, out = Forest(len(nodes)), []
+        for k in np.flatnonzero(block == g["i"][0]).tolist():
+            other = comp != comp[k]
+            other &= np.arange(len(nodes)) > k if g["i"][0] == g["j"][0] else block == g["j"][0]
+            other = np.flatnonzero(other)
+            for y in other[(x[other] == x[k]).mean(axis=1) >= s.loose].tolist():
+                if forest.join(k, y):
+                    out.append((nodes[k], nodes[y]))
+        return out
+
+    return by_group(dealt, ["key", "i", "j"], "node", work, "a long, b long")
+
+
 def similar(sets: list[np.ndarray], left: np.ndarray, threshold: float) -> np.ndarray:
     """Pairs (i, j), i < j, whose Jaccard similarity reaches the threshold; only pairs across or within `left` as it says.
 
@@ -208,9 +238,9 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     has no shingles and its rows, equal or not, are classes of their own with their own doc_id. Null doc_ids are borne: a class whose
     rows all have none has a null class_id. Repeated rows are copies of each other.
 
-    Copies collapse before anything is compared, so a group of copies of any size counts as one text. Buckets
-    of a band link their members to their least one only; members whose sketches then are alike form groups, and
-    each group is compared exactly in blocks.
+    Copies collapse before anything is compared, so a group of copies of any size counts as one text. Members
+    of a bucket meet its least one first, then all that aren't linked to it yet; those whose sketches are alike form groups,
+    and each group is compared exactly in blocks.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
@@ -220,11 +250,17 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     )
     texts = scratch.save(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
     bands = texts.select("node", F.explode("bands").alias("key"))
-    reps = bands.groupBy("key").agg(F.min("node").alias("rep"), F.count("*").alias("size")).where("size > 1").select("key", "rep")
+    reps = bands.groupBy("key").agg(F.min("node").alias("rep"), F.count("*").alias("size")).where("size > 1")
     stars = scratch.save(bands.join(reps, "key").where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     slim = texts.select("node", "sketch", "n")
     pairs = stars.join(slim.selectExpr("node a", "sketch sa", "n na"), "a").join(slim.selectExpr("node b", "sketch sb", "n nb"), "b")
-    groups = connected_components(scratch, loose_links(pairs.select("a", "b", "sa", "sb"), s), "groups").withColumnRenamed("comp", "grp")
+    links = scratch.save(loose_links(pairs.select("a", "b", "sa", "sb"), s), "loose")
+    first = connected_components(scratch, links, "first").withColumnRenamed("comp", "c")
+    met = bands.join(reps.where("size > 2"), "key").join(first, "node", "left").select("key", "node", "rep", F.coalesce("c", "node").alias("comp"))
+    met = met.join(first.select(F.col("node").alias("rep"), F.col("c").alias("rc")), "rep", "left")
+    met = scratch.save(met.select("key", "node", "comp", (F.col("comp") == F.coalesce("rc", "rep")).alias("linked")), "met")
+    links = links.unionAll(bucket_links(met, texts.select("node", "sketch"), s))
+    groups = connected_components(scratch, links, "groups").withColumnRenamed("comp", "grp")
     wanted = scratch.save(texts.join(groups, "node").select("grp", "node", "n", "h1", "h2", "least"), "wanted")
     n_wanted = wanted.count()
     keys = maybe_broadcast(wanted.select("h1", "h2", "least", "node"), n_wanted)

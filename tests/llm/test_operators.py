@@ -77,6 +77,27 @@ def test_near_duplicates_match_brute_force(spark, odd):
     assert len(ids) == len(set(ids)) and 3 in ids and 21 not in ids and {22, 23, 24, 25} <= set(ids)
 
 
+def test_near_duplicates_in_full_buckets_match_brute_force(spark):
+    rng = random.Random(23)
+    pool = [" ".join(f"p{i}w{k}" for k in range(30)) for i in range(40)]
+    texts = [" ".join(p for p in pool if rng.random() < 0.46) for _ in range(300)]
+    for t in texts[:40]:
+        w = t.split()
+        for k in range(4, len(w), len(w) // 7):
+            w[k] = "changed"
+        texts.append(" ".join(w))
+    rng.shuffle(texts)
+    sets = [set(shingle_hashes(word_hashes(t)[0]).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i, j in itertools.combinations(root[:], 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
+    s = minhash.Settings(rows=3, bands=10, loose=0.6, block_docs=4)  # short bands fill the buckets
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.class_id for r in minhash.near_duplicates(df, s).orderBy("doc_id").collect()] == root
+    assert len(set(root)) == 300
+
+
 def test_lines_match_brute_force(spark):
     rng = random.Random(5)
     base = invented(25, 7)
