@@ -142,8 +142,8 @@ def vectors(found: list[Block]) -> np.ndarray:
         if b.path:
             x[i, _bucket("leaf:" + b.path[-1], PATH)] = 1
         words = b.text.split()
-        for w in words[:200]:
-            x[i, PATH + _bucket(w.lower(), WORDS)] += 1 / min(len(words), 200) ** 0.5
+        for w in words:
+            x[i, PATH + _bucket(w.lower(), WORDS)] += 1 / len(words) ** 0.5
         x[i, PATH + WORDS :] = (
             np.log1p(len(words)) / 5, np.log1p(len(b.text)) / 7, b.linked / max(len(b.text), 1), b.text[-1:] in ".!?…", len(words) < 4,
             i / max(len(found) - 1, 1), 1 / (1 + i), 1 / (len(found) - i), "©" in b.text, len(b.path) / 10,

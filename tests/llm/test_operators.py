@@ -322,6 +322,12 @@ def test_html():
     assert np.mean(np.concatenate([(s >= 0.5) == np.array(y, bool) for s, (_, y) in zip(scores, fresh)])) > 0.95
 
 
+def test_html_vectors_read_whole_blocks():
+    long = [html_extract.blocks(f"<p>{'same ' * 300}{w * 300}</p>") for w in ("one ", "two ")]
+    x, y = (html_extract.vectors(b)[0, html_extract.PATH : html_extract.PATH + html_extract.WORDS] for b in long)
+    assert np.allclose(np.sort(x)[-2:], 300 / 600**0.5) and not np.allclose(x, y)
+
+
 def test_language_and_quality_on_held_out_rows(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = language_id.op1_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
