@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeweave.session import ship
@@ -37,9 +39,11 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests, local mode) a temporary one is set."""
+    """The folder in spark.checkpoint.dir. Where that is unset a temporary one is set, in local mode alone: no other executor would see it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="citeweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -51,11 +55,12 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
         bound_batches(spark)
-        self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.base, self.labels = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", []
 
     def save(self, df: DataFrame, label: str) -> DataFrame:
         path = f"{self.base}/{label}"
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", _ROW_GROUP).parquet(path)
+        self.labels.append(label)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, label: str) -> None:
@@ -63,27 +68,46 @@ class Scratch:
         jvm, sc = self.spark._jvm, self.spark.sparkContext
         path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{label}")
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        self.labels.remove(label)
 
+    def finish(self, df: DataFrame, label: str) -> DataFrame:
+        """Saves a result and removes all tables that it was made from."""
+        before = list(self.labels)
+        out = self.save(df, label)
+        for x in before:
+            self.drop(x)
+        return out
 
-def maybe_broadcast(df: DataFrame, rows: int, most: int = 500_000) -> DataFrame:
-    """Hints a broadcast only if the counted rows are within the bound; else Spark shuffles."""
-    return F.broadcast(df) if rows <= most else df
 
+#: Bytes that a task's Parquet writer gathers at most, and bytes of rows that are broadcast at most.
+_ROW_GROUP, BROADCAST = 32 << 20, 16 << 20
 
-def held_out(doc_id) -> "F.Column":
+
+def maybe_broadcast(df: DataFrame, size: int) -> DataFrame:
+    """Hints a broadcast only if the counted bytes are within the bound; else Spark shuffles."""
+    return F.broadcast(df) if size <= BROADCAST else df
+
+
+def held_out(doc_id) -> Column:
     """crc32 of the id's text, modulo 3, is 1. A null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def draw(rows: DataFrame, group: str, key: list[str], most: int, groups: int, seed: int) -> DataFrame:
-    """(group, *key) of at most `most` distinct rows of each of the `groups` largest groups: those with the least hash of key.
+def draw(rows: DataFrame, group: str, key: list[str], most: int, total: int, seed: int) -> DataFrame:
+    """(group, *key) of distinct rows of every group: those with the least hash of key, `most` of each at most.
 
-    A group's count first bounds the hash, so that `most` rows and a margin of eight deviations are expected under it. The
-    window that ranks them thus gets as few rows of a hot group as of a small one.
+    With so many groups that they come to more than `total` rows, each gives fewer, but one at least. The distinct rows of a
+    group, counted by a sketch, first bound the hash, so that the wanted rows and a margin of eight deviations and a tenth
+    are expected under it. The window that ranks them thus gets as few rows of a hot group as of a small one, and rows
+    that repeat don't count.
     """
-    sizes = rows.groupBy(group).agg(F.count("*").alias("n_")).orderBy(F.desc("n_"), group).limit(groups)
-    place = F.xxhash64(*key, F.lit(seed)).cast("double") / 2.0**64 + 0.5
-    near = rows.select(group, *key).join(F.broadcast(sizes), group).withColumn("u_", place).where(F.col("u_") * F.col("n_") < most + 8 * most**0.5 + 16)
+    place = F.xxhash64(*key, F.lit(seed))
+    sizes = rows.groupBy(group).agg(F.approx_count_distinct(place, 0.02).alias("n_"))
+    groups = sizes.count()
+    most = max(1, min(most, total // max(groups, 1)))
+    u = place.cast("double") / 2.0**64 + 0.5
+    near = rows.select(group, *key).join(maybe_broadcast(sizes, groups * 64), group).withColumn("u_", u)
+    near = near.where(F.col("u_") * F.col("n_") < 1.1 * (most + 8 * most**0.5 + 16))
     rank = F.row_number().over(Window.partitionBy(group).orderBy("u_", *key))
     return near.drop("n_").distinct().withColumn("r_", rank).where(F.col("r_") <= most).select(group, *key)
 
@@ -128,10 +152,14 @@ def _chunk_words(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix(hashes + (ends - starts).astype(np.uint64) * _MUL1), starts, ends
 
 
-def word_hashes(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of a whole text, and where they start and end in its UTF-8 bytes."""
-    data = (text or "").encode("utf-8", "surrogatepass")
-    b = np.frombuffer(data, np.uint8)
+def text_bytes(value: pa.Scalar) -> np.ndarray:
+    """The UTF-8 bytes of an Arrow text, without a copy; none of a null."""
+    return np.frombuffer(value.as_buffer(), np.uint8) if value.is_valid else np.zeros(0, np.uint8)
+
+
+def word_hashes(text: str | np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of a whole text or its UTF-8 bytes, and where they start and end in these."""
+    b = text if isinstance(text, np.ndarray) else np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
     if len(b) <= _CHUNK:
         return _chunk_words(b)
     parts, at = [], 0
@@ -151,6 +179,11 @@ def word_hashes(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def shingle_hashes(words: np.ndarray, n: int = 5) -> np.ndarray:
     """Distinct hashes, sorted, of the word n-grams; a shorter text has one shingle of all its words."""
+    return np.unique(shingles(words, n))
+
+
+def shingles(words: np.ndarray, n: int = 5) -> np.ndarray:
+    """Hashes of the word n-grams in their order."""
     if not len(words):
         return words
     n = min(n, len(words))
@@ -158,7 +191,7 @@ def shingle_hashes(words: np.ndarray, n: int = 5) -> np.ndarray:
     for i in range(n):
         out = (out + words[i : len(words) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15 + 2 * i)
         out ^= out >> np.uint64(29)
-    return np.unique(mix(out))
+    return mix(out)
 
 
 # -- groups -------------------------------------------------------------------------------------
@@ -213,16 +246,82 @@ def by_group(df: DataFrame, keys: list[str], order: str, work: Callable, schema:
     return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run, schema)
 
 
+def block_links(scratch: Scratch, members: DataFrame, sizes: DataFrame, alike: Callable, label: str) -> DataFrame:
+    """Links (a, b) of all alike members of groups, as forests, without ever holding or pairing a whole large group.
+
+    members: (grp, node, size, *payload), a node once a group; sizes: (grp, blocks, rep) of the groups with two members or
+    more, rep being the least node. alike(rows, side, comp) gives position pairs among a dict of lists: all pairs, or
+    those across `side` (an array of booleans) and of different `comp` where these are given.
+
+    Members are dealt into blocks by hash. First each block is compared within itself and with the group's
+    representative, so a group of copies of one thing becomes one component at a cost in proportion to its members. In the groups of more
+    blocks, the members that are then in the representative's component needn't meet each other any more; the others,
+    dealt anew, meet all. Pairs of blocks are tasks of bounded size, and a member is copied once for each block of such others.
+    """
+    payload = [c for c in members.columns if c not in ("grp", "node")]
+    schema = "a long, b long, many boolean"
+
+    def within(g: dict) -> list[tuple]:
+        nodes = g["node"]
+        if len(nodes) < 2:
+            return []
+        forest = Forest(len(nodes))
+        return [(nodes[x], nodes[y], g["many"][0]) for x, y in alike(g, None, None) if forest.join(x, y)]
+
+    many, sizes = F.col("blocks") > 1, scratch.save(sizes, f"{label}-sizes")
+    placed = members.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    own = placed.select("grp", "block", "node", many.alias("many"), *payload)
+    rep = placed.where(many & (F.col("node") == F.col("rep"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rep = rep.where("other != block").select("grp", F.col("other").cast("int").alias("block"), "node", F.lit(True).alias("many"), *payload)
+    hot = not sizes.where(many).isEmpty()
+    first = by_group(own.unionAll(rep) if hot else own, ["grp", "block"], "node", within, schema)
+    if not hot:
+        return first.select("a", "b")
+    first = scratch.save(first, f"{label}-first")
+    comps = connected_components(scratch, first.where("many").select("a", "b"), f"{label}-comps")
+    large = members.join(sizes.where(many), "grp").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    reps = large.where("node = rep").select("grp", F.col("comp").alias("rc"))
+    large = large.join(reps, "grp").withColumn("tied", F.col("comp") == F.col("rc"))
+    n = [F.count_if(x).alias(c) for x, c in ((F.col("tied"), "n_tied"), (~F.col("tied"), "n_loose"))]
+    counted = large.groupBy("grp").agg(*n, F.first("blocks").alias("all")).where("n_loose > 0")
+    # as many members in a block as before
+    share = [F.greatest(F.lit(1), F.ceil(F.col(c) * F.col("all") / (F.col("n_tied") + F.col("n_loose")))).cast("int").alias(k) for c, k in (("n_tied", "tight"), ("n_loose", "loose"))]
+    placed = large.drop("blocks").join(counted.select("grp", *share), "grp")
+    place = F.when(F.col("tied"), F.col("loose") + F.pmod(F.xxhash64("node", F.lit(1)), F.col("tight"))).otherwise(F.pmod(F.xxhash64("node", F.lit(1)), F.col("loose"))).cast("int")
+    last = F.when(F.col("tied"), F.col("loose")).otherwise(F.col("loose") + F.col("tight")) - 1
+    placed = placed.withColumn("block", place).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    dealt = placed.select("grp", F.least("block", "other").cast("int").alias("i"), F.greatest("block", "other").cast("int").alias("j"), "block", "node", "comp", *payload)
+
+    def between(g: dict) -> list[tuple]:
+        nodes, i, j = g["node"], g["i"][0], g["j"][0]
+        if len(nodes) < 2:
+            return []
+        forest = Forest(len(nodes))
+        side = None if i == j else np.array(g["block"]) != i
+        return [(nodes[x], nodes[y]) for x, y in alike(g, side, np.array(g["comp"])) if forest.join(x, y)]
+
+    return first.select("a", "b").unionAll(by_group(dealt, ["grp", "i", "j"], "node", between, "a long, b long"))
+
+
+def wanted_pairs(n: int, side: np.ndarray | None, comp: np.ndarray | None) -> np.ndarray:
+    """Which pairs (x, y), x before y, block_links asks for."""
+    out = np.triu(np.ones((n, n), bool), 1)
+    for x in (side, comp):
+        if x is not None:
+            out &= x[:, None] != x[None, :]
+    return out
+
+
 # -- components ---------------------------------------------------------------------------------
 def connected_components(scratch: Scratch, edges: DataFrame, label: str) -> DataFrame:
     """(node, comp) for every node of edges (a, b): comp is the least node that it is connected with.
 
-    Alternates large-star and small-star steps; each result is a written table. A step keeps at most one
-    row for each edge it got, and shuffles by node, so a hub is summed before it meets others.
+    Alternates large-star and small-star steps until what is left are stars; each result is a written table. A step keeps
+    at most one row for each edge it got, and shuffles by node, so a hub is summed before it meets others.
     """
     edges = scratch.save(edges.where("a != b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct(), f"{label}-0")
-    before, step = None, 0
-    while True:
+    step = 0
+    while not are_stars(edges):
         step += 1
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -230,10 +329,12 @@ def connected_components(scratch: Scratch, edges: DataFrame, label: str) -> Data
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").selectExpr("b a", "m b").unionAll(least.selectExpr("a", "m b"))
         edges = scratch.save(small.where("a != b").distinct(), f"{label}-{step}")
-        seen = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(seen) == before:
-            break
-        before = tuple(seen)
         scratch.drop(f"{label}-{step - 1}")
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()
     return edges.selectExpr("a node", "b comp").unionAll(roots)
+
+
+def are_stars(edges: DataFrame) -> bool:
+    """Whether every greater end a hangs on one b alone, and no b hangs on another."""
+    ends = edges.selectExpr("a node", "1L up", "0L down").unionAll(edges.selectExpr("b node", "0L up", "1L down"))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 and up > 0").isEmpty()

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import Scratch, table, word_hashes
+from citeweave.llm.common import Scratch, maybe_broadcast, table, word_hashes
 
 
 @dataclass(frozen=True)
@@ -273,6 +273,5 @@ def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     found = leaks(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select("doc_id", "h").distinct()
     found = Scratch(spark, "leaks").save(found, "leaks")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("d_"), F.xxhash64("text").alias("h_"))
-    n = found.count()
-    found = F.broadcast(found) if n <= 500_000 else found
+    found = maybe_broadcast(found, 48 * found.count())
     return rows.join(found, rows["d_"].eqNullSafe(found["doc_id"]) & (rows["h_"] == found["h"]), "left_anti").select("row.*")

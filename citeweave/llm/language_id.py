@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import draw, held_out, table
+from citeweave.llm.common import draw, held_out, maybe_broadcast, table
 
 _LETTER = re.compile(r"[^\W\d_]")
 _PIECE = 1 << 18
@@ -20,13 +20,13 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    """rows_per_language bounds the training sample, languages the number of classes."""
+    """rows_per_language and sample_rows bound the training sample; with more languages than fill it at that, each gives fewer rows."""
 
     buckets: int = 1 << 15
     dims: int = 12
     orders: tuple[int, ...] = (2, 3, 4)
     rows_per_language: int = 400
-    languages: int = 200
+    sample_rows: int = 16_000
     epochs: int = 30
     rate: float = 0.5
     seed: int = 11
@@ -129,14 +129,14 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], s: Settings) -> Model:
 
 
 def train(docs: DataFrame, s: Settings = Settings()) -> Model:
-    """Learns from at most rows_per_language distinct rows of each language: those with the least hash of id and text.
+    """Learns from at most rows_per_language distinct rows of every language: those with the least hash of id and text.
 
     Executors count the subwords of the whole sampled texts, so the driver gets a bounded table.
     """
     usable = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     usable = usable.withColumn("h", F.xxhash64("text"))
-    chosen = draw(usable, "lang", ["doc_id", "h"], s.rows_per_language, s.languages, s.seed)
-    sample = usable.join(F.broadcast(chosen), ["doc_id", "lang", "h"])
+    chosen = draw(usable, "lang", ["doc_id", "h"], s.rows_per_language, s.sample_rows, s.seed)
+    sample = usable.join(maybe_broadcast(chosen, 64 * s.sample_rows), ["doc_id", "lang", "h"])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -7,14 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import Forest, Scratch, _powers, by_group, connected_components, maybe_broadcast, mix, table, word_hashes
+from citeweave.llm.common import Scratch, _powers, block_links, connected_components, maybe_broadcast, mix, table, text_bytes, wanted_pairs, word_hashes
 
-
-#: Characters of texts worked on at once, and lines that a task remembers: both bound a worker's memory, not the result.
-_GROUP_CHARS, _SEEN = 1_000_000, 200_000
+#: Bytes of texts worked on at once, and lines that a task remembers: both bound a worker's memory, not the result.
+_GROUP_BYTES, _SEEN = 1_000_000, 200_000
 
 
 @dataclass(frozen=True)
@@ -82,12 +82,12 @@ def keys_of(sums: np.ndarray, start: np.ndarray, n: np.ndarray, s: Settings) ->
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def line_words(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of a whole text, and for each line the first word and how many it has. Lines end at \\n."""
-    data = (text or "").encode("utf-8", "surrogatepass")
-    words, starts, _ = word_hashes(text)
-    breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
-    ends = np.searchsorted(starts, np.append(breaks, len(data) + 1))
+def line_words(text: str | np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of a whole text or its UTF-8 bytes, and for each line the first word and how many it has. Lines end at \\n."""
+    b = text if isinstance(text, np.ndarray) else np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    words, starts, _ = word_hashes(b)
+    breaks = np.flatnonzero(b == 10)
+    ends = np.searchsorted(starts, np.append(breaks, len(b) + 1))
     first = np.concatenate([[0], ends[:-1]])
     return words, first, ends - first
 
@@ -128,32 +128,43 @@ def within(a: np.ndarray, b: np.ndarray, d: int) -> bool:
     return any(x & bit for x in level)
 
 
+def spans(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of an Arrow batch's rows with about _GROUP_BYTES of text each."""
+    start, size = 0, 0
+    for k, x in enumerate(texts):
+        size += x.as_buffer().size if x.is_valid else 0
+        if size > _GROUP_BYTES:
+            yield start, k + 1
+            start, size = k + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """An Arrow array of lists of these sizes, one after another."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values.view(np.int64)))
+
+
 def occurrences(docs: DataFrame, s: Settings) -> DataFrame:
     """(doc_id, h, line, node, more, n, own, probes) of every line that counts.
 
     node (63 bits) and more (64 bits) stand for the line's words; own and probes are its keys, given with the first of
     equal lines that a task meets, and again after a task has met _SEEN others, so that its memory is bounded.
     """
+    names = ["doc_id", "h", "line", "node", "more", "n", "own", "probes"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            group, size = [], 0
-            for row in batch.itertuples(index=False):
-                group.append(row)
-                size += len(row.text or "")
-                if size > _GROUP_CHARS:
-                    yield frame(group, seen)
-                    group, size = [], 0
-            if group:
-                yield frame(group, seen)
-
-    def frame(rows: list, seen: set[int]) -> pd.DataFrame:
-        words, firsts, counts, owner, number, base = [], [], [], [], [], 0
+            for start, end in spans(batch["text"]):
+                yield lines_of(batch.slice(start, end - start), seen)
+
+    def lines_of(batch: pa.RecordBatch, seen: set[int]) -> pa.RecordBatch:
         if len(seen) > _SEEN:
             seen.clear()
-        for k, row in enumerate(rows):
-            w, first, n = line_words(row.text)
+        words, firsts, counts, owner, number, base = [], [], [], [], [], 0
+        for k, text in enumerate(batch["text"]):
+            w, first, n = line_words(text_bytes(text))
             keep = np.flatnonzero(n >= s.min_words)
             words.append(w)
             firsts.append(first[keep] + base)
@@ -170,53 +181,43 @@ def occurrences(docs: DataFrame, s: Settings) -> DataFrame:
         np.cumsum(mix(words + np.uint64(77)) * up[: len(words)], out=other[1:])
         more = mix((other[first + n] - other[first]) * down[first] + n.astype(np.uint64))
         node = (mix(h) >> np.uint64(1)).astype(np.int64)
-        fresh = np.zeros(len(node), bool)
-        for k, x in enumerate(node.tolist()):
-            if x not in seen:
-                seen.add(x)
-                fresh[k] = True
-        new = np.flatnonzero(fresh)
+        distinct, at = np.unique(node, return_index=True)
+        new = np.sort(np.array([i for x, i in zip(distinct.tolist(), at.tolist()) if x not in seen], np.int64))
+        seen.update(distinct.tolist())
         line, key, probe = keys_of(sums, first[new], n[new], s)
-        order = np.lexsort((probe, line))
-        line, key, probe = line[order], key[order].view(np.int64), probe[order]
-        out = pd.DataFrame({"line": number, "node": node, "more": more.view(np.int64), "n": n})
-        ids = np.array([r.doc_id if r.doc_id is not None and r.doc_id == r.doc_id else -1 for r in rows], np.int64)
-        none = np.array([not (r.doc_id is not None and r.doc_id == r.doc_id) for r in rows])
-        out.insert(0, "doc_id", pd.array(pd.arrays.IntegerArray(ids[owner], none[owner])))
-        out.insert(1, "h", np.array([r.h for r in rows], np.int64)[owner])
-        for name, kind in (("own", 0), ("probes", 1)):
-            mine = probe == kind
-            ends = np.searchsorted(line[mine], np.arange(len(new) + 1))
-            lists = np.empty(len(node), object)
-            lists[:] = [key[:0]] * len(node)
-            part = key[mine]
-            for k, x in enumerate(new.tolist()):
-                lists[x] = part[ends[k] : ends[k + 1]]
-            out[name] = lists
-        return out
+        order = np.argsort(line, kind="stable")
+        line, key, probe = line[order], key[order], probe[order]
+        columns = [batch["doc_id"].take(pa.array(owner)), batch["h"].take(pa.array(owner)), pa.array(number.astype(np.int32)), pa.array(node), pa.array(more.view(np.int64)), pa.array(n.astype(np.int32))]
+        for kind in (0, 1):
+            sizes = np.zeros(len(node), np.int64)
+            sizes[new] = np.bincount(line[probe == kind], minlength=len(new))
+            columns.append(lists(key[probe == kind], sizes))
+        return pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
-    return rows.mapInPandas(run, "doc_id long, h long, line int, node long, more long, n int, own array<long>, probes array<long>")
+    return rows.mapInArrow(run, "doc_id long, h long, line int, node long, more long, n int, own array<long>, probes array<long>")
 
 
 def payload(docs: DataFrame, places: DataFrame, s: Settings) -> DataFrame:
-    """(node, words) of the lines at places (doc_id, h, line, node)."""
-    by_doc = places.groupBy("doc_id", "h").agg(F.collect_list(F.struct("line", "node")).alias("lines"))
+    """(node, words) of the lines at places (doc_id, h, line, node); equal rows give a node again."""
+    by_doc = places.groupBy("doc_id", "h").agg(F.collect_list("line").alias("lines"), F.collect_list("node").alias("nodes"))
     rows = docs.select(F.col("doc_id").cast("long").alias("d_"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h_"), "text")
-    by_doc = maybe_broadcast(by_doc, by_doc.count())
+    by_doc = maybe_broadcast(by_doc, 96 * places.count())
     rows = rows.join(by_doc, rows["d_"].eqNullSafe(by_doc["doc_id"]) & (rows["h_"] == by_doc["h"]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, found = [], []
-            for text, lines in batch.itertuples(index=False):
-                words, first, n = line_words(text)
-                for x in lines:
-                    nodes.append(x["node"])
-                    found.append(words[first[x["line"]] : first[x["line"]] + n[x["line"]]].view(np.int64))
-            yield pd.DataFrame({"node": nodes, "words": found})
+            for start, end in spans(batch["text"]):
+                nodes, sizes, found = [], [], [np.zeros(0, np.uint64)]
+                for text, lines, ids in zip(*(batch[c].slice(start, end - start) for c in ("text", "lines", "nodes"))):
+                    words, first, n = line_words(text_bytes(text))
+                    at = lines.values.to_numpy()
+                    nodes.append(ids.values.to_numpy())
+                    sizes.append(n[at])
+                    found.extend(words[first[k] : first[k] + n[k]] for k in at.tolist())
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), lists(np.concatenate(found), np.concatenate(sizes))], ["node", "words"])
 
-    return rows.select("text", "lines").mapInPandas(run, "node long, words array<long>").dropDuplicates(["node"])
+    return rows.select("text", "lines", "nodes").mapInArrow(run, "node long, words array<long>")
 
 
 def pair_links(pairs: DataFrame, s: Settings) -> DataFrame:
@@ -247,37 +248,25 @@ def split_hot(members: DataFrame, s: Settings) -> DataFrame:
     return members.join(chosen, ["grp", "node"]).select(F.col("part").alias("grp"), "node", "own", "n", "words")
 
 
-def group_links(members: DataFrame, s: Settings) -> DataFrame:
-    """Links (a, b) of an own line and any other inside groups of (grp, node, own, n, words), block by block; a forest for each pair of blocks."""
-    sizes = members.groupBy("grp").agg(F.count("*").alias("lines"), F.sum("n").alias("total")).where("lines > 1")
-    sizes = sizes.select("grp", F.greatest(F.ceil(F.col("lines") / s.block_lines), F.ceil(F.col("total") / s.block_words)).cast("int").alias("blocks"))
-    placed = members.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = placed.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "own", "words")
+def group_links(scratch: Scratch, members: DataFrame, s: Settings, label: str) -> DataFrame:
+    """Links (a, b) of an own line and any other inside groups of (grp, node, own, n, words), by block_links."""
+    sizes = members.groupBy("grp").agg(F.count("*").alias("lines"), F.sum("n").alias("total"), F.min("node").alias("rep")).where("lines > 1")
+    blocks = F.greatest(F.ceil(F.col("lines") / s.block_lines), F.ceil(F.col("total") / s.block_words)).cast("int")
 
-    def work(g: dict) -> list[tuple[int, int]]:
-        nodes, words = g["node"], [np.asarray(x) for x in g["words"]]
-        side = np.array(g["block"]) != g["i"][0]
-        if len(nodes) < 2:
-            return []
+    def alike(g: dict, side: np.ndarray | None, comp: np.ndarray | None) -> Iterator[tuple[int, int]]:
+        words = [np.asarray(x) for x in g["words"]]
         n = np.array([len(x) for x in words])
         d = s.distance(np.minimum(n[:, None], n[None, :]))
         own = np.array(g["own"], bool)
-        hit = (np.abs(n[:, None] - n[None, :]) <= d) & (own[:, None] | own[None, :])
-        if g["i"][0] != g["j"][0]:
-            hit &= side[:, None] != side[None, :]
-        if len(nodes) > 12:  # an edit costs a line one of its distinct words at most
+        hit = wanted_pairs(len(n), side, comp) & (np.abs(n[:, None] - n[None, :]) <= d) & (own[:, None] | own[None, :])
+        if len(n) > 12:  # an edit costs a line one of its distinct words at most
             common, size = common_words(words)
             hit &= np.maximum(size[:, None], size[None, :]) - common <= d
-        forest = Forest(len(nodes))
-        kept = []
-        for x, y in np.argwhere(np.triu(hit, 1)).tolist():
-            if forest.find(x) != forest.find(y) and within(words[x], words[y], int(d[x, y])):
-                forest.join(x, y)
-                kept.append((nodes[x], nodes[y]))
-        return kept
+        for x, y in np.argwhere(hit).tolist():
+            if within(words[x], words[y], int(d[x, y])):
+                yield x, y
 
-    return by_group(dealt, ["grp", "i", "j"], "node", work, "a long, b long")
+    return block_links(scratch, members, sizes.select("grp", blocks.alias("blocks"), "rep"), alike, label)
 
 
 def common_words(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -298,61 +287,88 @@ def common_words(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return common, size
 
 
+def useful_keys(lines: DataFrame) -> DataFrame:
+    """(key) of the keys that an index line and another line have; a hot key is summed before it is shuffled."""
+    every = key_rows(lines).groupBy("key").agg(F.min("probe").alias("kind"), F.min("node").alias("low"), F.max("node").alias("high"))
+    return every.where("kind = 0 and low != high").select("key")
+
+
+def key_rows(lines: DataFrame) -> DataFrame:
+    """(key, node, probe) of all keys of the lines; probe is 0 for an index line."""
+    own, probes = (lines.select(F.explode(c).alias("key"), "node", F.lit(k).alias("probe")) for k, c in enumerate(("own", "probes")))
+    return own.unionAll(probes)
+
+
 def repeated_lines(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc_id, h, lines, n_removed): for rows (doc_id, text hash h) the 0-based lines that an earlier line makes redundant.
 
     Lines that are equal word by word, or linked within the settings' distance, are one class (a connected
     component of links); of each class the first line stays, by doc_id (null first), text hash and line. Rows that agree in
     doc_id and text are treated alike. Equal lines collapse before anything is compared. The index lines of a key
-    meet each other and all its probes, exactly and in blocks; a hot key is first split by its lines' rare words.
+    meet each other and all its probes, exactly and in blocks; a hot key is first split by its lines' rare words. An empty
+    table has none.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     lines = scratch.save(occurrences(docs, s), "lines")
-    own = lines.select(F.explode("own").alias("key"), F.shiftleft("node", 1).alias("x"))
-    probes = lines.select(F.explode("probes").alias("key"), (F.shiftleft("node", 1) + 1).alias("x"))
-    over = "over (partition by key)"
-    keyed = own.unionAll(probes).selectExpr("key", "x", f"min(x & 1) {over} kind", f"min(shiftrightunsigned(x, 1)) {over} low", f"max(shiftrightunsigned(x, 1)) {over} high")
-    keyed = keyed.where("kind = 0 and low != high").groupBy("key", F.shiftrightunsigned("x", 1).alias("node")).agg((F.min(F.expr("x & 1")) == 0).alias("own"))
+    at = F.struct("doc_id", "h", "line")
+    exact = scratch.save(lines.groupBy("node", "more").agg(F.min(at).alias("first"), F.count("*").alias("lines")), "exact")
+    useful = scratch.save(useful_keys(lines), "useful")
+    keyed = key_rows(lines).join(maybe_broadcast(useful, 32 * useful.count()), "key").groupBy("key", "node").agg((F.min("probe") == 0).alias("own"))
     keyed = scratch.save(keyed, "keyed")
     sizes = scratch.save(keyed.groupBy("key").agg(F.count("*").alias("lines"), F.min("node").alias("a"), F.max("node").alias("b")), "sizes")
-    needed = keyed.select("node").distinct()
-    at = F.struct("doc_id", "h", "line")
-    places = lines.select("node", at.alias("at")).join(needed, "node").groupBy("node").agg(F.min("at").alias("at")).select("node", "at.*")
-    words = scratch.save(payload(docs, scratch.save(places, "places"), s), "words")
+    places = exact.join(keyed.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("first").alias("first")).select("node", "first.*")
+    words = scratch.save(payload(docs, scratch.save(places, "places"), s).dropDuplicates(["node"]), "words")
     pairs = sizes.where("lines = 2").select("a", "b").distinct()
     pairs = pairs.join(words.selectExpr("node a", "words wa"), "a").join(words.selectExpr("node b", "words wb"), "b")
     links = pair_links(pairs.select("a", "b", "wa", "wb"), s)
     larger = keyed.join(sizes.where("lines > 2").select("key", "lines"), "key").join(words, "node")
     larger = larger.select(F.col("key").alias("grp"), "node", "own", F.size("words").alias("n"), "words", "lines")
     hot = F.col("lines") > s.block_lines
-    links = links.unionAll(group_links(larger.where(~hot).drop("lines"), s))
-    if sizes.where(hot).limit(1).count():
+    links = links.unionAll(group_links(scratch, larger.where(~hot).drop("lines"), s, "warm"))
+    if not sizes.where(hot).isEmpty():
         parts = scratch.save(split_hot(larger.where(hot).drop("lines"), s), "parts")
-        links = links.unionAll(group_links(parts, s))
+        links = links.unionAll(group_links(scratch, parts, s, "hot"))
     classes = connected_components(scratch, links, "classes")
-    exact = lines.groupBy("node", "more").agg(F.min(at).alias("first"), F.count("*").alias("lines"))
-    exact = scratch.save(exact.join(classes, "node", "left").withColumn("more_", F.when(F.col("comp").isNull(), F.col("more"))).withColumn("comp", F.coalesce("comp", "node")), "exact")
+    exact = exact.join(classes, "node", "left").withColumn("more_", F.when(F.col("comp").isNull(), F.col("more"))).withColumn("comp", F.coalesce("comp", "node"))
     firsts = exact.groupBy("comp", "more_").agg(F.min("first").alias("first"), F.sum("lines").alias("lines")).where("lines > 1").select(F.struct("comp", "more_").alias("k"), "first")
     redundant = exact.select("node", "more", F.struct("comp", "more_").alias("k")).join(firsts, "k").select("node", "more", "first")
+    redundant = scratch.save(redundant, "redundant")
+    redundant = maybe_broadcast(redundant, 96 * redundant.count())
     gone = lines.select("node", "more", "doc_id", "h", "line").join(redundant, ["node", "more"]).where(at != F.col("first"))
     by_doc = gone.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("line")).alias("lines"))
-    return scratch.save(by_doc.withColumn("n_removed", F.size("lines").cast("long")), "gone")
+    return scratch.finish(by_doc.withColumn("n_removed", F.size("lines").cast("long")), "gone")
+
+
+def without(text: str | None, gone: np.ndarray | None) -> str | None:
+    """A text without the lines of these numbers; null where there are none."""
+    if gone is None:
+        return None
+    gone = set(gone.tolist())
+    return "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone)
 
 
 def dedup_lines(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Every row with its text without the lines that repeat an earlier one, plus n_removed.
 
     Other columns stay as they are; columns named n_removed are replaced. A row all of whose lines go keeps an
-    empty text; null texts stay null; lines shorter than min_words stay.
+    empty text; null texts stay null; lines shorter than min_words stay. An empty table stays empty.
     """
     gone = repeated_lines(docs, s)
-    gone = maybe_broadcast(gone.selectExpr("doc_id g_", "h gh_", "lines gone_", "n_removed gn_"), gone.count())
+    size = gone.agg(F.sum(F.lit(64) + 4 * F.col("n_removed"))).first()[0] or 0
+    gone = maybe_broadcast(gone.selectExpr("doc_id g_", "h gh_", "lines gone_", "n_removed gn_"), size)
     kept = [c for c in docs.columns if c.lower() != "n_removed"]
-    rows = docs.select(*kept, F.col("doc_id").cast("long").alias("d_"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h_"))
+    rows = docs.select(F.struct(*kept).alias("row"), F.col("doc_id").cast("long").alias("d_"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h_"))
     rows = rows.join(gone, F.col("d_").eqNullSafe(F.col("g_")) & (F.col("h_") == F.col("gh_")), "left")
-    left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("gone_", i))
-    text = F.when(F.col("gone_").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return rows.select(*(text.alias(c) if c == "text" else F.col(c) for c in kept), F.coalesce("gn_", F.lit(0)).cast("long").alias("n_removed"))
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, gone in batches:
+            yield pd.Series([without(x, y) for x, y in zip(texts, gone)], dtype=object)
+
+    cut = F.pandas_udf(run, "string", F.PandasUDFType.SCALAR_ITER)
+    hit = F.col("gone_").isNotNull()
+    rows = rows.withColumn("cut_", cut(F.when(hit, F.col("row.text")), "gone_"))  # texts that stay whole aren't sent
+    text = F.when(hit, F.col("cut_")).otherwise(F.col("row.text"))
+    return rows.select(*(text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in kept), F.coalesce("gn_", F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import Forest, Scratch, by_group, connected_components, maybe_broadcast, mix, shingle_hashes, table, word_hashes
+from citeweave.llm.common import Forest, Scratch, block_links, by_group, connected_components, maybe_broadcast, mix, shingles, table, text_bytes, wanted_pairs, word_hashes
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -37,32 +38,37 @@ class Settings:
         return self.rows * self.bands
 
 
+def cells_of(elements: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The unit cells that weighted elements fill, and how full each is; an element's first cell is named as itself."""
+    cells = np.ceil(weights).astype(np.int64)
+    at = np.arange(cells.sum()) - np.repeat(np.cumsum(cells) - cells, cells)
+    names = np.repeat(elements, cells)
+    more = at > 0
+    names[more] = mix(names[more] + at[more].astype(np.uint64) * _GOLD)
+    return names, np.minimum(np.repeat(weights, cells) - at, 1.0)
+
+
 def darts(elements: list[np.ndarray], s: Settings, weights: list[np.ndarray] | None = None) -> np.ndarray:
     """DartMinHash of many weighted sets: the rank of the earliest dart in each of k coordinates, by set.
 
-    Over each unit of an element's weight lies a Poisson process of darts, seeded by the element; a dart
-    has a rank, a place within the unit and a coordinate. Only darts up to the rank at which a set of that total
-    weight expects k ln k + 2k of them are thrown, so a long document costs no more than a short one besides its
-    hashing. Sets that then lack a coordinate throw on to twice the rank. An empty set has infinite ranks.
+    Over each unit cell of an element's weight lies a Poisson process of darts, seeded by the cell; a dart
+    has a rank, a place within the cell and a coordinate, and counts if the cell is filled up to its place. Only darts up to the rank
+    at which a set of that total weight expects k ln k + 2k of them are thrown, so a long document costs no more than a short one
+    besides its hashing. Sets that then lack a coordinate throw on to twice the rank. An empty set has infinite ranks.
     """
     out = np.full((len(elements), s.k), np.inf)
     todo = [j for j, e in enumerate(elements) if len(e)]
     reach = s.k * (np.log(s.k) + 2)
     while todo:
-        unit, frac, owner, limit = [], [], [], []
+        unit, full, owner, limit = [], [], [], []
         for j in todo:
-            e = elements[j]
-            w = np.ones(len(e)) if weights is None else weights[j]
-            cells = np.ceil(w).astype(np.int64)
-            if weights is not None:
-                n = np.arange(cells.sum()) - np.repeat(np.cumsum(cells) - cells, cells)
-                frac.append(np.minimum(np.repeat(w, cells) - n, 1))
-                e = mix(np.repeat(e, cells) + n.astype(np.uint64) * _GOLD)
-            unit.append(e)
-            owner.append(np.full(len(e), j))
-            limit.append(np.full(len(e), reach / w.sum()))
-        unit, owner, limit = np.concatenate(unit), np.concatenate(owner), np.concatenate(limit)
-        frac = np.concatenate(frac) if frac else None
+            names, filled = cells_of(elements[j], weights[j]) if weights is not None else (elements[j], np.ones(len(elements[j])))
+            unit.append(names)
+            full.append(filled)
+            owner.append(np.full(len(names), j))
+            limit.append(np.full(len(names), reach / filled.sum()))
+        unit, full, owner, limit = (np.concatenate(x) for x in (unit, full, owner, limit))
+        whole = bool((full == 1).all())
         rank, step, flat = np.zeros(len(unit)), 0, out.reshape(-1)
         while len(unit):
             step += 1
@@ -70,18 +76,24 @@ def darts(elements: list[np.ndarray], s: Settings, weights: list[np.ndarray] | N
             rank = rank - np.log(((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
             live = rank <= limit
             unit, owner, limit, rank, h = unit[live], owner[live], limit[live], rank[live], h[live]
-            coordinate = (mix(h + _GOLD) % np.uint64(s.k)).astype(np.int64)
-            if frac is None:
-                np.minimum.at(flat, owner * s.k + coordinate, rank)
+            at = owner * s.k + (mix(h + _GOLD) % np.uint64(s.k)).astype(np.int64)
+            if whole:
+                np.minimum.at(flat, at, rank)
             else:
-                frac = frac[live]
-                hit = (mix(h ^ _GOLD) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < frac
-                np.minimum.at(flat, (owner * s.k + coordinate)[hit], rank[hit])
+                full = full[live]
+                hit = (mix(h ^ _GOLD) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < full
+                np.minimum.at(flat, at[hit], rank[hit])
         todo = [j for j in todo if np.isinf(out[j]).any()]
         reach *= 2
     return out
 
 
+def weighted_shingles(text: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of a whole text, and how often each occurs."""
+    found, counts = np.unique(shingles(word_hashes(text)[0], s.shingle), return_counts=True)
+    return found, counts.astype(np.float64)
+
+
 def band_keys(ranks: np.ndarray, s: Settings) -> np.ndarray:
     """A 64-bit key for each band."""
     bits = np.ascontiguousarray(ranks).view(np.uint64).reshape(len(ranks), s.bands, s.rows)
@@ -103,32 +115,28 @@ def text_key(text: str) -> list[Column]:
 
 
 def signatures(docs: DataFrame, s: Settings) -> DataFrame:
-    """(doc_id, h1, h2, n, bands, sketch): n is the number of distinct shingles, 0 for a text without words."""
+    """(doc_id, h1, h2, n, bands, sketch): n is the number of shingles, 0 for a text without words."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, rows, size = [], [], 0
-            for doc_id, h1, h2, text in batch.itertuples(index=False):
-                e = shingle_hashes(word_hashes(text)[0], s.shingle)
-                sets.append(e)
-                rows.append((doc_id, h1, h2, len(e)))
-                size += len(e)
-                if size > 300_000:
-                    yield frame(rows, sets)
-                    sets, rows, size = [], [], 0
-            if rows:
-                yield frame(rows, sets)
-
-    def frame(rows: list, sets: list) -> pd.DataFrame:
-        ranks = darts(sets, s)
-        out = pd.DataFrame(rows, columns=["doc_id", "h1", "h2", "n"])
-        out["doc_id"] = out.doc_id.astype("Int64")
-        keys, bytes_ = band_keys(ranks, s), sketch(ranks)
-        out["bands"] = [k if len(e) else k[:0] for k, e in zip(keys, sets)]
-        out["sketch"] = [b.tobytes() if len(e) else b"" for b, e in zip(bytes_, sets)]
-        return out
-
-    return docs.select(F.col("doc_id").cast("long"), *text_key("text"), "text").mapInPandas(run, "doc_id long, h1 long, h2 long, n long, bands array<long>, sketch binary")
+            start, sets, size = 0, [], 0
+            for k, text in enumerate(batch.column("text")):
+                sets.append(weighted_shingles(text_bytes(text), s))
+                size += len(sets[-1][0])
+                if size > 300_000 or k == len(batch) - 1:
+                    yield signed(batch.slice(start, k + 1 - start), sets)
+                    start, sets, size = k + 1, [], 0
+
+    def signed(batch: pa.RecordBatch, sets: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        ranks = darts([e for e, _ in sets], s, [w for _, w in sets])
+        n = np.array([int(w.sum()) for _, w in sets], np.int64)
+        some = np.where(n > 0, s.bands, 0)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(some)]).astype(np.int32))
+        bands = pa.ListArray.from_arrays(offsets, pa.array(band_keys(ranks[n > 0], s).reshape(-1)))
+        sketches = pa.array([x.tobytes() if k else b"" for x, k in zip(sketch(ranks), n.tolist())], pa.binary())
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "h1", "h2")), pa.array(n), bands, sketches], ["doc_id", "h1", "h2", "n", "bands", "sketch"])
+
+    return docs.select(F.col("doc_id").cast("long"), *text_key("text"), "text").mapInArrow(run, "doc_id long, h1 long, h2 long, n long, bands array<long>, sketch binary")
 
 
 def loose_links(pairs: DataFrame, s: Settings) -> DataFrame:
@@ -173,16 +181,13 @@ def bucket_links(members: DataFrame, sketches: DataFrame, s: Settings) -> DataFr
     return by_group(dealt, ["key", "i", "j"], "node", work, "a long, b long")
 
 
-def similar(sets: list[np.ndarray], left: np.ndarray, threshold: float) -> np.ndarray:
-    """Pairs (i, j), i < j, whose Jaccard similarity reaches the threshold; only pairs across or within `left` as it says.
-
-    left: 0 or 1 for each set; with both present only pairs between them are wanted, else all.
-    """
+def similar(sets: list[np.ndarray], threshold: float, side: np.ndarray | None = None, comp: np.ndarray | None = None) -> np.ndarray:
+    """Pairs (i, j), i < j, of sets of cells whose Jaccard similarity reaches the threshold, as wanted_pairs limits them."""
     size = np.array([len(x) for x in sets], np.float32)
+    wanted = wanted_pairs(len(sets), side, comp)
     if len(sets) <= 6:  # small groups are many
-        pairs = [(i, j, len(np.intersect1d(sets[i], sets[j], assume_unique=True))) for i in range(len(sets)) for j in range(i + 1, len(sets))]
-        pairs = [(i, j) for i, j, c in pairs if c >= threshold * (size[i] + size[j] - c) - 1e-3 and (left[i] != left[j] or left.all() or not left.any())]
-        return np.array(pairs, int).reshape(-1, 2)
+        pairs = [(i, j, len(np.intersect1d(sets[i], sets[j], assume_unique=True))) for i, j in np.argwhere(wanted).tolist()]
+        return np.array([(i, j) for i, j, c in pairs if c >= threshold * (size[i] + size[j] - c) - 1e-3], int).reshape(-1, 2)
     at = np.repeat(np.arange(len(sets)), size.astype(int))
     _, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     keep = count[col] > 1
@@ -199,44 +204,28 @@ def similar(sets: list[np.ndarray], left: np.ndarray, threshold: float) -> np.nd
             common += m @ m.T
     union = size[:, None] + size[None, :] - common
     # in whole numbers: common / union >= threshold
-    hit = np.triu(common >= threshold * union - 1e-3, 1)
-    if left.any() and not left.all():
-        hit &= left[:, None] != left[None, :]
-    return np.argwhere(hit)
+    return np.argwhere(wanted & (common >= threshold * union - 1e-3))
 
 
-def group_links(members: DataFrame, s: Settings) -> DataFrame:
-    """Exact links (a, b) inside the groups of members (grp, node, n, shingles), block by block.
+def group_links(scratch: Scratch, members: DataFrame, s: Settings, label: str) -> DataFrame:
+    """Exact links (a, b) inside the groups of members (grp, node, n, cells), by block_links."""
+    sizes = members.groupBy("grp").agg(F.count("*").alias("docs"), F.sum("n").alias("total"), F.min("node").alias("rep")).where("docs > 1")
+    blocks = F.greatest(F.ceil(F.col("docs") / s.block_docs), F.ceil(F.col("total") / s.block_shingles)).cast("int")
 
-    A group of many documents is dealt into blocks by hash; each pair of blocks is one task's work of bounded
-    size. A task returns a spanning forest of its links, at most one row for each document that it holds.
-    """
-    sizes = members.groupBy("grp").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
-    sizes = sizes.where("docs > 1").select("grp", F.greatest(F.ceil(F.col("docs") / s.block_docs), F.ceil(F.col("total") / s.block_shingles)).cast("int").alias("blocks"))
-    placed = members.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # block b meets every block: as the lower one with b..last, as the higher one with 0..b-1
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = placed.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "shingles")
-
-    def work(g: dict) -> list[tuple[int, int]]:
-        side = np.array(g["block"]) != g["i"][0]
-        if len(side) < 2 or g["i"][0] != g["j"][0] and (side.all() or not side.any()):
-            return []
-        forest, nodes = Forest(len(side)), g["node"]
-        pairs = similar([np.asarray(x, np.int64) for x in g["shingles"]], side.astype(int), s.threshold)
-        return [(nodes[x], nodes[y]) for x, y in pairs.tolist() if forest.join(x, y)]
+    def alike(g: dict, side: np.ndarray | None, comp: np.ndarray | None) -> list:
+        return similar([np.asarray(x, np.int64) for x in g["cells"]], s.threshold, side, comp).tolist()
 
-    return by_group(dealt, ["grp", "i", "j"], "node", work, "a long, b long")
+    return block_links(scratch, members, sizes.select("grp", blocks.alias("blocks"), "rep"), alike, label)
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc_id, h1, h2, class_id, class_size) for every row: rows of one class are copies or linked near copies.
 
-    Two texts are linked if the Jaccard similarity of their sets of 5-word shingles (of all their words, where they
-    have fewer) is 0.8 or more; a class is a connected component of links. class_id is the least doc_id of
-    the class, class_size its number of rows. Equal texts are one class whatever their number; a null or wordless text
+    Two texts are linked if the weighted Jaccard similarity of their 5-word shingles (of all their words, where they
+    have fewer), each weighing as often as it occurs, is 0.8 or more; a class is a connected component of links. class_id is the least
+    doc_id of the class, class_size its number of rows. Equal texts are one class whatever their number; a null or wordless text
     has no shingles and its rows, equal or not, are classes of their own with their own doc_id. Null doc_ids are borne: a class whose
-    rows all have none has a null class_id. Repeated rows are copies of each other.
+    rows all have none has a null class_id. Repeated rows are copies of each other. An empty table has no rows.
 
     Copies collapse before anything is compared, so a group of copies of any size counts as one text. Members
     of a bucket meet its least one first, then all that aren't linked to it yet; those whose sketches are alike form groups,
@@ -250,38 +239,37 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     )
     texts = scratch.save(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
     bands = texts.select("node", F.explode("bands").alias("key"))
-    reps = bands.groupBy("key").agg(F.min("node").alias("rep"), F.count("*").alias("size")).where("size > 1")
+    reps = scratch.save(bands.groupBy("key").agg(F.min("node").alias("rep"), F.count("*").alias("size")).where("size > 1"), "reps")
     stars = scratch.save(bands.join(reps, "key").where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    slim = texts.select("node", "sketch", "n")
-    pairs = stars.join(slim.selectExpr("node a", "sketch sa", "n na"), "a").join(slim.selectExpr("node b", "sketch sb", "n nb"), "b")
+    slim = texts.select("node", "sketch")
+    pairs = stars.join(slim.selectExpr("node a", "sketch sa"), "a").join(slim.selectExpr("node b", "sketch sb"), "b")
     links = scratch.save(loose_links(pairs.select("a", "b", "sa", "sb"), s), "loose")
     first = connected_components(scratch, links, "first").withColumnRenamed("comp", "c")
     met = bands.join(reps.where("size > 2"), "key").join(first, "node", "left").select("key", "node", "rep", F.coalesce("c", "node").alias("comp"))
     met = met.join(first.select(F.col("node").alias("rep"), F.col("c").alias("rc")), "rep", "left")
     met = scratch.save(met.select("key", "node", "comp", (F.col("comp") == F.coalesce("rc", "rep")).alias("linked")), "met")
-    links = links.unionAll(bucket_links(met, texts.select("node", "sketch"), s))
-    groups = connected_components(scratch, links, "groups").withColumnRenamed("comp", "grp")
-    wanted = scratch.save(texts.join(groups, "node").select("grp", "node", "n", "h1", "h2", "least"), "wanted")
-    n_wanted = wanted.count()
-    keys = maybe_broadcast(wanted.select("h1", "h2", "least", "node"), n_wanted)
+    again = scratch.save(bucket_links(met, slim, s), "again")
+    groups = first if again.isEmpty() else connected_components(scratch, links.unionAll(again), "groups").withColumnRenamed("comp", "c")
+    wanted = scratch.save(texts.join(groups, "node").select(F.col("c").alias("grp"), "node", "n", "h1", "h2", "least"), "wanted")
+    keys = maybe_broadcast(wanted.select("h1", "h2", "least", "node"), 64 * wanted.count())
 
-    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"node": batch.node, "shingles": [shingle_hashes(word_hashes(x)[0], s.shingle).view(np.int64) for x in batch.text]})
+            yield pd.DataFrame({"node": batch.node, "cells": [cells_of(*weighted_shingles(x, s))[0].view(np.int64) for x in batch.text]})
 
     full = docs.select(F.col("doc_id").cast("long"), *text_key("text"), "text").join(keys, ["h1", "h2"]).where("doc_id <=> least")
-    full = full.select("node", "text").mapInPandas(shingles, "node long, shingles array<long>").dropDuplicates(["node"])
-    members = scratch.save(full.join(wanted.select("grp", "node", "n"), "node"), "members")
-    links = group_links(members, s)
-    classes = connected_components(scratch, links, "classes")
+    full = full.select("node", "text").mapInPandas(cells, "node long, cells array<long>").dropDuplicates(["node"])
+    members = scratch.save(full.join(wanted.select("grp", "node", "n"), "node").select("grp", "node", "n", "cells"), "members")
+    classes = connected_components(scratch, group_links(scratch, members, s, "blocks"), "classes")
     named = texts.select("node", "h1", "h2", "least", "copies").join(classes, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     by_class = named.groupBy("comp").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
     named = named.join(by_class, "comp").select("h1", "h2", "class_id", "class_size", F.lit(True).alias("known"))
     out = rows.select("doc_id", "h1", "h2").join(named, ["h1", "h2"], "left")
-    return out.select(
+    out = out.select(
         "doc_id", "h1", "h2", F.when(F.col("known"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
         F.when(F.col("known"), F.col("class_size")).otherwise(F.lit(1)).alias("class_size"),
     )
+    return scratch.finish(out, "found")
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,7 +283,7 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     The rows that go are few beside those that stay, so documents are matched against them alone.
     """
-    found = Scratch(spark, "neardup").save(near_duplicates(docs.select("doc_id", "text")), "found")
+    found = near_duplicates(docs.select("doc_id", "text"))
     key, stays = ["doc_id", "h1", "h2"], F.col("doc_id").eqNullSafe(F.col("class_id"))
     gone = found.where(~stays).select(*key).distinct()
     again = found.where(stays & (F.col("class_size") > 1)).groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
@@ -303,7 +291,7 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("d_"), *[c.alias(f"{n}_") for c, n in zip(text_key("text"), "xy")])
 
     def matched(keys: DataFrame, n: int, how: str) -> DataFrame:
-        k = maybe_broadcast(keys, n)
+        k = maybe_broadcast(keys, 64 * n)
         return rows.join(k, rows["d_"].eqNullSafe(k["doc_id"]) & (rows["x_"] == k["h1"]) & (rows["y_"] == k["h2"]), how)
 
     out = matched(gone.unionAll(again), n_gone + n_again, "left_anti").select("row.*")

@@ -72,8 +72,9 @@ def mix(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     # the bucket in which the quota ends; its documents alone are ordered
     last = plan.join(filled, "key").where("before < quota and quota < before + n").groupBy("key").agg(F.min_by(F.struct("bucket", "before"), "bucket").alias("last"))
     plan = scratch.save(plan.join(last, "key", "left"), "plan")
-    n_sources = plan.count()  # a row for each source: documents meet it without being dealt by source
-    plan = maybe_broadcast(plan, n_sources)
+    # a row for each source: documents meet it without being dealt by source
+    size = plan.agg(F.sum(F.lit(128) + F.coalesce(F.octet_length("key.source"), F.lit(0)))).first()[0] or 0
+    plan = maybe_broadcast(plan, size)
     rows = base.select("*", bucket, F.struct("source").alias("key")).join(plan, "key")
     edge = F.col("bucket") == F.col("last.bucket")
     inner = Window.partitionBy("key").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -84,7 +85,7 @@ def mix(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     )
     # without such a bucket the quota ends between two buckets: those that lie before it are taken
     ends = filled.join(plan.where("last is null"), "key").where("before + n <= quota").groupBy("key").agg(F.max("bucket").alias("end"))
-    others = others.join(maybe_broadcast(ends, n_sources), "key", "left").withColumn("part", F.col("size") * F.coalesce(F.col("part"), (F.col("bucket") <= F.col("end")).cast("int"), F.lit(0)))
+    others = others.join(maybe_broadcast(ends, size), "key", "left").withColumn("part", F.col("size") * F.coalesce(F.col("part"), (F.col("bucket") <= F.col("end")).cast("int"), F.lit(0)))
     cols = ["doc_id", "source", "size", "h", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).cast("long").alias("taken")]
     out = others.select(*cols).unionAll(at_edge.select(*cols))
     return out.withColumn("repeats", F.coalesce(F.col("taken") / F.nullif("size", F.lit(0)), F.lit(0.0))).drop("h")
@@ -97,4 +98,5 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken (the words that the mix takes) of every document."""
     return mix(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
