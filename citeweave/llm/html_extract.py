@@ -14,111 +14,228 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import table
+from citeweave.llm.common import table, word_hashes
 
-#: Fixed: elements of HTML that begin a block, that have no end tag, and whose content is no text of the page.
+#: Fixed: elements of HTML that begin a block, that have no end tag, whose content is no text of the page, and whose content is not markup.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul button label select option textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template svg iframe object head title canvas select textarea".split())
-#: Fixed: elements that an opening tag of the same group closes.
-CLOSES = {"li": {"li"}, "p": {"p"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+SILENT = frozenset("template svg math object head canvas select datalist".split())
+RAW = frozenset("script style noscript iframe title textarea noembed noframes xmp".split())
+#: Fixed: what may stand in a head and in a select; another element ends them.
+HEAD, SELECT = RAW | frozenset("base link meta template".split()), frozenset("option optgroup hr template".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Fixed: for an opening tag, which open elements it ends, and the elements beyond which it ends none.
+_SCOPE = frozenset("html table td th caption object template".split())
+ENDS = {
+    "li": (frozenset({"li"}), BLOCK - {"li", "p", "div", "address"}),
+    **{t: (frozenset({"dd", "dt"}), BLOCK - {"dd", "dt", "p", "div", "address"}) for t in ("dd", "dt")},
+    **{t: (frozenset({"td", "th"}), frozenset({"tr", "table"})) for t in ("td", "th")},
+    "tr": (frozenset({"tr"}), frozenset({"table"})),
+    **{t: (frozenset({"thead", "tbody", "tfoot", "tr"}), frozenset({"table"})) for t in ("thead", "tbody", "tfoot")},
+    "option": (frozenset({"option"}), frozenset({"select", "datalist"})),
+}
+_P = (frozenset({"p"}), _SCOPE | {"button"})
 #: Fixed: block elements inside which a paragraph can't stay open.
 ENDS_P = BLOCK - {"button", "label", "option", "body", "html"}
 
-_MARKUP = re.compile(r"""<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>""", re.S)
-_NAMES = re.compile(r"""\b(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_ATTRIBUTE = re.compile(r"""[\s/]*+(?:([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+)?+""")
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
+_SHORT_COMMENT = re.compile(r"<!--(?:>|->)")
+_NAMES = frozenset("class id role itemprop aria-label".split())
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+@dataclass
+class Element:
+    """An open element, and what stands above it: the hashed names on the path to it, how many, and the last one."""
+
+    tag: str
+    mask: int
+    depth: int
+    last: str
+    silent: bool
+
+
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    path: Element
     text: str
     linked: int  # characters inside links
 
 
+class Open:
+    """The open elements. Where an element of a kind last stands is looked up, never searched for, so that deep pages take linear time."""
+
+    def __init__(self) -> None:
+        self.stack = [Element("", 0, 0, "", False)]
+        self.at: dict[str, list[int]] = {}
+
+    def last(self, tags: frozenset) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def push(self, tag: str, names: list[str]) -> None:
+        top = self.stack[-1]
+        mask = top.mask
+        for x in names:
+            mask |= 1 << _bucket(x, PATH)
+        self.at.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(Element(tag, mask, top.depth + len(names), names[-1] if names else top.last, top.silent or tag in SILENT))
+
+    def cut(self, place: int) -> None:
+        """Ends the element at a place and all inside it."""
+        while len(self.stack) > place:
+            self.at[self.stack.pop().tag].pop()
+
+    def end(self, tags: frozenset, barrier: frozenset) -> None:
+        """Ends the innermost elements of these tags that no barrier stands above."""
+        beyond = self.last(barrier)
+        place = min((self.at[t][-1] for t in tags if self.at.get(t) and self.at[t][-1] > beyond), default=0)
+        if place:
+            self.cut(place)
+
+
+def tag_end(page: str, at: int, names: list[str] | None = None) -> int:
+    """Where a tag ends whose attributes begin at a place, -1 if nowhere; names gets the words of its class, id and the like."""
+    while True:
+        m = _ATTRIBUTE.match(page, at)
+        at = m.end()
+        if names is not None and m[1] and m[1].lower() in _NAMES:
+            names.extend(f".{w.lower()}" for w in _PARTS.findall(m[2] or m[3] or m[4] or ""))
+        if at >= len(page):
+            return -1
+        if page[at] == ">":
+            return at + 1
+        if not m[0]:
+            at += 1
+
+
 def blocks(page: str | None) -> list[Block]:
     """The page's leaves in order: text between block borders, with the path of tags and names above it.
 
-    Character references are decoded and white space is one space. Comments, scripts, styles and the head have
-    no leaves. Unclosed and stray tags are borne.
+    Character references are decoded and white space is one space; a line break is white space, an image is nothing. Comments, the
+    head and elements such as script, style or svg have no leaves, and what scripts and the like hold is not markup. Unclosed, stray
+    and odd tags are borne, optional end tags are supplied; a script or style without an end takes the rest of the page, a tag without an
+    end is text. The time is linear in the page, however deep it is.
     """
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
-    linked = links = 0
-    silent = ""
-    depth = 0
+    opened = Open()
+    stack = opened.stack
+    linked, link = 0, False
+    n = len(page)
+    last_tag_end, endless = page.rfind(">"), set()
 
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(tuple(x for _, names in stack for x in names), text, linked))
+            out.append(Block(stack[-1], text, linked))
         parts.clear()
         linked = 0
 
     def add(raw: str) -> None:
         nonlocal linked
-        if raw and not silent:
+        if not raw:
+            return
+        if stack[-1].tag == "head" and raw.strip():  # only a body has text
+            opened.cut(opened.at["head"][-1])
+        if not stack[-1].silent:
             text = html.unescape(raw)
             parts.append(text)
-            if links:
+            if link:
                 linked += len(text)
 
     at = 0
-    while m := _MARKUP.search(page, at):
-        add(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
-            if m[0].startswith("<![CDATA["):
-                add(m[0][9:-3])
+    while at < n:
+        start = page.find("<", at)
+        if start < 0 or start > last_tag_end and not page.startswith("<!--", start):
+            add(page[at:])
+            break
+        add(page[at:start])
+        if page.startswith("<!--", start):
+            short = _SHORT_COMMENT.match(page, start)
+            end = start + 1 if short else page.find("-->", start + 4)
+            at = short.end() if short else end + 3 if end >= 0 else n
             continue
-        tag, end = m[2].lower(), bool(m[1])
-        if silent:
-            depth += (tag == silent) * (-1 if end else 1)
-            if not depth:
-                silent = ""
+        if page.startswith("<![CDATA[", start):
+            end = page.find("]]>", start)
+            end = n if end < 0 else end
+            add(page[start + 9 : end].replace("&", "&amp;"))
+            at = end + 3
             continue
-        if tag in SILENT and not end:
-            if not (m[3] or "").rstrip().endswith("/"):
-                if tag in ("script", "style", "textarea", "title", "iframe", "noscript"):  # raw text: it ends at its own end tag
-                    close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                    at = close.end() if close else len(page)
-                else:
-                    silent, depth = tag, 1
-            parts.append(" ")
+        m = _TAG.match(page, start)
+        if not m:
+            if page[start + 1 : start + 2] in ("!", "?", "/"):  # a declaration, or an end tag without a name
+                end = page.find(">", start)
+                at = n if end < 0 else end + 1
+            else:
+                add("<")
+                at = start + 1
             continue
-        if tag == "a":
-            links = 0 if end else 1
-        if tag in ("br", "img", "input", "wbr", "hr"):
-            parts.append(" ")
-        if tag not in BLOCK and not _NAMES.search(m[3] or "") or tag in VOID:
-            if tag == "hr":
-                flush()
+        tag, closing, names = m[1].lower(), page[start + 1] == "/", []
+        end = tag_end(page, m.end(), None if closing else names)
+        if end < 0:
+            add(page[start : start + 1])
+            at = start + 1
             continue
-        if end:
-            if any(t == tag for t, _ in stack):
-                if tag in BLOCK:
-                    flush()
-                while stack.pop()[0] != tag:
-                    pass
-            elif tag in BLOCK:
+        at = end
+        if closing:
+            if tag == "a":
+                link = False
+            if tag == "br":
+                parts.append(" ")
+            heading = tag in HEADINGS
+            place = opened.last(HEADINGS) if heading else opened.last(frozenset({tag}))
+            if tag in BLOCK or tag in SILENT:
                 flush()
-        else:
-            if tag in BLOCK:
+                barrier = frozenset({"table"}) if tag in ("td", "th", "tr", "thead", "tbody", "tfoot", "caption") else _SCOPE - {tag}
+                if place and tag not in ("body", "html") and (place > opened.last(barrier) or tag in ("table", "head", "template", "object")):
+                    opened.cut(place)
+            elif place and place > opened.last(BLOCK):
+                opened.cut(place)
+            continue
+        top = stack[-1]
+        if top.tag == "head" and tag not in HEAD or tag == "body":
+            opened.cut(opened.at["head"][-1] if opened.at.get("head") else len(stack))
+        elif opened.at.get("select") and tag not in SELECT and tag not in RAW:
+            opened.cut(opened.at["select"][-1])
+        elif top.silent and tag in BLOCK:  # a drawing has no blocks
+            for drawing in ("svg", "math"):
+                if opened.at.get(drawing):
+                    opened.cut(opened.at[drawing][-1])
+        if tag in RAW:
+            found = None if tag in endless else _RAW_END[tag].search(page, at)
+            if tag == "textarea":
                 flush()
-            for closing in (CLOSES.get(tag, set()), {"p"} if tag in ENDS_P else set()):
-                for k in range(len(stack) - 1, max(-1, len(stack) - 3), -1):
-                    if stack[k][0] in closing:
-                        del stack[k:]
-                        break
-            named = [(x[1] or x[2] or x[3]) for x in (g.groups("") for g in _NAMES.finditer(m[3] or "")) for x in [x]]
-            words = [f".{w.lower()}" for x in named for w in _PARTS.findall(x)]
-            if tag in BLOCK or words and "/" not in (m[3] or "")[-1:]:
-                stack.append((tag, (tag if tag in BLOCK else "inline", *words)))
-    add(page[at:])
+            if found:
+                end = tag_end(page, found.end())
+                at = n if end < 0 else end
+            elif tag in ("script", "style"):
+                at = n
+            else:
+                endless.add(tag)
+            continue
+        if tag == "a":
+            link = True
+        if tag == "br":
+            parts.append(" ")
+        empty = page[end - 2] == "/" and tag not in BLOCK  # as drawings have them
+        if tag in BLOCK:
+            flush()
+            if tag in ENDS_P:
+                opened.end(*_P)
+            if tag in ENDS:
+                opened.end(*ENDS[tag])
+            if tag in HEADINGS and stack[-1].tag in HEADINGS:
+                opened.cut(len(stack) - 1)
+        if tag in VOID or empty:
+            continue
+        if tag in BLOCK or tag in SILENT:
+            opened.push(tag, [tag, *names])
+        elif names:
+            opened.push(tag, ["inline", *names])
     flush()
     return out
 
@@ -133,21 +250,29 @@ def _bucket(token: str, size: int) -> int:
     return zlib.crc32(token.encode("utf-8", "surrogatepass")) % size
 
 
-def vectors(found: list[Block]) -> np.ndarray:
-    """Tag-path and hashed-word vectors, and lengths, links, punctuation and place, of a page's blocks."""
-    x = np.zeros((len(found), N), np.float32)
-    for i, b in enumerate(found):
-        for k, name in enumerate(b.path):
-            x[i, _bucket(name, PATH)] = 1
-        if b.path:
-            x[i, _bucket("leaf:" + b.path[-1], PATH)] = 1
-        words = b.text.split()
-        for w in words:
-            x[i, PATH + _bucket(w.lower(), WORDS)] += 1 / len(words) ** 0.5
-        x[i, PATH + WORDS :] = (
-            np.log1p(len(words)) / 5, np.log1p(len(b.text)) / 7, b.linked / max(len(b.text), 1), b.text[-1:] in ".!?…", len(words) < 4,
-            i / max(len(found) - 1, 1), 1 / (1 + i), 1 / (len(found) - i), "©" in b.text, len(b.path) / 10,
-        )
+def vectors(found: list[Block], low: int = 0, high: int | None = None) -> np.ndarray:
+    """Tag-path and hashed-word vectors, and lengths, links, punctuation and place, of the blocks low to high of a page."""
+    part, total = found[low:high], len(found)
+    x = np.zeros((len(part), N), np.float32)
+    if not part:
+        return x
+    path = np.frombuffer(b"".join(b.path.mask.to_bytes(PATH // 8, "little") for b in part), np.uint8)
+    x[:, :PATH] = np.unpackbits(path.reshape(len(part), PATH // 8), axis=1, bitorder="little")
+    for i, b in enumerate(part):
+        if b.path.last:
+            x[i, _bucket("leaf:" + b.path.last, PATH)] = 1
+    texts = [b.text.lower().encode("utf-8", "surrogatepass") for b in part]
+    hashes, starts, _ = word_hashes(np.frombuffer(b"\n".join(texts), np.uint8))
+    owner = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, "right")
+    code = (hashes >> np.uint64(20)).astype(np.int64) % WORDS
+    words = np.bincount(owner, minlength=len(part))
+    counts = np.bincount(owner * WORDS + code, minlength=len(part) * WORDS).reshape(-1, WORDS)
+    x[:, PATH : PATH + WORDS] = counts / np.maximum(np.linalg.norm(counts, axis=1), 1)[:, None]
+    size, place = np.array([len(b.text) for b in part]), np.arange(low, low + len(part))
+    x[:, PATH + WORDS :] = np.stack([
+        np.log1p(words) / 5, np.log1p(size) / 7, np.array([b.linked for b in part]) / np.maximum(size, 1), np.array([b.text[-1:] in ".!?…" for b in part]), words < 4,
+        place / max(total - 1, 1), 1 / (1 + place), 1 / (total - place), np.array(["©" in b.text for b in part]), np.minimum(np.array([b.path.depth for b in part]) / 10, 3),
+    ], axis=1)
     return x
 
 
@@ -210,16 +335,47 @@ def _logits(x: np.ndarray, mask: np.ndarray, p: dict) -> tuple[np.ndarray, tuple
     return both @ p["v"] + p["a"], (both, k1, k2)
 
 
-def probabilities(pages: list[np.ndarray], p: dict) -> list[np.ndarray]:
+#: Blocks whose vectors are held at once; a longer page is read in stretches, in both directions, with the state carried on.
+_HELD = 4096
+
+
+def _states(pages: list[list[Block]], p: dict, side: str, held: list) -> np.ndarray:
+    """The outputs of one direction over pages side by side, (time, page, hidden); held keeps the vectors of a batch that fits for the other one."""
+    most, h_size = max(map(len, pages)), p["u" + side].shape[0]
+    step = max(1, _HELD // len(pages))
+    out = np.zeros((most, len(pages), h_size), np.float32)
+    h, c = np.zeros((2, len(pages), h_size), np.float32)
+    u, length = p["u" + side], np.array([len(x) for x in pages])
+    starts = range(0, most, step)
+    for low in starts if side == "f" else reversed(starts):
+        if held:
+            x = held[0]
+        else:
+            x = _batch([vectors(page, low, low + step) for page in pages])[0]
+            if most <= step:
+                held.append(x)
+        z_all = x @ p["w" + side] + p["b" + side]
+        for k in range(len(x)) if side == "f" else range(len(x) - 1, -1, -1):
+            live = np.flatnonzero(length > low + k)
+            z = z_all[k, live] + h[live] @ u
+            gates = _sigmoid(z[:, : 3 * h_size])
+            c[live] = gates[:, h_size : 2 * h_size] * c[live] + gates[:, :h_size] * np.tanh(z[:, 3 * h_size :])
+            h[live] = gates[:, 2 * h_size :] * np.tanh(c[live])
+            out[low + k] = h
+    return out
+
+
+def probabilities(pages: list[list[Block]], p: dict) -> list[np.ndarray]:
     """That each block is the article's; pages of alike lengths run together."""
     out: list[np.ndarray] = [np.zeros(0)] * len(pages)
     order = sorted((k for k in range(len(pages)) if len(pages[k])), key=lambda k: len(pages[k]))
     at = 0
     while at < len(order):
-        n = max(1, min(64, 20_000 // len(pages[order[min(at + 63, len(order) - 1)]])))
-        group = order[at : at + n]
+        n = max(1, min(64, _HELD // len(pages[order[min(at + 63, len(order) - 1)]])))
+        group, held = order[at : at + n], []
         at += n
-        z, _ = _logits(*_batch([pages[k] for k in group]), p)
+        some = [pages[k] for k in group]
+        z = np.concatenate([_states(some, p, "f", held), _states(some, p, "r", held)], axis=2) @ p["v"] + p["a"]
         for j, k in enumerate(group):
             out[k] = _sigmoid(z[: len(pages[k]), j, 0])
     return out
@@ -390,18 +546,20 @@ def extract(pages: DataFrame, weights: dict | None = None) -> DataFrame:
     """Adds text and n_chars to every row: the article's blocks in page order, joined by a blank line.
 
     A null or empty page, or one whose blocks are all rejected, has an empty text. A page without markup is one block.
-    Whole pages are read, whatever their length. Repeated rows stay; other columns may be null; columns named
-    text and n_chars are replaced.
+    Whole pages are read, whatever their length and depth. Repeated rows stay; other columns may be null; columns named
+    text and n_chars are replaced; an empty table stays empty.
     """
     shared = pages.sparkSession.sparkContext.broadcast(train() if weights is None else weights)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            out = []
-            for at in range(0, len(batch), 256):
-                found = [blocks(x) for x in batch.iloc[at : at + 256]]
-                scores = probabilities([vectors(x) for x in found], shared.value)
-                out += ["\n\n".join(b.text for b, p in zip(x, s) if p >= 0.5) for x, s in zip(found, scores)]
+            out, found = [], []
+            for k, page in enumerate(batch):
+                found.append(blocks(page))
+                if sum(map(len, found)) >= 4 * _HELD or k == len(batch) - 1:
+                    scores = probabilities(found, shared.value)
+                    out += ["\n\n".join(b.text for b, p in zip(x, s) if p >= 0.5) for x, s in zip(found, scores)]
+                    found = []
             yield pd.Series(out, dtype=object)
 
     udf = F.pandas_udf(run, "string", F.PandasUDFType.SCALAR_ITER)
