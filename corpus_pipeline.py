@@ -20,14 +20,14 @@ STAGES = [
     ("mix", stage_mix),
 ]
 
-#: Learned scores, hashed signatures and latent spaces have no SQL form; the tests hold each stage against brute force.
+#: Learned scores, hashed signatures and latent spaces have no SQL form; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each stage's rows are written and read again."""
+    """Applies the stages to documents; each stage's rows are written and read again, and removed when the next one's are written."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        docs = scratch.finish(stage(spark, docs, sf_dir), name)
     return docs

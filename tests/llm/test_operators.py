@@ -4,9 +4,11 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
+import xxhash
 
 from citeweave.llm import chat_format, decontaminate, html_extract, language_id, line_dedup, minhash, mixing, quality_classifier, quality_rules, url_filter
 from citeweave.llm.common import shingle_hashes, word_hashes
@@ -221,7 +223,35 @@ def test_decontamination_of_an_item_in_a_third_of_the_rows(spark):
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     expected = {(d, 0) for d in range(0, 1500, 3)} | {(1000, 1), (1500, 2)}
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect()} == expected
-    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench, decontaminate.Settings(stretch_blocks=2)).collect()} == expected
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench, decontaminate.Settings(cells=8)).collect()} == expected
+
+
+def test_decontamination_matches_brute_force(spark):
+    """Documents with edited items against the check of every item at every block of every document."""
+    rng = random.Random(31)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.text]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    some = [x for _, t in docs[:80] for x in t.split()]
+    for k in range(120):
+        w = rng.choice(items)[1].split()
+        for j in rng.sample(range(max(0, len(w) - 5)), int(rng.choice([0, 0.1, 0.2, 0.3, 0.45]) * max(0, len(w) - 5))):
+            w[j] = rng.choice(some)
+        for _ in range(rng.choice([0, 0, len(w) // 10])):
+            w.insert(rng.randrange(len(w) - 5), rng.choice(some))
+        around = [rng.choice(docs)[1].split()[: rng.randrange(150)] for _ in range(2)]
+        docs.append((10_000 + k, " ".join([*around[0], *w, *around[1]])))
+    s = decontaminate.Settings()
+    hashed = [(i, word_hashes(t)[0]) for i, t in items if t]
+    expected = set()
+    for d, t in docs:
+        w = word_hashes(t)[0]
+        for i, item in hashed:
+            if np.isin(item, w).mean() >= 0.4:
+                found = [decontaminate.holds(item, w, at, s) for at in range(0, max(1, len(w)), s.block)]
+                if any(share >= s.sure or share >= s.maybe and answer for share, answer in found):
+                    expected.add((d, i))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), decontaminate.Settings(rank=16)).collect()}
+    assert len(expected) > 100 and got == expected
 
 
 def test_svd_keeps_the_space(spark):
@@ -315,17 +345,66 @@ def test_html():
     assert [b.text for b in found] == ["Home", "News", "Head & tail", "A first paragraph of words, with some more of them.", "And a second one <b> here, which is long enough.", "Unclosed third one is here too, as text.", "Nice text, I liked it a lot.", "© all"]
     assert html_extract.blocks(None) == [] and html_extract.blocks("<p") != [None]
     weights = html_extract.train(html_extract.Settings(pages=250, epochs=5))
-    p = html_extract.probabilities([html_extract.vectors(found)], weights)[0]
+    p = html_extract.probabilities([found], weights)[0]
     assert (p >= 0.5).tolist() == [False, False, True, True, True, True, False, False]
     fresh = [(html_extract.blocks(x), y) for x, y in html_extract.training_pages(60, 5)]
-    scores = html_extract.probabilities([html_extract.vectors(x) for x, _ in fresh], weights)
+    scores = html_extract.probabilities([x for x, _ in fresh], weights)
     assert np.mean(np.concatenate([(s >= 0.5) == np.array(y, bool) for s, (_, y) in zip(scores, fresh)])) > 0.95
 
 
 def test_html_vectors_read_whole_blocks():
     long = [html_extract.blocks(f"<p>{'same ' * 300}{w * 300}</p>") for w in ("one ", "two ")]
     x, y = (html_extract.vectors(b)[0, html_extract.PATH : html_extract.PATH + html_extract.WORDS] for b in long)
-    assert np.allclose(np.sort(x)[-2:], 300 / 600**0.5) and not np.allclose(x, y)
+    assert np.allclose(np.sort(x)[-2:], 0.5**0.5) and not np.allclose(x, y)
+
+
+def test_html_in_stretches_is_as_whole(monkeypatch):
+    found = [html_extract.blocks(x) for x, _ in html_extract.training_pages(12, 9)]
+    weights = html_extract.train(html_extract.Settings(pages=40, epochs=1))
+    whole = html_extract.probabilities(found, weights)
+    monkeypatch.setattr(html_extract, "_HELD", 5)  # every page is read in stretches
+    for x, y in zip(whole, html_extract.probabilities(found, weights)):
+        assert np.allclose(x, y, atol=1e-5)
+
+
+@pytest.mark.parametrize("page, expected", [
+    ("<html><head><title>t</title><body><p>one</p><div>two</div>", ["one", "two"]),
+    ("<head><meta charset=x><p>one", ["one"]),
+    ('<head><script>var s="<!--";</script></head><body><p>a</p></body>', ["a"]),
+    ("<p>x</p><script>a</script foo><p>rest</p>", ["x", "rest"]),
+    ('<head><script>var x="</head>"; foo()</script></head><p>y</p>', ["y"]),
+    ("foo<img>bar <b>x</b>y<br>z", ["foobar xy z"]),
+    ("<ul><li>a<div><p>b</div><li>c<ul><li>d</ul>e</ul><table><tr><td>1<td>2<tr><td>3</table>", ["a", "b", "c", "d", "e", "1", "2", "3"]),
+    ("<svg><title>q</title><p>after", ["after"]),
+    ("a < b <3 &amp; c <x", ["a < b <3 & c <x"]),
+    ("<noscript><p>one</p>", ["one"]),
+    ("<select><option>o<p>t", ["t"]),
+    ("<p>a<!-- b --> c<!--> d<!-- never ended <p>e", ["a c d"]),
+    ("<p title='it>x'>a</p><p title=it's>b", ["a", "b"]),
+])
+def test_odd_html(page, expected):
+    assert [b.text for b in html_extract.blocks(page)] == expected
+
+
+def test_deep_and_broken_html_takes_linear_time():
+    start = time.time()
+    deep = html_extract.blocks("<div>x " * 100_000)
+    assert len(deep) == 100_000 and html_extract.vectors(deep, 99_000).shape == (1000, html_extract.N)
+    for page in ("<noscript>" * 100_000, "<a b='" * 50_000 + ">", "<i class=x><div>" + "<span class=y>" * 20_000 + "</i>" * 20_000, "<" * 200_000, "<!--" * 100_000):
+        html_extract.blocks(page)
+    assert time.time() - start < 60
+
+
+def test_html_rows(spark):
+    html = "<nav><a href=x>Home</a></nav><article><h1>A head line</h1><p>Some words of text, and then some more of them.</p></article>"
+    rows = spark.createDataFrame([(1, html, "u"), (1, html, "u"), (2, None, None), (None, "", "u"), (3, "<li>x" * 30_000, "u")], "page_id long, html string, text string").repartition(2)
+    weights = html_extract.train(html_extract.Settings(pages=250, epochs=5))
+    out = html_extract.extract(rows, weights)
+    assert out.columns == ["page_id", "html", "text", "n_chars"]
+    got = sorted((r.page_id or 0, r.text, r.n_chars) for r in out.where("page_id is null or page_id < 3").collect())
+    one = "A head line\n\nSome words of text, and then some more of them."
+    assert got == [(0, "", 0), (1, one, len(one)), (1, one, len(one)), (2, "", 0)]
+    assert html_extract.extract(rows.limit(0), weights).count() == 0 and out.count() == 5
 
 
 def test_language_and_quality_on_held_out_rows(spark, odd):
@@ -341,6 +420,148 @@ def test_language_and_quality_on_held_out_rows(spark, odd):
     assert {r.score for r in quality_classifier.classify(odd, m).collect()} == {0.5}
 
 
+def test_a_language_whose_rows_repeat_is_learned(spark):
+    en, fr = invented(300, 4), "les mots de la langue se suivent ici et tous sont pareils"
+    rows = [(i, t, "en") for i, t in enumerate(en)] + [(1000, fr, "fr")] * 20_000 + [(2000 + i, None, "de") for i in range(5)] + [(3000, "x", None)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), language_id.Settings(buckets=4096, rows_per_language=50))
+    assert model.languages == ["en", "fr"] and model.predict(fr)[0] == "fr" and model.predict(en[7])[0] == "en"
+    many = [(i, f"{t} l{i % 300}", f"l{i % 300}") for i, t in enumerate(invented(900, 6))]  # more languages than the sample has room for
+    few = language_id.train(spark.createDataFrame(many, "doc_id long, text string, lang string"), language_id.Settings(buckets=256, sample_rows=200, epochs=1))
+    assert len(few.languages) == 300
+
+
+def spark_hash(*parts):
+    """Spark's xxhash64 of strings and ints."""
+    seed = 42
+    for x in parts:
+        seed = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else x.to_bytes(4, "little", signed=True), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def test_log_ratios_match_brute_force(spark, odd):
+    s = quality_rules.Settings(buckets=512)
+    long = [(60 + i, " ".join(invented(3, 40 + i)), "en", "a", "x") for i in range(12)]
+    df = odd.unionAll(spark.createDataFrame(long, DOCS))
+    trusted = df.where("doc_id between 60 and 65").select("doc_id")
+    rows = df.select("doc_id", "text").collect()
+
+    def grams(t):
+        w = WORD.findall(t or "")
+        return [spark_hash(x) % 512 for x in w] + [spark_hash(x, y) % 512 for x, y in zip(w, w[1:])]
+
+    raw, good = np.zeros(512), np.zeros(512)
+    for r in rows:
+        np.add.at(raw, grams(r.text), 1)
+        if r.doc_id is not None and 60 <= r.doc_id <= 65:
+            np.add.at(good, grams(r.text), 1)
+    ratio = np.log((good + 1) / (good.sum() + 512)) - np.log((raw + 1) / (raw.sum() + 512))
+    llr = {(r.doc_id, r.text): float(np.mean(ratio[grams(r.text)])) if grams(r.text) else 0.0 for r in rows}
+    cut = np.quantile([llr[r.doc_id, r.text] for r in rows if r.doc_id is not None and 60 <= r.doc_id <= 65], s.trusted_loss) - s.slack
+    out = quality_rules.apply_rules(df, trusted, s).join(df.select("doc_id", "text"), "doc_id").distinct().collect()
+    seen = set()
+    for r in out:
+        seen.add(r.kept)
+        assert abs(r.llr - llr[r.doc_id, r.text]) < 1e-9 and r.kept == (not r.base_failed and llr[r.doc_id, r.text] >= cut)
+    assert seen == {True, False}
+
+
+def test_url_verdicts_match_brute_force(spark):
+    s = url_filter.Settings(buckets=4096, order=2)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 6)))
+    urls = [f"https://{word()}.{rng.choice(['net', 'org', 'com', 'example.net', 'example.com'])}/{rng.choice(['en', 'fr', 'de'])}/{word()}" for _ in range(300)]
+    urls += urls[:20] + [None, "", "x", "http://a"]
+    rows = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id int, url string"), s=s).collect()
+    ruled = {r.url: r.verdict for r in rows if r.basis == "rule"}
+    tune = {u for u in ruled if spark_hash(u, s.seed + 1) % s.folds == 0}
+
+    def grams(u):
+        t = "\x01" * s.order + u
+        return [[spark_hash(2 * n + more, t[i - n : i + more]) % s.buckets for n in range(s.order + 1) for more in (0, 1)] for i in range(s.order, len(t))]
+
+    counts = {v: np.zeros(s.buckets) for v in ("allow", "block")}
+    for u, v in ruled.items():
+        if u not in tune:
+            np.add.at(counts[v], [b for g in grams(u) for b in g], 1)
+
+    def llr(u):
+        total = 0.0
+        for g in grams(u):
+            p = dict.fromkeys(counts, 1.0 / s.alphabet)
+            for n in range(s.order + 1):
+                p = {v: (counts[v][g[2 * n + 1]] + s.strength * p[v]) / (counts[v][g[2 * n]] + s.strength) for v in p}
+            total += np.log(p["allow"]) - np.log(p["block"])
+        return total / len(u) if u else 0.0
+
+    cut = min(0.0, np.quantile([llr(u) for u in tune if ruled[u] == "allow"], s.accepted_loss))
+    by_model = [r for r in rows if r.basis == "model"]
+    assert {r.verdict for r in by_model} == {"allow", "block"}
+    for r in rows:
+        assert abs(r.llr - llr(r.url or "")) < 1e-9
+    for r in by_model:
+        assert r.verdict == ("allow" if llr(r.url or "") >= cut - 1e-12 else "block")
+
+
+def test_quality_score_is_the_pairs_logistic(spark):
+    """The learned weights order held-out pairs, and the score is the logistic of the distance from the cut."""
+    s = quality_classifier.Settings(pairs=2000, epochs=2)
+    good = [". ".join(invented(3, 100 + i)) + "." for i in range(60)]
+    bad = ["### $$$ " * (5 + i % 9) + "a a a a" for i in range(60)]
+    x = np.array([quality_classifier.features(t, s) for t in good[:40] + bad[:40]])
+    m = quality_classifier.fit(x, np.array([1] * 40 + [0] * 40), s)
+    raw = lambda t: float((quality_classifier.features(t, s) - m.centre) @ m.weights)
+    assert all(raw(a) > raw(b) for a, b in zip(good[40:], bad[40:]))
+    for t in good[40:] + bad[40:] + ["", None]:
+        assert abs(m.score(t) - 1 / (1 + np.exp(-np.clip((raw(t) - m.cut) / m.scale, -30, 30)))) < 1e-12
+    df = spark.createDataFrame([(1, None, "s"), (1, None, "s"), (None, good[0], None), (3, "x " * 300_000, "s")], "doc_id long, text string, score string").repartition(2)
+    out = quality_classifier.classify(df, m)
+    assert out.columns == ["doc_id", "text", "score", "predicted"] and out.count() == 4
+
+
+def test_empty_tables(spark, odd):
+    """Every operator gives no rows for an empty table."""
+    none = odd.limit(0)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([], "item_id long, text string")
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    talks = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert language_id.identify(none, language_id.train(none, language_id.Settings(buckets=64))).count() == 0
+    assert quality_classifier.classify(none, quality_classifier.train(none, labels)).count() == 0
+    assert quality_rules.apply_rules(none, none.select("doc_id")).count() == 0 and mixing.mix(none).count() == 0
+    assert minhash.near_duplicates(none).count() == 0 and minhash.stage_near_dedup(spark, none, SF).count() == 0
+    assert url_filter.judge(pages.select("page_id", "url")).count() == 0
+    assert decontaminate.leaks(none, bench).count() == 0 and decontaminate.stage_decontaminate(spark, none, SF).count() == 0
+    assert chat_format.format_trees(spark, chat_format.turn_trees(talks)).count() == 0
+    assert line_dedup.dedup_lines(none).count() == 0
+
+
+def test_clashing_names_and_very_long_texts(spark):
+    """Columns named as the operators name theirs inside, and a text of megabytes with many lines."""
+    words = invented(40, 12)
+    long = "\n".join(f"{words[k % 40]} {k}" for k in range(30_000))
+    extra = "doc_id long, text string, lang string, source string, h1 long, h_ long, row string, node long, comp long, gone_ string, n_removed string, score string, kept string, size string"
+    rest = (7, 7, "x", 7, 7, "x", "x", "x", "x", "x")
+    rows = [(1, long, "en", "a", *rest), (2, words[0], "en", "a", *rest), (2, words[0], "en", "a", *rest), (None, None, None, None, *rest[:-1], None), (4, long + " end", "en", "b", *rest)]
+    df = spark.createDataFrame(rows, extra).repartition(2)
+    lines = line_dedup.stage_line_dedup(spark, df, SF)
+    assert lines.columns == df.columns and lines.count() == 5
+    near = minhash.stage_near_dedup(spark, df, SF)
+    assert near.columns == df.columns and sorted((r.doc_id or 0) for r in near.collect()) == [0, 1, 2]
+    assert decontaminate.stage_decontaminate(spark, df, SF).columns == df.columns
+    assert {r.taken is None for r in mixing.mix(df).collect()} == {False}
+    rules = quality_rules.apply_rules(df, df.select("doc_id"))
+    assert {r.n_words for r in rules.where("doc_id in (1, 4)").collect()} == {len(long.split()), len(long.split()) + 1}
+    langs = language_id.identify(df, language_id.train(df, language_id.Settings(buckets=4096, epochs=2)))
+    assert {(r.doc_id, r.lang_pred) for r in langs.collect()} == {(1, "en"), (2, "en"), (None, "und"), (4, "en")}
+
+
+def test_chat_rows_with_clashing_names(spark):
+    rows = [(1, 0, "user", "a", 5, 6, "x"), (1, 1, "assistant", "b", 5, 6, "x"), (None, 0, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, node long, tree long, leaf string")
+    got = {r.tree: r.formatted for r in chat_format.format_trees(spark, chat_format.turn_trees(df)).collect()}
+    assert got == {1: "### user: a</turn>\n### assistant: b</turn>\n", None: "### : </turn>\n"}
+
+
 def test_digest(spark):
     row = chat_format.op9_chat_format(spark, SF).where("conv_id = -7").first()
     text = r"\### Assistant: </turn> ok"
