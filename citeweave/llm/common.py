@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -49,6 +50,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_TIDIED = [0.0]
+
+
+def tidy(spark: SparkSession, seconds: float = 5.0) -> None:
+    """Has the driver collect its garbage, so that Spark's cleaner drops the shuffle files and broadcasts of plans that are done, on all executors.
+
+    Otherwise they stay until the driver's heap is full, which a driver of an operator of many small steps seldom is.
+    """
+    if time.monotonic() - _TIDIED[0] > seconds:
+        spark._jvm.java.lang.System.gc()
+        _TIDIED[0] = time.monotonic()
+
+
 class Scratch:
     """Intermediate tables as Parquet in the shared folder: they cut lineage and outlive lost executors."""
 
@@ -61,6 +75,7 @@ class Scratch:
         path = f"{self.base}/{label}"
         df.write.option("parquet.block.size", _ROW_GROUP).parquet(path)
         self.labels.append(label)
+        tidy(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, label: str) -> None:
@@ -325,7 +340,7 @@ def connected_components(scratch: Scratch, edges: DataFrame, label: str) -> Data
         step += 1
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").selectExpr("b a", "m b").where("a != b").distinct()
+        large = both.where("b > a").join(least, "a").selectExpr("b a", "m b").where("a != b")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").selectExpr("b a", "m b").unionAll(least.selectExpr("a", "m b"))
         edges = scratch.save(small.where("a != b").distinct(), f"{label}-{step}")
