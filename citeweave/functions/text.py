@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from html.entities import html5
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Word lists and patterns that results depend on.
@@ -22,9 +24,6 @@ ARXIV_PATTERNS = [
     r"\b(\d{4}\.\d{4,5}(?:v\d+)?)\b",
     r"(?i)\b([a-z\-]+/\d{7}(?:v\d+)?)\b",
 ]
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once a row however often body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -43,23 +42,50 @@ def normalize_space(c: Column) -> Column:
     return F.trim(F.regexp_replace(_text(c), r"(?U)\s+", " "))
 
 
-def unescape_basic(c: Column) -> Column:
-    """The five XML references; functions.references.unescape_html knows all of HTML's."""
-    for name, char in ENTITIES:
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
+#: The names that need a semicolon, and those that HTML also knows without one, the longest first; both from the standard's table.
+NAMED = json.dumps({k: v for k, v in html5.items() if k.endswith(";")})
+BARE = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
+
+
+def _character(n: Column) -> Column:
+    """The character of a code point, by its UTF-16 form; what is none is U+FFFD, controls of the range 128 to 159 are dropped."""
+    pair = F.concat(F.lpad(F.hex(55296 + F.shiftright(n - 65536, 10)), 4, "0"), F.lpad(F.hex(56320 + (n - 65536).bitwiseAND(1023)), 4, "0"))
+    units = F.when(n < 65536, F.lpad(F.hex(n), 4, "0")).otherwise(pair)
+    none = (n == 0) | n.between(55296, 57343) | (n > 1114111)
+    return F.when(none, "\ufffd").when(n.between(128, 159), "").otherwise(F.decode(F.unhex(units), "UTF-16BE"))
+
+
+def unescape_html(c: Column) -> Column:
+    """Decodes HTML's character references, by number or by name."""
+
+    def one(piece: Column) -> Column:
+        number = F.regexp_extract(piece, "^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", 0)
+        digits = F.regexp_extract(number, "([0-9a-fA-F]+);?$", 1)
+        code = F.when(F.length(digits) > 9, F.lit(1 << 30)).when(number.rlike("^#[xX]"), F.conv(digits, 16, 10).cast("int")).otherwise(digits.try_cast("int"))
+        name = F.regexp_extract(piece, "^[A-Za-z][A-Za-z0-9]*;", 0)
+        bare = F.regexp_extract(piece, f"^(?:{'|'.join(BARE)})", 0)
+        known = F.from_json(F.lit(NAMED), "map<string,string>")
+        rest = lambda x: F.substring(piece, F.length(x) + 1, F.length(piece))
+        named = F.element_at(known, name)
+        return (
+            F.when(number != "", F.concat(_character(code), rest(number))).when(named.isNotNull(), F.concat(named, rest(name)))
+            .when(bare != "", F.concat(F.element_at(known, F.concat(bare, F.lit(";"))), rest(bare))).otherwise(F.concat(F.lit("&"), piece))
+        )
+
+    pieces = F.split(c, "&", -1)
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(pieces, lambda x, i: F.when(i == 0, x).otherwise(one(x))), "")).otherwise(c)
 
 
 def normalize_title(c: Column) -> Column:
-    return F.regexp_replace(F.lower(unescape_basic(_text(c))), "[^a-z0-9]+", "")
+    return F.regexp_replace(F.lower(unescape_html(_text(c))), "[^a-z0-9]+", "")
 
 
 def normalize_venue(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(unescape_basic(_text(c))), VENUE_WORDS, " "), "[^a-z0-9]+", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(unescape_html(_text(c))), VENUE_WORDS, " "), "[^a-z0-9]+", "")
 
 
 def normalize_doi(c: Column) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_replace(F.trim(_text(c)), DOI_PREFIX, ""), "[.,;:]+$", ""))
+    return F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(_text(c), r"(?U)^\s+|\s+$", ""), DOI_PREFIX, ""), "[.,;:]+$", ""))
 
 
 def normalize_url(c: Column) -> Column:
@@ -86,12 +112,15 @@ def query_words(c: Column, n: int) -> Column:
     return F.transform(title_words(c, n), F.lower)
 
 
-def plain_words(c: Column, n: int = 12) -> Column:
-    return F.transform(F.slice(F.regexp_extract_all(_text(c), F.lit(PLAIN_WORD), F.lit(0)), 1, n), F.lower)
+def plain_words(c: Column, n: int | None = 12) -> Column:
+    """The first n words, or all of them."""
+    words = F.regexp_extract_all(_text(c), F.lit(PLAIN_WORD), F.lit(0))
+    return F.transform(words if n is None else F.slice(words, 1, n), F.lower)
 
 
 def build_query_words(title: Column, raw: Column, n: int = 8) -> Column:
-    return query_words(F.coalesce(nonempty(title), raw), n)
+    """The title's words; the raw citation's where the title is blank."""
+    return query_words(F.coalesce(nonempty(normalize_space(title)), normalize_space(raw)), n)
 
 
 def extract_arxiv_id(c: Column) -> Column:
@@ -203,6 +232,20 @@ def citation_ids(sentence: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(tokens, numbers))))
 
 
+def citation_contexts(docs: DataFrame, key: str, body: str, known: DataFrame) -> DataFrame:
+    """(key, citation_id, contexts) for the references in known (key, citation_id) that a text's sentences mark.
+
+    A context is a sentence and the sentences before, itself and after it; contexts are in the text's order, and equal ones stand once.
+    """
+    rows = docs.select(key, split_sentences(F.col(body)).alias("s")).select(key, "s", F.posexplode("s").alias("p", "x")).where(F.contains("x", F.lit("[")))
+    near = F.slice("s", F.greatest(F.col("p"), F.lit(1)), F.when(F.col("p") > 0, 3).otherwise(2))
+    context = F.struct(F.col("x").alias("sentence"), near.alias("expanded_context"))
+    rows = rows.select(key, F.explode(citation_ids(F.col("x"))).alias("citation_id"), "p", context.alias("c"))
+    rows = rows.join(known.select(key, "citation_id").distinct(), [key, "citation_id"], "left_semi")
+    found = rows.groupBy(key, "citation_id").agg(F.array_sort(F.collect_list(F.struct("p", "c"))).alias("a"))
+    return found.select(key, "citation_id", F.array_distinct(F.transform("a", lambda v: v["c"])).alias("contexts"))
+
+
 def run_tag(c: Column) -> Column:
     """A slug of a file name."""
     return F.regexp_replace(F.regexp_replace(F.lower(_text(c)), "[^a-z0-9]+", "_"), "^_+|_+$", "")

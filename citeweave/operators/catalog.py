@@ -16,9 +16,10 @@ def upsert(rows: DataFrame, key: str, order: list, last_wins: bool) -> DataFrame
 
 
 def postings(records: DataFrame, n: int = 8) -> DataFrame:
-    """(word, record_id): the distinct lower-cased words of each title's first n significant ones. Empty ids have none."""
+    """(word, record_id, and db and year where records have them): the distinct lower-cased words of each title's first n significant ones. Empty ids have none."""
     words = F.array_distinct(T.query_words(F.col("title"), n))
-    return records.where("record_id != ''").select(F.explode(words).alias("word"), "record_id").distinct()
+    kept = [c for c in ("db", "year") if c in records.columns]
+    return records.where("record_id != ''").select(F.explode(words).alias("word"), "record_id", *kept).distinct()
 
 
 def stats(records: DataFrame) -> DataFrame:
@@ -40,22 +41,32 @@ def candidates(records: DataFrame, db: str) -> DataFrame:
     )
 
 
+#: How many records of a catalog with the same DOI or title are compared, in the catalog's order.
+SAME_DOI, SAME_TITLE = 20, 50
+
+
 def best_exact(citations: DataFrame, records: DataFrame) -> DataFrame:
     """(citation_id, db, record_id, match_type, confidence): the first catalog in db_priority with any hit, and in it id, DOI, title.
 
     citations: citation_id, db_priority, run_exact_match, arxiv_id, doi, title, authors, year. records: candidate columns.
-    Each of the three joins is on a bare normalised key; the choice is one group-wise minimum.
+    Each of the three joins is on a bare normalised key, of which a catalog gives its first records only, so that a title that
+    many records have doesn't multiply with the citations that have it. The choice is one group-wise minimum.
     """
     c = citations.where("run_exact_match").select(
         "citation_id", "db_priority", F.col("authors").alias("c_authors"), F.col("year").alias("c_year"), "arxiv_id",
         T.nonempty(T.normalize_doi(F.col("doi"))).alias("k_doi"), T.nonempty(T.normalize_title(F.col("title"))).alias("k_title"),
     )
-    r = records.select("db", "record_id", F.col("authors").alias("r_authors"), F.col("year").alias("r_year"), T.nonempty(T.normalize_doi(F.col("doi"))).alias("r_doi"), "title_normalized")
+    r = records.select("db", "record_id", F.col("authors").alias("r_authors"), F.col("year").alias("r_year"), T.nonempty(T.normalize_doi(F.col("doi"))).alias("r_doi"), T.nonempty(F.col("title_normalized")).alias("r_title"))
+
+    def first(key: str, most: int) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("db", key).orderBy("record_id"))
+        return r.where(F.col(key).isNotNull()).withColumn("place", place).where(F.col("place") <= most)
+
     same_year = F.col("c_year") == F.col("r_year")
     hits = [
         (c.join(r.where("db = 'arxiv'"), F.col("arxiv_id") == F.col("record_id")), F.lit(1), F.lit("arxiv_id_exact"), 0.99),
-        (c.join(r, F.col("k_doi") == F.col("r_doi")), F.lit(2), F.lit("doi_exact"), 0.99),
-        (c.join(r, F.col("k_title") == F.col("title_normalized")), F.lit(3), F.when(same_year, "title_year_exact").otherwise("title_exact"), None),
+        (c.join(first("r_doi", SAME_DOI), F.col("k_doi") == F.col("r_doi")), F.lit(2), F.lit("doi_exact"), 0.99),
+        (c.join(first("r_title", SAME_TITLE), F.col("k_title") == F.col("r_title")), F.lit(3), F.when(same_year, "title_year_exact").otherwise("title_exact"), None),
     ]
     parts = []
     for joined, rank, kind, confidence in hits:
@@ -70,18 +81,39 @@ def best_exact(citations: DataFrame, records: DataFrame) -> DataFrame:
     return every.groupBy("citation_id").agg(F.min_by(F.struct("db", "record_id", "match_type", "confidence"), order).alias("x")).select("citation_id", "x.*")
 
 
-def lexical_hits(citations: DataFrame, records: DataFrame, posted: DataFrame, fetch: int = 4) -> DataFrame:
+def exact_results(citations: DataFrame, best: DataFrame) -> DataFrame:
+    """One row for each citation (citation_id, db_priority, run_exact_match, confidence of the route): whether and what the exact search found.
+
+    A citation whose route asks for no exact search is `skipped` with the route's confidence; one without a match is `not_found`.
+    """
+    out = citations.select("citation_id", "db_priority", "run_exact_match", F.col("confidence").alias("route_")).join(best, "citation_id", "left")
+    run, found = F.coalesce(F.col("run_exact_match"), F.lit(False)), F.col("match_type").isNotNull()
+    return out.select(
+        "citation_id", "db_priority", "run_exact_match", (run & found).alias("match_found"), F.when(~run, "skipped").when(found, F.col("match_type")).otherwise("not_found").alias("match_type"),
+        F.when(run, F.col("db")).alias("matched_db"), F.when(run, F.col("record_id")).alias("record_id"), F.when(~run, F.col("route_")).when(found, F.col("confidence")).otherwise(0.0).alias("confidence"),
+    )
+
+
+def lexical_hits(citations: DataFrame, records: DataFrame | None, posted: DataFrame, fetch: int = 4) -> DataFrame:
     """(citation_id, db, record_id, matched_word_count): by citation and catalog the `fetch` records that share most title words.
 
-    citations: citation_id, words, year (may be null). Ties go to the least record_id. A word's postings may be
-    a large share of all: rows are counted by (citation, record) before they meet, and AQE splits hot words.
+    citations: citation_id, words, year (may be null). posted: postings with db and year. Ties go to the least record_id. Where two words
+    have to be shared, one of them isn't the citation's most frequent word: records are found by the others, so the postings of the hottest
+    words are never multiplied with the citations, and whether the records found have that word too is one equi join on word and record.
     """
     from citeweave.functions.matching import minimum_matches
 
     asked = citations.select("citation_id", F.col("year").alias("c_year"), minimum_matches(F.col("words")).alias("least"), F.explode(F.array_distinct("words")).alias("word"))
-    found = asked.join(posted, "word").groupBy("citation_id", "c_year", "least", "record_id").agg(F.count("*").alias("matched_word_count")).where("matched_word_count >= least")
+    often = posted.join(asked.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("often"))
+    asked = asked.join(often, "word")
+    hottest = F.row_number().over(Window.partitionBy("citation_id").orderBy(F.desc("often"), "word"))
+    asked = asked.withColumn("skip", (hottest == 1) & (F.col("least") > 1))
     near = F.col("c_year").isNull() | F.col("year").isNull() | F.col("year").between(F.col("c_year") - 1, F.col("c_year") + 1)
-    found = found.join(records.select("record_id", "db", "year"), "record_id").where(near)
+    found = asked.where("not skip").join(posted, "word").where(near).groupBy("citation_id", "least", "db", "record_id").agg(F.count("*").alias("n"))
+    hot = asked.where("skip").select("citation_id", F.col("word").alias("hot"))
+    also = posted.select(F.col("word").alias("hot"), "record_id", F.lit(1).alias("also"))
+    found = found.join(hot, "citation_id", "left").join(also, ["hot", "record_id"], "left")
+    found = found.withColumn("matched_word_count", F.col("n") + F.coalesce("also", F.lit(0))).where("matched_word_count >= least")
     rank = F.row_number().over(Window.partitionBy("citation_id", "db").orderBy(F.desc("matched_word_count"), "record_id"))
     return found.withColumn("fetch_rank", rank).where(F.col("fetch_rank") <= fetch).select("citation_id", "db", "record_id", "matched_word_count")
 
@@ -104,23 +136,54 @@ def lexical_scored(citations: DataFrame, records: DataFrame, hits: DataFrame, ke
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("citation_id", "db").orderBy(*order))).where(F.col("rank") <= keep)
 
 
-def cascade(scored: DataFrame, total: int = 10) -> DataFrame:
-    """The catalogs' candidates merged as if each were asked only while needed: arxiv, then dblp, then openalex.
-
-    A near-perfect first candidate of arxiv ends the search; openalex counts only if nothing was found or the best so far is weak.
-    All catalogs are searched at once, and masks take out what would not have been asked.
-    """
+def search_masks(scored: DataFrame) -> DataFrame:
+    """(citation_id, near, weak) from ranked candidates: whether arxiv's first is near perfect, and whether the best of arxiv and dblp is weak or missing."""
     from citeweave.functions import matching as M
 
     fields = ["title_score", "author_score", "lexical_score"]
-    rank = F.expr("array_position(array('arxiv', 'dblp', 'openalex'), db)").cast("int")
-    rows = scored.withColumn("db_priority_rank", rank)
     best = lambda test, order: F.max_by(F.when(test, F.struct(*fields)), F.when(test, order))
     order = F.struct("lexical_score", -F.col("db_priority_rank"), "matched_word_count", "has_abstract", -F.col("rank"))
-    masks = rows.groupBy("citation_id").agg(
+    return scored.groupBy("citation_id").agg(
         best(F.col("db") == "arxiv", -F.col("rank")).alias("arxiv_first"), best(F.col("db") != "openalex", order).alias("before"),
     ).select("citation_id", M.near_perfect("arxiv_first").alias("near"), M.weak("before").alias("weak"))
-    rows = rows.join(masks, "citation_id").where("db = 'arxiv' or not near and (db = 'dblp' or weak)")
+
+
+def ranked_catalogs(scored: DataFrame, citations: DataFrame | None = None) -> DataFrame:
+    """Candidates with their catalog's rank, of the catalogs in a citation's db_priority where citations are given."""
+    rows = scored.withColumn("db_priority_rank", F.expr("array_position(array('arxiv', 'dblp', 'openalex'), db)").cast("int"))
+    if citations is None:
+        return rows
+    return rows.join(citations.select("citation_id", F.col("db_priority").alias("p_")), "citation_id").where(F.expr("array_contains(p_, db)")).drop("p_")
+
+
+def cascade(scored: DataFrame, total: int = 10, citations: DataFrame | None = None) -> DataFrame:
+    """The catalogs' candidates merged as if each were asked only while needed: arxiv, then dblp, then openalex.
+
+    A near-perfect first candidate of arxiv ends the search; openalex counts only if nothing was found or the best so far is weak.
+    All catalogs are searched at once, and masks take out what would not have been asked.
+    """
+    rows = ranked_catalogs(scored, citations)
+    rows = rows.join(search_masks(rows), "citation_id").where("db = 'arxiv' or not near and (db = 'dblp' or weak)")
     by = [F.desc("lexical_score"), F.asc("db_priority_rank"), F.desc("matched_word_count"), F.desc("has_abstract"), F.asc("record_id")]
     rows = rows.withColumn("retrieval_rank", F.row_number().over(Window.partitionBy("citation_id").orderBy(*by)))
     return rows.where(F.col("retrieval_rank") <= total).drop("near", "weak", "rank")
+
+
+def lexical_results(citations: DataFrame, exact: DataFrame, scored: DataFrame, merged: DataFrame) -> DataFrame:
+    """One row for each citation (citation_id, db_priority, run_lexical_retrieval): whether the lexical search was skipped and why, and which catalogs it asked.
+
+    exact: exact_results; scored and merged: lexical_scored and cascade of the citations that were searched.
+    """
+    masks = search_masks(ranked_catalogs(scored, citations))
+    n = merged.groupBy("citation_id").agg(F.count("*").alias("candidate_count"))
+    out = citations.select("citation_id", "db_priority", F.coalesce("run_lexical_retrieval", F.lit(False)).alias("run_lexical_retrieval"))
+    out = out.join(exact.where("match_found").select("citation_id", F.col("match_type").alias("m_")), "citation_id", "left").join(masks, "citation_id", "left").join(n, "citation_id", "left")
+    reason = F.when(~F.col("run_lexical_retrieval"), "router_disabled").when(F.col("m_").isNotNull(), F.concat(F.lit("exact_match_found:"), "m_"))
+    has = lambda db: F.array_contains("db_priority", db)
+    near, weak = F.coalesce("near", F.lit(False)), F.coalesce("weak", F.lit(True))
+    asked = F.filter(F.array(F.when(has("arxiv"), "arxiv"), F.when(has("dblp") & ~near, "dblp"), F.when(has("openalex") & ~near & weak, "openalex")), lambda x: x.isNotNull())
+    out = out.withColumn("skip_reason", reason).withColumn("skipped", F.col("skip_reason").isNotNull())
+    return out.select(
+        "citation_id", "db_priority", F.when(F.col("skipped"), F.array().cast("array<string>")).otherwise(asked).alias("effective_db_priority"), "run_lexical_retrieval", "skipped", "skip_reason",
+        F.when(F.col("skipped"), 0).otherwise(F.coalesce("candidate_count", F.lit(0))).cast("long").alias("candidate_count"),
+    )

@@ -40,7 +40,7 @@ def route(title: Column, venue: Column, raw: Column, doi: Column, arxiv_id: Colu
     def plan(dbs: str, exact: Column, confidence: Column) -> Column:
         return F.struct(
             F.array(*map(F.lit, dbs.split())).alias("db_priority"), exact.alias("run_exact_match"), F.lit(True).alias("run_lexical_retrieval"),
-            F.lit(False).alias("run_dense_retrieval"), confidence.alias("confidence"),
+            F.lit(True).alias("run_dense_retrieval"), confidence.alias("confidence"),
         )
 
     yes = F.lit(True)

@@ -14,6 +14,7 @@ from citeweave.functions import matching as M
 from citeweave.functions import text as T
 from citeweave.operators import catalog as C
 from citeweave.operators import report as R
+from citeweave.operators import route as W
 from citeweave.operators.route import route
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,12 +47,16 @@ def q_words(x: str, n: int, lower: bool = True) -> str:
     return f"list_transform({out}, lambda w: lower(w))" if lower else out
 
 
-def q_plain(x: str, n: int = 12) -> str:
-    return f"list_transform(regexp_extract_all(coalesce({x}, ''), '[a-zA-Z0-9]+(?:[''-][a-zA-Z0-9]+)*')[1:{n}], lambda w: lower(w))"
+def q_plain(x: str, n: int | None = 12) -> str:
+    return f"list_transform(regexp_extract_all(coalesce({x}, ''), '[a-zA-Z0-9]+(?:[''-][a-zA-Z0-9]+)*'){f'[1:{n}]' if n else ''}, lambda w: lower(w))"
+
+
+#: The character references that the queries' texts have.
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
 
 
 def q_unescape(x: str) -> str:
-    for name, char in T.ENTITIES:
+    for name, char in ENTITIES:
         x = f"replace({x}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
     return x
 
@@ -76,6 +81,10 @@ def q_round(x: str, digits: int) -> str:
     return f"cast(printf('%.{digits}f', {x}) as double)"
 
 
+def q_percent(x: str, whole: str = "judged_records") -> str:
+    return f"case when {whole} > 0 then {q_round(f'({x})::double / {whole} * 100', 2)} else 0.0::double end"
+
+
 def q_arxiv(x: str) -> str:
     patterns = [("arXiv[:\\s]+(\\d{4}\\.\\d{4,5}(?:v\\d+)?)", "i"), ("arxiv\\.org/abs/(\\d{4}\\.\\d{4,5}(?:v\\d+)?)", "i"), ("arXiv[:\\s]+([a-z\\-]+/\\d{7}(?:v\\d+)?)", "i"),
                 ("\\b(\\d{4}\\.\\d{4,5}(?:v\\d+)?)\\b", ""), ("\\b([a-z\\-]+/\\d{7}(?:v\\d+)?)\\b", "i")]
@@ -261,7 +270,7 @@ def author_overlap(spark, sf):
 
 
 # -- catalogs -----------------------------------------------------------------------------------
-@query(f"with {Q_RECORDS}, {Q_POSTINGS} select word, record_id from postings")
+@query(f"with {Q_RECORDS}, {Q_POSTINGS} select word, record_id, db, year from postings join records using (record_id)")
 def postings_build(spark, sf):
     return C.postings(record_view(spark, sf))
 
@@ -290,9 +299,9 @@ def upsert_first(spark, sf):
 
 # -- exact --------------------------------------------------------------------------------------
 def exact_citations(spark, sf):
-    """Every tenth document as a citation: some by arXiv id, some by DOI, the rest by title."""
+    """Every document as a citation: some by arXiv id, some by DOI, the rest by title."""
     k = F.col("doc_id")
-    return read(spark, sf, "documents").where("doc_id % 10 = 0").select(
+    return read(spark, sf, "documents").select(
         k.alias("citation_id"), F.when(k % 20 == 0, F.array(*map(F.lit, ("arxiv", "openalex", "dblp")))).otherwise(F.array(*map(F.lit, ("dblp", "openalex", "arxiv")))).alias("db_priority"),
         (k % 50 != 0).alias("run_exact_match"), F.when(k % 30 == 0, F.concat(F.lit("a"), k.cast("string"))).alias("arxiv_id"),
         F.when(k % 40 == 0, F.concat(F.lit("doi:10.5555/"), (k + 1).cast("string"))).alias("doi"), first_sentence("text").alias("title"),
@@ -303,11 +312,13 @@ def exact_citations(spark, sf):
 Q_EXACT = f"""c as (
     select doc_id as citation_id, case when doc_id % 20 = 0 then ['arxiv', 'openalex', 'dblp'] else ['dblp', 'openalex', 'arxiv'] end as pr, case when doc_id % 30 = 0 then 'a' || doc_id end as arxiv_id,
         case when doc_id % 40 = 0 then '10.5555/' || (doc_id + 1) end as doi, nullif({q_title("split_part(text, '.', 1)")}, '') as nt, 'Ann Author' || (doc_id % 3) as author, 2000 + doc_id % 25 as year
-    from documents where doc_id % 10 = 0 and doc_id % 50 != 0
-), r as (select *, {q_title('title')} as nt, '10.5555/' || k as doi from records), hit as (
+    from documents where doc_id % 50 != 0
+), r0 as (select *, nullif({q_title('title')}, '') as nt, '10.5555/' || k as doi from records), r as (
+    select *, row_number() over (partition by db, nt order by record_id) as place from r0
+), hit as (
     select c.citation_id, r.db, r.record_id, pr, 1 as kind, c.year as cy, r.year as ry, (c.author = r.author) as same from c join r on c.arxiv_id = r.record_id and r.db = 'arxiv'
-    union all select c.citation_id, r.db, r.record_id, pr, 2, c.year, r.year, (c.author = r.author) from c join r on c.doi = r.doi
-    union all select c.citation_id, r.db, r.record_id, pr, 3, c.year, r.year, (c.author = r.author) from c join r on c.nt = r.nt
+    union all select c.citation_id, r.db, r.record_id, pr, 2, c.year, r.year, (c.author = r.author) from c join r0 r on c.doi = r.doi
+    union all select c.citation_id, r.db, r.record_id, pr, 3, c.year, r.year, (c.author = r.author) from c join r on c.nt = r.nt and r.place <= 50
 ), exact as (
     select citation_id, db, record_id, case kind when 1 then 'arxiv_id_exact' when 2 then 'doi_exact' else case when cy = ry then 'title_year_exact' else 'title_exact' end end as match_type,
         case when kind < 3 then 0.99::double when cy = ry then 0.93::double else 0.88::double end as confidence
@@ -320,29 +331,44 @@ def exact_priority(spark, sf):
     return C.best_exact(exact_citations(spark, sf), record_view(spark, sf))
 
 
-@query(f"""with {Q_RECORDS}, t as (select record_id, {q_title('title')} as nt, year, k from records where db = 'arxiv')
-    select a.record_id as citation, b.record_id, case when a.year = b.year then 'title_year_exact' else 'title_exact' end as match_type
-    from t a join t b on a.nt = b.nt and a.record_id != b.record_id where a.nt != '' and a.k % 10 = 0""")
+@query(f"""with {Q_RECORDS}, t as (select record_id, {q_title('title')} as nt, year from records where db = 'arxiv')
+    select record_id, min(record_id) over w as class_id, count(*) over w as class_size,
+        case when year = first_value(year) over (partition by nt order by record_id) then 'title_year_exact' else 'title_exact' end as match_type
+    from t where nt != '' window w as (partition by nt)""")
 def exact_title(spark, sf):
-    r = record_view(spark, sf).where("db = 'arxiv' and title_normalized != ''").select("record_id", "title_normalized", "year", F.substring("record_id", 2, 20).cast("long").alias("k"))
-    a = r.where("k % 10 = 0").select(F.col("record_id").alias("citation"), "title_normalized", F.col("year").alias("y"))
-    return a.join(r, "title_normalized").where("citation != record_id").select("citation", "record_id", F.when(F.col("y") == F.col("year"), "title_year_exact").otherwise("title_exact").alias("match_type"))
+    """Records with the same title as classes: each with its class's least record, the class's size, and whether the year agrees too."""
+    r = record_view(spark, sf).where("db = 'arxiv' and title_normalized != ''").select("record_id", "title_normalized", "year")
+    first = r.groupBy("title_normalized").agg(F.min(F.struct("record_id", "year")).alias("f"), F.count("*").alias("class_size"))
+    kind = F.when(F.col("year") == F.col("f.year"), "title_year_exact").otherwise("title_exact")
+    return r.join(first, "title_normalized").select("record_id", F.col("f.record_id").alias("class_id"), "class_size", kind.alias("match_type"))
+
+
+@query(f"""with {Q_RECORDS}, {Q_EXACT}, every as (select doc_id as citation_id, doc_id % 50 != 0 as run from documents)
+    select citation_id, run as run_exact_match, run and db is not null as match_found, case when not run then 'skipped' else coalesce(match_type, 'not_found') end as match_type,
+        db as matched_db, record_id, case when not run then 0.55::double else coalesce(confidence, 0.0::double) end as confidence from every left join exact using (citation_id)""")
+def exact_all(spark, sf):
+    """The exact search's row for every citation, those that it skips and those that it doesn't find too."""
+    c = exact_citations(spark, sf)
+    return C.exact_results(c.withColumn("confidence", F.lit(0.55)), C.best_exact(c, record_view(spark, sf))).drop("db_priority")
 
 
-# Words that the test tables have, in the place of the field keywords.
-Q_ANY = "(contains(t, '{0}') or contains(t, '{1}'))"
+def q_any(x: str, words: list[str]) -> str:
+    return "(" + " or ".join(f"contains({x}, '{w}')" for w in words) + ")"
 
 
-@query(f"""select doc_id, db_priority, run_exact_match, confidence from (
+@query(f"""select doc_id, db_priority, run_exact_match, true as run_lexical_retrieval, true as run_dense_retrieval, confidence from (
     select doc_id, case when x then 'arxiv,openalex,dblp' when has and (nlp or cs) then 'dblp,openalex,arxiv' when has and bio then 'openalex,arxiv,dblp' when nlp or cs then 'dblp,openalex,arxiv'
         when bio then 'openalex,arxiv,dblp' else 'openalex,dblp,arxiv' end as db_priority, x or has as run_exact_match,
         case when x then 0.95::double when has and (nlp or cs or bio) then 0.90::double when nlp then 0.82::double when cs then 0.78::double when bio then 0.78::double else 0.55::double end as confidence
-    from (select doc_id, doc_id % 7 = 0 as x, doc_id % 3 = 0 as has, contains(t, 'eaux') as nlp, contains(t, 'lich') as cs, contains(t, 'thon') as bio from (
-        select doc_id, lower({q_space("source || ' ' || split_part(text, '.', 1) || ' ' || left(text, 200)")}) as t from documents)))""")
+    from (select doc_id, doc_id % 7 = 0 or doc_id % 11 = 0 or {q_any('v', W.ARXIV)} as x, doc_id % 3 = 0 as has, {q_any('t', W.NLP)} as nlp, {q_any('t', W.CS)} as cs, {q_any('t', W.BIOMED)} as bio from (
+        select doc_id, lower({q_space("venue || ' ' || split_part(text, '.', 1) || ' ' || text")}) as t, lower({q_space("venue || ' ' || text")}) as v
+        from (select *, source || case doc_id % 13 when 1 then ' Proc. of ACL' when 2 then ' NeurIPS' when 3 then ' Cell Biology' when 4 then ' arXiv preprint' else '' end as venue from documents where text is not null))))""")
 def route_plan(spark, sf):
     k = F.col("doc_id")
-    plan = route(first_sentence("text"), F.col("source"), F.substring("text", 1, 200), F.when(k % 3 == 0, "10.1/x"), F.when(k % 7 == 0, "2001.00001"), F.lit(None).cast("string"), ["eaux"], ["lich"], ["thon"])
-    return read(spark, sf, "documents").select("doc_id", plan.alias("p")).select("doc_id", F.array_join("p.db_priority", ",").alias("db_priority"), "p.run_exact_match", "p.confidence")
+    venue = F.concat("source", F.when(k % 13 == 1, " Proc. of ACL").when(k % 13 == 2, " NeurIPS").when(k % 13 == 3, " Cell Biology").when(k % 13 == 4, " arXiv preprint").otherwise(""))
+    plan = route(first_sentence("text"), venue, F.col("text"), F.when(k % 3 == 0, "10.1/x"), F.when(k % 7 == 0, "2001.00001"), F.when(k % 11 == 0, "https://arXiv.org/abs/1"))
+    rows = read(spark, sf, "documents").where("text is not null").select("doc_id", plan.alias("p"))
+    return rows.select("doc_id", F.array_join("p.db_priority", ",").alias("db_priority"), *(f"p.{x}" for x in ("run_exact_match", "run_lexical_retrieval", "run_dense_retrieval", "confidence")))
 
 
 # -- lexical ------------------------------------------------------------------------------------
@@ -376,25 +402,63 @@ def _exact_of_benchmark(spark, sf):
 
 
 Q_FUSE_E = "case when citation_id % 8 = 0 then 'doi_exact' when citation_id % 4 = 0 then 'title_exact' end"
+Q_FUSE_C = "case when citation_id % 8 = 0 then 0.99::double when citation_id % 4 = 0 then 0.88::double end"
+
+
+def _flat(fused: DataFrame) -> DataFrame:
+    """The nested parts of fused rows as text."""
+    backups = F.array_join(F.transform("backup_candidates", lambda x: F.concat(x["db"], F.lit(":"), x["record_id"])), ",")
+    return fused.drop("effective_db_priority").withColumns({"backups": backups, "exact_found": F.coalesce("exact_summary.match_found", F.lit(False)), "exact_type": F.col("exact_summary.match_type"), "lexical_count": F.col("lexical_summary.candidate_count")}).drop(
+        "backup_candidates", "exact_summary", "lexical_summary"
+    )
 
 
 @query(f"""with {Q_CITATIONS} select citation_id, case when citation_id % 4 = 0 then 'exact' end as selected_source, {Q_FUSE_E} as selected_match_type,
-    case when citation_id % 8 = 0 then 0.99::double when citation_id % 4 = 0 then 0.88::double else 0.0::double end as selected_confidence,
+    coalesce({Q_FUSE_C}, 0.0::double) as selected_confidence,
     case when citation_id % 8 = 0 then 'high_confidence_exact' when citation_id % 4 = 0 then 'exact' else 'no_candidate' end as fusion_status,
-    case when citation_id % 4 = 0 then 'dblp' end as db, case when citation_id % 4 = 0 then 'd' || citation_id end as record_id, 0::bigint as candidate_count from citations""")
+    case when citation_id % 4 = 0 then 'dblp' end as db, case when citation_id % 4 = 0 then 'd' || citation_id end as record_id, 0::bigint as candidate_count,
+    '' as backups, citation_id % 4 = 0 as exact_found, {Q_FUSE_E} as exact_type, 0::bigint as lexical_count from citations""")
 def fuse_stage1(spark, sf):
-    return R.fuse(citation_view(spark, sf), _exact_of_benchmark(spark, sf))
+    return _flat(R.fuse(citation_view(spark, sf), _exact_of_benchmark(spark, sf)))
 
 
-@query(f"""{Q_LEX}, {Q_SCORED}, {Q_CASCADE}, best as (select citation_id, count(*) as n, arg_min(db, retrieval_rank) as ldb, arg_min(record_id, retrieval_rank) as lid, arg_min(lexical_score, retrieval_rank) as ls
-        from cascaded where retrieval_rank <= 10 group by 1)
-    select citation_id, case when citation_id % 4 = 0 then 'exact' when n > 0 then 'lexical' end as selected_source, coalesce({Q_FUSE_E}, case when n > 0 then 'lexical' end) as selected_match_type,
-    case when citation_id % 8 = 0 then 0.99::double when citation_id % 4 = 0 then 0.88::double else coalesce(ls, 0.0::double) end as selected_confidence,
+@query(f"""{Q_LEX}, {Q_SCORED}, {Q_CASCADE}, best as (select citation_id, count(*) as n, arg_min(db, retrieval_rank) as ldb, arg_min(record_id, retrieval_rank) as lid, arg_min(lexical_score, retrieval_rank) as ls,
+        list(db || ':' || record_id order by retrieval_rank) as every from cascaded where retrieval_rank <= 10 group by 1)
+    select citation_id, case when citation_id % 4 = 0 then 'exact' when n > 0 then 'lexical' end as selected_source, coalesce({Q_FUSE_E}, case when n > 0 then 'lexical_top_1' end) as selected_match_type,
+    coalesce({Q_FUSE_C}, ls, 0.0::double) as selected_confidence,
     case when citation_id % 8 = 0 then 'high_confidence_exact' when citation_id % 4 = 0 then 'exact' when n > 0 then 'lexical' else 'no_candidate' end as fusion_status,
-    case when citation_id % 4 = 0 then 'dblp' else ldb end as db, case when citation_id % 4 = 0 then 'd' || citation_id else lid end as record_id, coalesce(n, 0)::bigint as candidate_count
+    case when citation_id % 4 = 0 then 'dblp' else ldb end as db, case when citation_id % 4 = 0 then 'd' || citation_id else lid end as record_id, coalesce(n, 0)::bigint as candidate_count,
+    coalesce(array_to_string(case when citation_id % 4 = 0 then every[1:2] else every[2:3] end, ','), '') as backups, citation_id % 4 = 0 as exact_found, {Q_FUSE_E} as exact_type, coalesce(n, 0)::bigint as lexical_count
     from citations left join best using (citation_id)""")
 def fuse_stage2(spark, sf):
-    return R.fuse(citation_view(spark, sf), _exact_of_benchmark(spark, sf), C.cascade(C.lexical_scored(*_lex(spark, sf))))
+    return _flat(R.fuse(citation_view(spark, sf), _exact_of_benchmark(spark, sf), C.cascade(C.lexical_scored(*_lex(spark, sf)))))
+
+
+def _searched(spark, sf):
+    """Citations with catalogs by their id's remainder, every fifth without a lexical search, every fourth with an exact match."""
+    k = F.col("citation_id")
+    c = citation_view(spark, sf).withColumn("run_lexical_retrieval", k % 5 != 0)
+    c = c.withColumn("db_priority", F.when(k % 3 == 0, F.array(*map(F.lit, ("openalex", "dblp")))).when(k % 3 == 1, F.array(*map(F.lit, ("arxiv", "dblp", "openalex")))).otherwise(F.array(F.lit("arxiv"))))
+    exact = _exact_of_benchmark(spark, sf).withColumn("match_found", F.lit(True))
+    rest = c.where("run_lexical_retrieval").join(exact.select("citation_id"), "citation_id", "left_anti")
+    r = record_view(spark, sf)
+    scored = C.lexical_scored(rest, r, C.lexical_hits(rest, r, C.postings(r)))
+    return C.lexical_results(c, exact, scored, C.cascade(scored, citations=rest))
+
+
+Q_AVAILABLE = Q_CASCADE.replace("from scored)", "from scored where list_contains(case when citation_id % 3 = 0 then ['openalex', 'dblp'] when citation_id % 3 = 1 then ['arxiv', 'dblp', 'openalex'] else ['arxiv'] end, db))")
+
+
+@query(f"""{Q_LEX}, {Q_SCORED}, {Q_AVAILABLE}, n as (select citation_id, count(*) as n from cascaded where retrieval_rank <= 10 group by 1), x as (
+    select c.citation_id, c.citation_id % 5 != 0 as run_lexical_retrieval, case when c.citation_id % 5 = 0 then 'router_disabled' when c.citation_id % 8 = 0 then 'exact_match_found:doi_exact'
+        when c.citation_id % 4 = 0 then 'exact_match_found:title_exact' end as skip_reason, coalesce(near, false) as near, coalesce(weak, true) as weak, coalesce(n, 0) as n
+    from citations c left join masks using (citation_id) left join n using (citation_id))
+    select citation_id, run_lexical_retrieval, skip_reason is not null as skipped, skip_reason, case when skip_reason is null then n else 0 end as candidate_count,
+        case when skip_reason is not null then '' when citation_id % 3 = 0 then 'dblp' || case when weak then ',openalex' else '' end
+            when citation_id % 3 = 1 then 'arxiv' || case when not near then ',dblp' else '' end || case when not near and weak then ',openalex' else '' end else 'arxiv' end as asked from x""")
+def lexical_all(spark, sf):
+    """The lexical search's row for every citation: why it was skipped, or which catalogs were asked."""
+    return _searched(spark, sf).select("citation_id", "run_lexical_retrieval", "skipped", "skip_reason", "candidate_count", F.array_join("effective_db_priority", ",").alias("asked"))
 
 
 # -- verification -------------------------------------------------------------------------------
@@ -406,7 +470,7 @@ def pair_view(spark, sf):
     c_title = F.when(r(5) == 1, F.concat(title, F.lit(" Revised"))).when(r(5) == 2, F.lit("Quite Another Thing")).when(r(5) == 3, F.lit("")).otherwise(F.upper(title))
     return read(spark, sf, "orders").select(
         k.alias("citation_id"), F.when(r(11) == 0, F.lit(None).cast("string")).when(r(2) == 0, "exact").otherwise("lexical").alias("selected_source"),
-        F.when(r(11) == 0, F.lit(None).cast("string")).when(r(6) == 0, "doi_exact").when(r(2) == 0, "title_exact").otherwise("lexical").alias("selected_match_type"),
+        F.when(r(11) == 0, F.lit(None).cast("string")).when(r(6) == 0, "doi_exact").when(r(2) == 0, "title_exact").otherwise("lexical_top_1").alias("selected_match_type"),
         F.when(r(11) == 0, 0.0).when(r(6) == 0, 0.99).otherwise(0.5).alias("selected_confidence"), (r(11) != 0).alias("has_candidate"), title.alias("p_title"), c_title.alias("c_title"),
         F.array(F.lit("Bo Chen"), F.lit("Ann Bell")).alias("p_authors"),
         F.when(r(4) == 0, F.array(F.lit("Chen, B."), F.lit("A Bell"))).when(r(4) == 1, F.array(F.lit("Chen, B."))).when(r(4) == 2, F.array(F.lit("Z Nobody"))).otherwise(F.array().cast("array<string>")).alias("c_authors"),
@@ -419,7 +483,7 @@ def pair_view(spark, sf):
 
 Q_VERIFY = f"""p as (
     select o_orderkey as k, o_orderkey % 11 != 0 as has, case when k % 11 = 0 then null when k % 2 = 0 then 'exact' else 'lexical' end as selected_source,
-        case when k % 11 = 0 then null when k % 6 = 0 then 'doi_exact' when k % 2 = 0 then 'title_exact' else 'lexical' end as mt, case when k % 11 = 0 then 0.0::double when k % 6 = 0 then 0.99::double else 0.5::double end as conf,
+        case when k % 11 = 0 then null when k % 6 = 0 then 'doi_exact' when k % 2 = 0 then 'title_exact' else 'lexical_top_1' end as mt, case when k % 11 = 0 then 0.0::double when k % 6 = 0 then 0.99::double else 0.5::double end as conf,
         case k % 5 when 1 then 'partial' when 2 then 'mismatch' when 3 then 'unknown' else 'exact' end as tm, case k % 4 when 0 then 'exact' when 1 then 'partial' when 2 then 'mismatch' else 'unknown' end as am,
         case when k % 7 = 6 then 'unknown' when (k % 7) % 3 = 0 then 'exact' when (k % 7) % 3 = 1 then 'partial' else 'mismatch' end as ym,
         case when k % 3 != 0 then 'unknown' when k % 9 = 0 then 'exact' else 'mismatch' end as dm, case when k % 13 >= 9 then 'unknown' when k % 13 < 4 then 'exact' when k % 13 < 7 then 'partial' else 'mismatch' end as um,
@@ -473,20 +537,21 @@ def verify_explain(spark, sf):
 
 # -- semantic -----------------------------------------------------------------------------------
 def _to_judge(spark, sf):
-    """Documents as candidates of citations whose context is a benchmark item."""
-    b = read(spark, sf, "benchmark").select("item_id", F.col("text").alias("t"))
-    d = read(spark, sf, "documents").where("doc_id % 5 = 0").withColumn("item_id", F.col("doc_id") % 40)
+    """Every document as the candidate of a citation whose context is a benchmark item, one after another."""
+    b = read(spark, sf, "benchmark").select(F.col("text").alias("t"), (F.row_number().over(Window.orderBy("item_id")) - 1).alias("place"))
+    n = b.agg(F.count("*").alias("n_"))
     k = F.col("doc_id")
-    return d.join(b, "item_id").select(
+    d = read(spark, sf, "documents").crossJoin(F.broadcast(n)).withColumn("place", k % F.col("n_"))
+    return d.join(F.broadcast(b), "place").select(
         k.alias("citation_id"), (k % 15 != 0).alias("has_candidate"), F.when(k % 20 != 0, F.col("text")).alias("abstract"), first_sentence("text").alias("title"),
         F.when(k % 35 == 0, F.array().cast("array<string>")).otherwise(F.array("t")).alias("lines"),
     )
 
 
 Q_JUDGE = f"""j as (
-    select doc_id as citation_id, case when doc_id % 15 = 0 then 'no_selected_candidate' when doc_id % 20 = 0 then 'no_candidate_abstract' when doc_id % 35 = 0 then 'no_expanded_context' end as skip_reason,
-        {q_set_ratio(q_plain('b.text', 40), q_plain('d.text', 400))} as ratio
-    from documents d join benchmark b on d.doc_id % 40 = b.item_id where doc_id % 5 = 0
+    select doc_id as citation_id, case when doc_id % 15 = 0 then 'no_selected_candidate' when doc_id % 20 = 0 or coalesce(d.text, '') = '' then 'no_candidate_abstract' when doc_id % 35 = 0 then 'no_expanded_context' end as skip_reason,
+        {q_set_ratio(q_plain('b.text', None), q_plain('d.text', None))} as ratio
+    from documents d join (select text, row_number() over (order by item_id) - 1 as place from benchmark) b on d.doc_id % (select count(*) from benchmark) = b.place
 ), judged as (
     select citation_id, skip_reason is not null as skipped, skip_reason, case when skip_reason is not null or ratio >= 0.15 and ratio < 0.35 then 'unclear' when ratio >= 0.6 then 'supported' when ratio >= 0.35 then 'partially_supported' else 'unsupported' end as support_label,
         case when skip_reason is not null then 0.0::double else {q_round('ratio', 4)} end as support_score from j
@@ -508,8 +573,8 @@ def semantic_stages(spark, sf):
     select stage, count(*) as total_records, count(*) filter (where not skipped) as judged_records, count(*) filter (where skipped) as skipped_records,
         count(*) filter (where not skipped and support_label = 'supported') as n_supported, count(*) filter (where not skipped and support_label = 'partially_supported') as n_partially_supported,
         count(*) filter (where not skipped and support_label = 'unclear') as n_unclear, count(*) filter (where not skipped and support_label = 'unsupported') as n_unsupported from x group by stage)
-    select *, n_supported + n_partially_supported as supporting_count,
-        case when judged_records > 0 then {q_round('(n_supported + n_partially_supported)::double / judged_records * 100', 2)} else 0.0::double end as supporting_percentage from y""")
+    select *, n_supported + n_partially_supported as supporting_count, {q_percent('n_supported + n_partially_supported')} as supporting_percentage, n_unsupported as not_supporting_count, {q_percent('n_unsupported')} as not_supporting_percentage,
+        {', '.join(f"{q_percent(f'n_{v}')} as p_{v}" for v in R.LABELS[:4])} from y""")
 def semantic_summary(spark, sf):
     rows = _to_judge(spark, sf)
     return R.semantic_summary(R.judge_stages(R.judge(rows.where("citation_id % 10 = 0")), rows))
@@ -561,14 +626,27 @@ def _q_domain(kind: str, column: str, domain: list[str]) -> str:
 
 @query(f"with {Q_COMBINE} {_q_domain('status', 'overall_status', R.STATUSES)} union all {_q_domain('label', 'semantic_label', R.LABELS)} union all {_q_domain('category', 'verification_category', R.CATEGORIES)}")
 def report_counts(spark, sf):
-    rows = _combined(spark, sf)
-    parts = [R.counts_in_order(rows, c, d).withColumn("kind", F.lit(k)) for k, c, d in (("status", "overall_status", R.STATUSES), ("label", "semantic_label", R.LABELS), ("category", "verification_category", R.CATEGORIES))]
-    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+    return R.counts_in_order(_combined(spark, sf), {"status": ("overall_status", R.STATUSES), "label": ("semantic_label", R.LABELS), "category": ("verification_category", R.CATEGORIES)})
 
 
-@query(f"""with {Q_COMBINE} select verification_category, verification_subcategory, count(*) as count from combined group by rollup(verification_category, verification_subcategory)""")
+@query(f"""with {Q_COMBINE} select verification_category, case when citation_id % 17 = 0 then 'unknown' else verification_subcategory end as verification_subcategory, count(*) as count from combined group by all""")
 def report_subcats(spark, sf):
-    return _combined(spark, sf).rollup("verification_category", "verification_subcategory").agg(F.count("*").alias("count"))
+    """Every seventeenth citation lacks its subcategory, by turns null and empty."""
+    k = F.col("citation_id")
+    sub = F.when(k % 34 == 0, "").when(k % 17 == 0, F.lit(None)).otherwise(F.col("verification_subcategory"))
+    return R.subcategory_counts(_combined(spark, sf).withColumn("verification_subcategory", sub))
+
+
+@query(f"""with {Q_COMBINE} select combined_label, count(*) as count, {q_percent('count(*)', '(select count(*) from combined)')} as percentage from combined group by 1""")
+def report_labels(spark, sf):
+    return R.label_counts(_combined(spark, sf))
+
+
+@query(f"""with {Q_COMBINE} select count(*) as total_citations, count(*) filter (where needs_review) as needs_review_count, count(*) filter (where selected_source = 'lexical') as lexically_verified_count,
+    count(*) filter (where coalesce(selected_source, '') != 'lexical') as not_lexically_verified_count, count(*) filter (where semantic_label in ('supported', 'partially_supported')) as supporting_count,
+    count(*) filter (where semantic_label = 'unsupported') as not_supporting_count, count(*) filter (where semantic_label in ('supported', 'partially_supported')) as semantically_verified_count from combined""")
+def report_totals(spark, sf):
+    return R.totals(_combined(spark, sf))
 
 
 @query(f"""with {Q_COMBINE}, d as (select unnest(['verified', 'partially_verified', 'ambiguous', 'hallucinated']) as overall_status) select d.overall_status,
@@ -578,7 +656,8 @@ def report_crosstab(spark, sf):
 
 
 @query(f"""with {Q_COMBINE} select coalesce(db, 'unknown') as db, count(*) as count, {q_round('sum(bibliographic_score::decimal(18,4))::double / count(*)', 4)} as average_bibliographic_score,
-    {q_round('coalesce(avg(semantic_score) filter (where not semantic_skipped), 0)', 4)} as average_semantic_score, {', '.join(f"count(*) filter (where overall_status = '{v}') as {v}" for v in R.STATUSES)} from combined group by 1""")
+    {q_round('coalesce(avg(semantic_score) filter (where not semantic_skipped), 0)', 4)} as average_semantic_score, {', '.join(f"count(*) filter (where overall_status = '{v}') as {v}" for v in R.STATUSES)},
+    {', '.join(f"count(*) filter (where semantic_label = '{v}') as semantic_{v}" for v in R.LABELS)} from combined group by 1""")
 def report_sources(spark, sf):
     return R.source_summary(_combined(spark, sf))
 
@@ -591,19 +670,16 @@ def review_queue(spark, sf):
     return head.withColumn("position", F.row_number().over(Window.orderBy(*R.review_order()))).select("citation_id", "overall_status", "semantic_label", "overall_confidence", "position")
 
 
-@query(f"""with {Q_COMBINE} select 'verify' as stage, count(*) filter (where overall_status = 'verified') || '/' || count(*) || ' verified' as metric from combined
+@query(f"""{Q_LEX}, {Q_COMBINE} select 'verify' as stage, count(*) filter (where overall_status = 'verified') || '/' || count(*) || ' verified' as metric from combined
     union all select 'semantic', count(*) filter (where not semantic_skipped) || '/' || count(*) || ' semantic judgments' from combined union all select 'report', count(*) filter (where needs_review) || ' need review' from combined
-    union all select 'lexical', count(*) filter (where selected_source = 'lexical') || '/' || count(*) || ' citations retrieved' from combined""")
+    union all select 'lexical', count(*) filter (where citation_id % 4 != 0 and citation_id % 5 != 0) || '/' || count(*) || ' citations retrieved' from citations
+    union all select 'exact', count(*) filter (where citation_id % 4 = 0) || '/' || count(*) || ' exact matches' from citations
+    union all select 'parse', count(*) || ' references found' from citations union all select 'route', count(*) || ' citations routed' from citations""")
 def stage_metrics(spark, sf):
-    n = F.count("*")
-    one = _combined(spark, sf).agg(n.alias("n"), F.count_if(F.col("overall_status") == "verified").alias("v"), F.count_if(~F.col("semantic_skipped")).alias("s"), F.count_if("needs_review").alias("r"),
-                                   F.count_if(F.coalesce(F.col("selected_source") == "lexical", F.lit(False))).alias("l"))
-    row = lambda stage, *parts: F.struct(F.lit(stage).alias("stage"), F.concat(*parts).alias("metric"))
-    s = lambda c: F.col(c).cast("string")
-    return one.select(F.explode(F.array(
-        row("verify", s("v"), F.lit("/"), s("n"), F.lit(" verified")), row("semantic", s("s"), F.lit("/"), s("n"), F.lit(" semantic judgments")), row("report", s("r"), F.lit(" need review")),
-        row("lexical", s("l"), F.lit("/"), s("n"), F.lit(" citations retrieved")),
-    )).alias("x")).select("x.*")
+    c = citation_view(spark, sf)
+    found = _exact_of_benchmark(spark, sf)
+    exact = C.exact_results(c.select("citation_id", F.array().cast("array<string>").alias("db_priority"), F.lit(True).alias("run_exact_match"), F.lit(0.5).alias("confidence")), found)
+    return R.stage_metrics(c, exact, _searched(spark, sf), _combined(spark, sf))
 
 
 # -- contexts and references --------------------------------------------------------------------
@@ -622,15 +698,28 @@ def _marked():
     union all select l_orderkey, l_linenumber, 3, q::varchar, x[2] || ' ' || x[3] from t""")
 def sentence_contexts(spark, sf):
     """Sentences with markers, the numbers in them, and the sentences before and after."""
-    def around(s: F.Column) -> F.Column:
-        def one(sentence, p):
-            near = F.filter(F.array(F.when(p > 0, F.get(s, p - 1)), sentence, F.get(s, p + 1)), lambda v: v.isNotNull())
-            ids = F.array_join(F.transform(T.citation_ids(sentence), lambda v: v.cast("string")), ",")
-            return F.when(sentence.contains("["), F.struct((p + 1).alias("pos"), ids.alias("ids"), F.array_join(near, " ").alias("context")))
-
-        return F.filter(F.transform(s, one), lambda v: v["ids"] != "")
-
-    return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.inline(T.let(T.split_sentences(_marked()), around)))
+    rows = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", T.split_sentences(_marked()).alias("s"))
+    rows = rows.select("l_orderkey", "l_linenumber", "s", F.posexplode("s").alias("p", "x")).where(F.contains("x", F.lit("[")))
+    ids = F.array_join(T.citation_ids(F.col("x")).cast("array<string>"), ",")
+    context = F.concat_ws(" ", F.when(F.col("p") > 0, F.get("s", F.col("p") - 1)), "x", F.get("s", F.col("p") + 1))
+    return rows.select("l_orderkey", "l_linenumber", (F.col("p") + 1).alias("pos"), ids.alias("ids"), context.alias("context")).where("ids != ''")
+
+
+@query(f"""with s as (select o_orderkey, o_custkey % 9 + 1 as a, o_orderkey % 5 as b from orders), x as (
+    select o_orderkey, 'Some words hold [' || a || '].' as s1, 'The next ones say more [' || b || ', 2].' as s2, 'Some words hold [' || a || '].' as s3, a, b from s), c as (
+    select o_orderkey, a as id, s1 as sentence, s1 || '|' || s2 as expanded, 1 as p from x union all select o_orderkey, unnest(list_distinct([b, 2])), s2, s1 || '|' || s2 || '|' || s3, 2 from x
+    union all select o_orderkey, a, s3, s2 || '|' || s3, 3 from x)
+    select o_orderkey, id as citation_id, string_agg(sentence || '>' || expanded, ';' order by p) as contexts from c where id in (1, 2, 3) group by all""")
+def citation_contexts(spark, sf):
+    """The contexts of the known references 1 to 3, by document and reference."""
+    s = lambda c: c.cast("string")
+    a, b = F.col("o_custkey") % 9 + 1, F.col("o_orderkey") % 5
+    same = F.concat(F.lit("Some words hold ["), s(a), F.lit("]."))
+    text = F.concat_ws(" ", same, F.concat(F.lit("The next ones say more ["), s(b), F.lit(", 2].")), same)
+    docs = read(spark, sf, "orders").select("o_orderkey", text.alias("body"))
+    known = docs.select("o_orderkey", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("citation_id"))
+    shown = F.array_join(F.transform("contexts", lambda c: F.concat(c["sentence"], F.lit(">"), F.array_join(c["expanded_context"], "|"))), ";")
+    return T.citation_contexts(docs, "o_orderkey", "body", known).select("o_orderkey", "citation_id", shown.alias("contexts"))
 
 
 @query("""with e as (select user_id, event_id, case when event_id % 3 = 0 then event_type end as v, row_number() over (partition by user_id order by event_id) as reference_id from events)

@@ -1,9 +1,11 @@
-"""Getting the package to the executors."""
+"""Getting the package to the executors, and the folder that they share."""
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -24,3 +26,13 @@ def ship(spark: SparkSession) -> None:
             z.write(path, path.relative_to(root.parent))
     sc.addPyFile(target)
     _SHIPPED.add(sc.applicationId)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path under spark.checkpoint.dir; where that is unset a temporary one, in local mode alone."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="citeweave-")
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
