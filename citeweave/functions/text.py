@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from html.entities import html5
 
@@ -42,34 +41,25 @@ def normalize_space(c: Column) -> Column:
     return F.trim(F.regexp_replace(_text(c), r"(?U)\s+", " "))
 
 
-#: The names that need a semicolon, and those that HTML also knows without one, the longest first; both from the standard's table.
-NAMED = json.dumps({k: v for k, v in html5.items() if k.endswith(";")})
+#: The names that HTML also knows without a semicolon, the longest first, from the standard's table.
 BARE = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
 
 
-def _character(n: Column) -> Column:
-    """The character of a code point, by its UTF-16 form; what is none is U+FFFD, controls of the range 128 to 159 are dropped."""
-    pair = F.concat(F.lpad(F.hex(55296 + F.shiftright(n - 65536, 10)), 4, "0"), F.lpad(F.hex(56320 + (n - 65536).bitwiseAND(1023)), 4, "0"))
-    units = F.when(n < 65536, F.lpad(F.hex(n), 4, "0")).otherwise(pair)
-    none = (n == 0) | n.between(55296, 57343) | (n > 1114111)
-    return F.when(none, "\ufffd").when(n.between(128, 159), "").otherwise(F.decode(F.unhex(units), "UTF-16BE"))
+def drop_references(c: Column) -> Column:
+    """A text whose HTML character references stand only for the ASCII characters among them; others are dropped.
 
-
-def unescape_html(c: Column) -> Column:
-    """Decodes HTML's character references, by number or by name."""
+    That is all that normalised titles and venues see of them. A name between & and ; is taken for a reference whether HTML knows it or not.
+    """
 
     def one(piece: Column) -> Column:
         number = F.regexp_extract(piece, "^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", 0)
         digits = F.regexp_extract(number, "([0-9a-fA-F]+);?$", 1)
-        code = F.when(F.length(digits) > 9, F.lit(1 << 30)).when(number.rlike("^#[xX]"), F.conv(digits, 16, 10).cast("int")).otherwise(digits.try_cast("int"))
-        name = F.regexp_extract(piece, "^[A-Za-z][A-Za-z0-9]*;", 0)
-        bare = F.regexp_extract(piece, f"^(?:{'|'.join(BARE)})", 0)
-        known = F.from_json(F.lit(NAMED), "map<string,string>")
-        rest = lambda x: F.substring(piece, F.length(x) + 1, F.length(piece))
-        named = F.element_at(known, name)
+        code = F.when(F.length(digits) > 7, F.lit(0)).when(number.rlike("^#[xX]"), F.conv(digits, 16, 10).cast("int")).otherwise(digits.try_cast("int"))
+        rest = F.substring(piece, F.length(number) + 1, F.length(piece))
+        name = F.regexp_extract(piece, f"^(?:[A-Za-z][A-Za-z0-9]*;|{'|'.join(BARE)})", 0)
         return (
-            F.when(number != "", F.concat(_character(code), rest(number))).when(named.isNotNull(), F.concat(named, rest(name)))
-            .when(bare != "", F.concat(F.element_at(known, F.concat(bare, F.lit(";"))), rest(bare))).otherwise(F.concat(F.lit("&"), piece))
+            F.when(number != "", F.concat(F.when(code.between(32, 126), F.char(code)).otherwise(""), rest)).when(name == "fjlig;", F.concat(F.lit("fj"), F.substring(piece, 7, F.length(piece))))
+            .when(name != "", F.substring(piece, F.length(name) + 1, F.length(piece))).otherwise(F.concat(F.lit("&"), piece))
         )
 
     pieces = F.split(c, "&", -1)
@@ -77,11 +67,11 @@ def unescape_html(c: Column) -> Column:
 
 
 def normalize_title(c: Column) -> Column:
-    return F.regexp_replace(F.lower(unescape_html(_text(c))), "[^a-z0-9]+", "")
+    return F.regexp_replace(F.lower(drop_references(_text(c))), "[^a-z0-9]+", "")
 
 
 def normalize_venue(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(unescape_html(_text(c))), VENUE_WORDS, " "), "[^a-z0-9]+", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(drop_references(_text(c))), VENUE_WORDS, " "), "[^a-z0-9]+", "")
 
 
 def normalize_doi(c: Column) -> Column:

@@ -37,7 +37,7 @@ def candidates(records: DataFrame, db: str) -> DataFrame:
     return records.select(
         F.lit(db).alias("db"), "record_id", get("title").alias("title"), T.normalize_title(F.col("title")).alias("title_normalized"), authors.alias("authors"),
         (get("abstract") if db == "arxiv" else F.lit(None).cast("string")).alias("abstract"), T.year_of_text(F.col(year)).alias("year"), get("venue").alias("venue"),
-        get("doi").alias("doi"), url.alias("url"),
+        T.nonempty(T.normalize_doi(get("doi"))).alias("doi"), url.alias("url"), get("oai_identifier").alias("oai_identifier"),
     )
 
 

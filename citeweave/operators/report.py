@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeweave.functions import matching as M
@@ -266,3 +266,9 @@ def stage_metrics(parsed: DataFrame, exact: DataFrame, searched: DataFrame, rows
         show("lexical", "lexical", "/", "lexical_n", " citations retrieved"), show("verify", "verified", "/", "n", " verified"), show("semantic", "judged", "/", "n", " semantic judgments"),
         show("report", "review", " need review"),
     )).alias("x")).select("x.*")
+
+
+def log_tail(lines: DataFrame, key: str, order: list[Column], most: int = 40) -> DataFrame:
+    """The last lines of each log, as many as are shown."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return lines.withColumn("place", place).where(F.col("place") <= most).drop("place")

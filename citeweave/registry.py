@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeweave.functions import matching as M
+from citeweave.functions import references as P
 from citeweave.functions import text as T
 from citeweave.operators import catalog as C
 from citeweave.operators import report as R
 from citeweave.operators import route as W
 from citeweave.operators.route import route
+from citeweave.session import shared_folder
+from citeweave.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -744,3 +747,162 @@ def split_sections(spark, sf):
 @query("select lower(regexp_replace(p_name, '[^a-zA-Z0-9]+', '_', 'g')) || '_' || p_size as tag, p_partkey from part")
 def run_tags(spark, sf):
     return read(spark, sf, "part").select(T.run_tag(F.concat("p_name", F.lit(" - "), F.col("p_size").cast("string"))).alias("tag"), "p_partkey")
+
+
+@query("""select event_type, event_id, user_id from (select *, row_number() over (partition by event_type order by ts desc, event_id desc) as r from events) where r <= 40""")
+def log_tail(spark, sf):
+    return R.log_tail(read(spark, sf, "events").select("event_type", "event_id", "user_id", "ts"), "event_type", [F.desc("ts"), F.desc("event_id")]).drop("ts")
+
+
+#: Texts, and what the rules make of them: (kind, given, expected).
+EDGES = [
+    ("title", "Caf&eacute; &#233;tude", "caftude"), ("title", "&#65;B &lt;x&gt; &#x43;", "abxc"), ("title", "&AMP; Co a&notin;b &fjlig;ord", "coabfjord"), ("title", "a &copy 2020 &ampx", "a2020x"),
+    ("title", None, ""), ("title", "a & b && c&;", "abc"), ("title", "&#1114112; &#0;x&#55296;", "x"), ("title", "\U0001f600 &#128512;z", "z"),
+    ("venue", "Proc. of R&amp;D, vol. 3 &Uuml;ber", "ofrd3ber"), ("doi", "\tdoi: 10.1/Ab\n", "10.1/ab"), ("doi", " https://doi.org/10.1/x;. ", "10.1/x"), ("doi", None, ""), ("doi", "DOI:10.2/Y,", "10.2/y"),
+    ("words", "   ", "raw,words,here"), ("words", "A {T}itle of Deep Nets", "title,deep,nets"), ("words", None, "raw,words,here"),
+]
+
+
+def _q(x: str | None) -> str:
+    return "null" if x is None else "'" + x.replace("'", "''") + "'"
+
+
+@query("select * from (values " + ", ".join(f"({i}, {_q(k)}, {_q(e)})" for i, (k, _, e) in enumerate(EDGES)) + ") t(id, kind, made)")
+def norm_edges(spark, sf):
+    """Null, blank, tabbed and odd texts, and character references."""
+    rows = spark.createDataFrame([(i, k, g) for i, (k, g, _) in enumerate(EDGES)], "id int, kind string, given string")
+    g = F.col("given")
+    made = F.when(F.col("kind") == "title", T.normalize_title(g)).when(F.col("kind") == "venue", T.normalize_venue(g)).when(F.col("kind") == "doi", T.normalize_doi(g))
+    return rows.select("id", "kind", made.otherwise(F.array_join(T.build_query_words(g, F.lit("Raw words here")), ",")).alias("made"))
+
+
+# -- reference lists ----------------------------------------------------------------------------
+#: A list's references, {c} being the customer's key, and what is read from each: title, authors, venue, DOI, year.
+REFERENCES = [
+    ('A. Bell and B. Chen, "Careful study of large-\nscale signal x{c} in sys-\ntems," in Proc. Conf. Systems, 2015, pp. 1-9.',
+     ("Careful study of large-scale signal x{c} in systems", "A. Bell; B. Chen", "Proc. Conf. Systems", None, 2015)),
+    ("C. Dyk. 2016. Another careful study of item x{c} for people. In Proceedings of Things. https://doi.org/10.1000/ab{c}.\n12345.",
+     ("Another careful study of item x{c} for people", "C. Dyk", "Proceedings of Things", "10.1000/ab{c}.12345", 2016)),
+    ("Eve F, Gray H (2017) How tested tools treat case x{c} in use. J Tools 12:34", ("How tested tools treat case x{c} in use", "Eve F; Gray H", "J Tools 12:34", None, 2017)),
+    ('\u2014\u2014, "Second quoted thing about number x{c} here," in Proc. Else, 2018.', ("Second quoted thing about number x{c} here", "Eve F; Gray H", "Proc. Else", None, 2018)),
+    ("Some page of a site, https://example.com/x{c}", None),
+    ('X. Yo, "Tiny title," in Proc. Z, 2019.', None),
+    ("J. Old, K. New, Somewhat practical full encryption of set x{c}, Journal of Things 33 (2020) 34-91. arXiv:2301.00042", ("Somewhat practical full encryption of set x{c}", "J. Old; K. New", "Journal of Things 33", None, 2020)),
+    ("B. Chen, A. van Dyk, and E. Fox. Learning to read long lists x{c} with care. In Advances in Things, 2021.", ("Learning to read long lists x{c} with care", "B. Chen; A. van Dyk; E. Fox", "Advances in Things", None, 2021)),
+    ("Klein, G., Moss, T.: Formal proof of kernels x{c} at last. In: Proceedings of Proofs, pp. 1-12 (2009)", ("Formal proof of kernels x{c} at last", "Klein; Moss", "Proceedings of Proofs", None, 2009)),
+]
+
+
+def paper_view(spark: SparkSession, sf: str) -> DataFrame:
+    """A paper's text for every customer, with a list of references under a heading."""
+    text = "Body of paper.\nReferences\n" + "\n".join(f"[{k}] {x}" for k, (x, _) in enumerate(REFERENCES, 1)) + "\nAppendix\nMore of it.\n"
+    return read(spark, sf, "customer").select("c_custkey", F.replace(F.lit(text), F.lit("{c}"), F.col("c_custkey").cast("string")).alias("text"))
+
+
+@query(" union all ".join(f"select c_custkey, {k} as place, replace({_q(x)}, '{{c}}', c_custkey::varchar) as ref from customer" for k, (x, _) in enumerate(REFERENCES, 1)))
+def segment_refs(spark, sf):
+    found = P.per_text(lambda x: P.segments(P.references_section(x)), "array<string>")(F.col("text"))
+    return paper_view(spark, sf).select("c_custkey", F.posexplode(found).alias("p", "ref")).select("c_custkey", (F.col("p") + 1).alias("place"), "ref")
+
+
+@query(" union all ".join(
+    f"select c_custkey, {k} as citation_id, replace({_q(t)}, '{{c}}', c_custkey::varchar) as parsed_title, {_q(a)} as authors, {y} as parsed_year, {_q(v)} as parsed_venue, "
+    f"replace({_q(d)}, '{{c}}', c_custkey::varchar) as parsed_doi, {_q('2301.00042' if 'arXiv' in x else None)} as parsed_arxiv_id, {_q('https://arxiv.org/abs/2301.00042' if 'arXiv' in x else None)} as parsed_url from customer"
+    for k, (x, e) in enumerate(REFERENCES, 1) if e for t, a, v, d, y in (e,)
+))
+def extract_ref_fields(spark, sf):
+    out = P.parse_references(paper_view(spark, sf), "c_custkey", "text")
+    return out.select("c_custkey", "citation_id", "parsed_title", F.array_join("parsed_authors", "; ").alias("authors"), "parsed_year", "parsed_venue", "parsed_doi", "parsed_arxiv_id", "parsed_url")
+
+
+# -- catalogs' dumps ----------------------------------------------------------------------------
+@query("""select 'c' || c_custkey as record_id, 'Deep "Nets" & <b> of ' || c_custkey as title, 'A Bell and B Chen' as authors, 'J. of X 12 (1999)' as venue, '10.1/ab' || c_custkey as doi,
+    case when c_custkey % 7 = 0 then '1999' else '2007' end as year, 'oai:x:' || c_custkey as oai_identifier, 'https://arxiv.org/abs/c' || c_custkey as url from customer where c_custkey % 10 != 0 and c_custkey % 11 != 0""")
+def ingest_oai(spark, sf):
+    """Records written as OAI pages and read again; those without metadata or a title go, the year comes from the first version or the journal."""
+    k = F.col("c_custkey").cast("string")
+    raw = F.concat(
+        F.lit("<arXivRaw><id>c"), k, F.lit("</id><title>"), F.when(F.col("c_custkey") % 11 == 0, " ").otherwise(F.concat(F.lit('Deep  "Nets"\n &amp; &lt;b&gt; of '), k)), F.lit("</title><authors>A Bell and B Chen</authors>"),
+        F.lit("<journal-ref>J. of X 12 (1999)</journal-ref><doi>10.1/AB"), k, F.lit("</doi>"),
+        F.when(F.col("c_custkey") % 7 == 0, "").otherwise('<version version="v1"><date>Mon, 2 Apr 2007 19:18:42 GMT</date></version><version version="v2"><date>Mon, 2 Apr 2012 19:18:42 GMT</date></version>'), F.lit("</arXivRaw>"),
+    )
+    page = F.concat(F.lit("<record><header><identifier>oai:x:"), k, F.lit("</identifier></header>"), F.when(F.col("c_custkey") % 10 == 0, "").otherwise(F.concat(F.lit("<metadata>"), raw, F.lit("</metadata>"))), F.lit("</record>"))
+    path = shared_folder(spark, "oai")
+    pages = read(spark, sf, "customer").select(F.floor(F.col("c_custkey") / 100).alias("page"), page.alias("r")).groupBy("page").agg(F.array_join(F.collect_list("r"), "").alias("r"))
+    pages.select("page", F.concat(F.lit("<OAI-PMH><ListRecords>"), "r", F.lit("</ListRecords></OAI-PMH>")).alias("value")).write.partitionBy("page").text(path)
+    return readers.read_arxiv(spark, path).select("record_id", "title", "authors", "venue", "doi", "year", "oai_identifier", "url")
+
+
+DBLP_TYPES = ", ".join(f"'{t}'" for t in readers.DBLP_TAGS)
+
+
+@query(f"""select 'k/' || p_partkey as record_id, [{DBLP_TYPES}][p_partkey % 8 + 1] as type, 'On x<2 of ' || p_name || '.' as title, case when p_partkey % 8 = 2 then 'Ed Itor' else 'Jörg Müller ' || p_partkey || '; A. B' end as authors,
+    case when p_partkey % 3 = 0 then 'Journal of R&D' when p_partkey % 3 = 1 then 'Conf' else '' end as venue, (1990 + p_partkey % 30)::varchar as year, 'https://x.org/' || p_partkey as ee, '10.1234/ab' || p_partkey as doi
+    from part where p_partkey % 13 != 0""")
+def ingest_dblp(spark, sf):
+    """Publications of all eight types written as a dump, with named characters and inner markup, and read again in one pass."""
+    k, s = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    tag = F.get(F.array(*map(F.lit, readers.DBLP_TAGS)), (k % 8).cast("int"))
+    people = F.when(k % 8 == 2, "<editor>Ed Itor</editor>").otherwise(F.concat(F.lit('<author orcid="0">J&ouml;rg M&#252;ller '), s, F.lit("</author>\n<author>A. B</author>")))
+    title = F.when(k % 13 == 0, "").otherwise(F.concat(F.lit("<title>On <i>x</i>&lt;2\n of "), "p_name", F.lit(".</title>")))
+    venue = F.when(k % 3 == 0, "<journal>Journal of R&amp;D</journal>").when(k % 3 == 1, "<booktitle>Conf</booktitle><school>S</school>").otherwise("")
+    links = F.concat(F.lit("<ee>https://x.org/"), s, F.lit('</ee><ee type="oa">https://doi.org/10.1234/Ab'), s, F.lit("</ee>"))
+    record = F.concat(F.lit("<"), tag, F.lit(' mdate="2020-01-01" key="k/'), s, F.lit('">'), people, title, venue, F.lit("<year>"), (1990 + k % 30).cast("string"), F.lit("</year>"), links, F.lit("</"), tag, F.lit(">"))
+    path = shared_folder(spark, "dblp")
+    read(spark, sf, "part").select(record.alias("value")).write.text(path)
+    return readers.read_dblp(spark, path).drop("title_normalized", "venue_normalized")
+
+
+@query("""select 'W' || o_orderkey as record_id, case when o_orderkey % 2 = 0 then 'T' || o_orderkey else 'D' || o_orderkey end as title, 'A B; C' as authors, '10.1/x' || o_orderkey as doi,
+    case when o_orderkey % 5 = 1 then '' else (2000 + o_orderkey % 20)::varchar end as publication_year, case when o_orderkey % 3 = 0 then 'V' when o_orderkey % 3 = 1 then 'Raw' else '' end as venue,
+    case when o_orderkey % 3 = 2 then '' else 'https://l/' || o_orderkey end as landing_page_url from orders where o_orderkey % 10 != 0""")
+def ingest_works(spark, sf):
+    """Works written as gzipped JSON lines under dated folders, some lines blank or broken, and read again."""
+    k, s = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    place = lambda *parts: F.concat(F.lit('{"landing_page_url":"https://l/'), s, F.lit('",'), *map(F.lit, parts), F.lit("}"))
+    where = F.when(k % 3 == 0, F.concat(F.lit('"primary_location":'), place('"source":{"display_name":"V","id":"S1","type":"journal"},"raw_source_name":"Raw"'))).when(
+        k % 3 == 1, F.concat(F.lit('"primary_location":null,"best_oa_location":'), place('"source":null,"raw_source_name":"Raw"'))).otherwise('"primary_location":null')
+    line = F.concat(
+        F.lit('{"id":"W'), s, F.lit('",'), F.when(k % 2 == 0, F.concat(F.lit('"title":"T'), s, F.lit('",'))).otherwise('"title":null,'), F.lit('"display_name":"D'), s, F.lit('","doi":"https://doi.org/10.1/X'), s,
+        F.lit('","authorships":[{"author":{"display_name":"A B"}},{"raw_author_name":"C"},{"author":{"display_name":""}}],'), F.when(k % 5 == 1, "").otherwise(F.concat(F.lit('"publication_year":'), (2000 + k % 20).cast("string"), F.lit(","))),
+        where, F.lit(',"indexed_in":["crossref"],"type":"article"}'),
+    )
+    line = F.when(k % 20 == 0, "").when(k % 10 == 0, '{"id":"broken').otherwise(line)
+    path = shared_folder(spark, "works")
+    read(spark, sf, "orders").select(line.alias("value"), F.date_format("o_orderdate", "yyyy").alias("updated_date")).write.partitionBy("updated_date").option("compression", "gzip").text(path)
+    return readers.read_works(spark, path).drop("type")
+
+
+@query("select n_nationkey, case when n_nationkey % 5 = 0 then null else n_name end as name, [n_regionkey, n_nationkey]::varchar as keys from nation")
+def json_stage(spark, sf):
+    """A stage's rows written as JSON and read again, nulls and arrays too."""
+    rows = read(spark, sf, "nation").select("n_nationkey", F.when(F.col("n_nationkey") % 5 != 0, F.col("n_name")).alias("name"), F.array("n_regionkey", "n_nationkey").alias("keys"))
+    path = shared_folder(spark, "stage")
+    readers.write_json_stage(rows, path)
+    again = readers.read_json_stage(spark, path, rows.schema, array=False)
+    missing = readers.read_json_stage(spark, path + "-missing", rows.schema, optional=True)
+    return again.unionAll(missing).withColumn("keys", F.concat(F.lit("["), F.array_join("keys", ", "), F.lit("]")))
+
+
+@query("select r_regionkey::varchar as r_regionkey, r_name || ', \"x\"' as r_name, null::varchar as none from region")
+def csv_sink(spark, sf):
+    """Fixed columns written under a header, a missing one empty, and read again."""
+    path = shared_folder(spark, "csv")
+    readers.write_csv(read(spark, sf, "region").withColumn("r_name", F.concat("r_name", F.lit(', "x"'))), ["r_regionkey", "r_name", "none"], path)
+    return spark.read.option("header", True).option("escape", '"').csv(path)
+
+
+@query(f"""select db, record_id, title, year, venue, doi, url, authors from (
+    select 'arxiv' as db, 'c' || c_custkey as record_id, nullif('T ' || c_name, '') as title, case when c_custkey % 3 = 0 then null else 2000 end as year, 'V' as venue, '10.1/x' as doi, 'U' as url, 'A B|C D' as authors from customer
+    union all select 'dblp', 'c' || c_custkey, 'T ' || c_name, case when c_custkey % 3 = 0 then null else 2000 end, 'V', '10.1/x', 'E', 'A B and C D' from customer
+    union all select 'openalex', 'c' || c_custkey, 'T ' || c_name, case when c_custkey % 3 = 0 then null else 2000 end, 'V', '10.1/x', case when c_custkey % 2 = 0 then 'c' || c_custkey else 'L' end, 'A B and C D' from customer)""")
+def catalog_candidates(spark, sf):
+    """The three catalogs' rows as common candidates."""
+    k = F.col("c_custkey")
+    year = F.when(k % 3 == 0, "n.d.").otherwise("2000")
+    raw = read(spark, sf, "customer").select(
+        F.concat(F.lit("c"), k.cast("string")).alias("record_id"), F.concat(F.lit("T "), "c_name").alias("title"), F.lit(" A B  and C D ").alias("authors"), F.lit("").alias("abstract"), year.alias("year"), year.alias("publication_year"),
+        F.lit("V").alias("venue"), F.lit("doi:10.1/X").alias("doi"), F.lit("U").alias("url"), F.lit("E").alias("ee"), F.when(k % 2 == 0, "").otherwise("L").alias("landing_page_url"),
+    )
+    every = C.candidates(raw, "arxiv").unionByName(C.candidates(raw, "dblp")).unionByName(C.candidates(raw, "openalex"))
+    return every.select("db", "record_id", "title", "year", "venue", "doi", "url", F.array_join("authors", "|").alias("authors"))

@@ -1,8 +1,7 @@
 from pyspark.sql import functions as F
 
 from citeweave.functions import text as T
-from citeweave.functions.references import segments, title_and_authors
-from citeweave.plans.verification import verify_citations
+from citeweave.plans.verification import run_stages
 from citeweave.sources import readers
 
 
@@ -24,13 +23,6 @@ def test_rules(spark):
     assert one(spark, T.author_overlap(F.array(lit("A A"), lit("B B")), F.array(lit("A A"), lit("C C"), lit("D D")))) == 0.5
 
 
-def test_references():
-    refs = 'References\n[1] A. Bell and B. Chen. "A study of long things in systems," In Proc. X, 2020.\n[2] C. Dyk (2019). Another title of some length. Journal of Y.\n[3] www.x.org\n'
-    assert len(segments(refs)) == 3
-    assert title_and_authors(segments(refs)[0])[0] == "A study of long things in systems"
-    assert title_and_authors(segments(refs)[1])[0] == "Another title of some length"
-
-
 def test_readers_and_plan(spark, tmp_path):
     (tmp_path / "a.xml").write_text(
         "<r><record><header><identifier>oai:1</identifier></header><metadata><arXivRaw><id>2001.00001</id><title>Deep  Nets &amp; Things We Know</title><authors>A Bell and B Chen</authors>"
@@ -43,10 +35,57 @@ def test_readers_and_plan(spark, tmp_path):
     (tmp_path / "w.json").write_text('{"id":"W1","display_name":"T","authorships":[{"author":{"display_name":"A B"}},{"raw_author_name":"C"}]}\n\nbroken\n')
     assert [(r.record_id, r.title, r.authors) for r in readers.read_works(spark, str(tmp_path / "w.json")).collect()] == [("W1", "T", "A B; C")]
     (tmp_path / "d.xml").write_text('<dblp><article key="k/1"><author>A B</author><title>On <i>x</i> Y.</title><year>2001</year><ee>https://doi.org/10.1234/Ab</ee></article></dblp>')
-    assert [(r.record_id, r.title, r.doi) for r in readers.read_dblp(spark, str(tmp_path / "d.xml"), ["article"]).collect()] == [("k/1", "On x Y", "10.1234/ab")]
+    assert [(r.record_id, r.title, r.doi) for r in readers.read_dblp(spark, str(tmp_path / "d.xml"), ["article"]).collect()] == [("k/1", "On x Y.", "10.1234/ab")]
     cites = spark.createDataFrame(
         [(1, "Deep nets and things we know", ["Bell, A."], 2020, "", "raw", None, None, None), (2, "x", [], 2020, "", "arXiv:2001.00001", None, None, "2001.00001"), (3, "Nothing like it at all", [], None, "", "r", None, None, None)],
         "citation_id int, title string, authors array<string>, year int, venue string, raw string, doi string, url string, arxiv_id string",
     )
-    got = {r.citation_id: (r.selected_source, r.selected_match_type) for r in verify_citations(cites, rows).collect()}
-    assert got == {1: ("lexical", "lexical"), 2: ("exact", "arxiv_id_exact"), 3: (None, None)}
+    stages = run_stages(cites, rows)
+    got = {r.citation_id: (r.selected_source, r.selected_match_type) for r in stages["verify"].collect()}
+    assert got == {1: ("lexical", "lexical_top_1"), 2: ("exact", "arxiv_id_exact"), 3: (None, None)}
+    assert {r.citation_id: (r.match_type, r.confidence) for r in stages["exact"].collect()} == {1: ("skipped", 0.55), 2: ("arxiv_id_exact", 0.99), 3: ("skipped", 0.55)}
+    assert {r.citation_id: (r.skip_reason, r.effective_db_priority) for r in stages["lexical"].collect()} == {1: (None, ["arxiv"]), 2: ("exact_match_found:arxiv_id_exact", []), 3: (None, ["arxiv", "dblp", "openalex"])}
+    assert {r.citation_id: r.skip_reason for r in stages["semantic"].collect()} == {1: "no_expanded_context", 2: "no_expanded_context", 3: "no_selected_candidate"}
+    assert {r.citation_id: r.combined_label for r in stages["report"].collect()}[3] == "likely_problematic" and set(run_stages(cites, rows, upto="exact")) == {"route", "exact"}
+
+
+def test_a_scorer_is_asked_by_the_batch(spark):
+    from citeweave.operators import report
+
+    rows = spark.createDataFrame([(i, True, "An abstract", ["Line one."] if i != 3 else [], f"bad {i}" if i in (1, 2) else "t") for i in range(6)], "citation_id int, has_candidate boolean, abstract string, lines array<string>, title string").coalesce(1)
+
+    def scorer(prompts):
+        assert len(prompts) == 1 or not prompts.str.contains("bad").any()  # a failing batch is asked again row by row
+        if prompts.iloc[0].find("bad 1") >= 0:
+            raise ValueError
+        return prompts.map(lambda p: 'So: {"support_label": "Supported", "support_score": 7, "explanation": " x "}')
+
+    got = {r.citation_id: (r.skip_reason, r.support_label, r.support_score) for r in report.judge(rows, scorer).collect()}
+    assert got == {**{i: (None, "supported", 1.0) for i in (0, 2, 4, 5)}, 1: ("semantic_error", "unclear", 0.0), 3: ("no_expanded_context", "unclear", 0.0)}
+
+
+def test_dump_path(spark, tmp_path):
+    base = str(tmp_path / "dump")
+    try:
+        readers.dump_path(spark, base)
+        raise AssertionError
+    except FileNotFoundError:
+        pass
+    (tmp_path / "dump.xml.gz").write_text("")
+    assert readers.dump_path(spark, base) == base + ".xml.gz"
+    (tmp_path / "dump.xml").write_text("")
+    assert readers.dump_path(spark, base) == base + ".xml"
+
+
+def test_stream_keeps_the_latest(spark, tmp_path):
+    from citeweave.streaming.upsert import latest
+
+    def step(name, rows):
+        spark.createDataFrame(rows, "k int, t int, v string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("k int, t int, v string").parquet(str(tmp_path / "in"))
+        latest(stream, "k", "t", str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+        return sorted(tuple(r) for r in readers.latest_version(spark, str(tmp_path / "out")).collect())
+
+    assert step("a", [(1, 1, "a"), (2, 5, "b"), (1, 2, "c")]) == [(1, 2, "c"), (2, 5, "b")]
+    assert step("b", [(1, 1, "old"), (2, 6, "new"), (3, 1, None)]) == [(1, 2, "c"), (2, 6, "new"), (3, 1, None)]
+    assert len([p for p in (tmp_path / "out").iterdir() if p.name.startswith("v=")]) <= 2
