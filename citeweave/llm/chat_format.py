@@ -137,7 +137,10 @@ def turn_trees(conversations: DataFrame) -> DataFrame:
 
 
 def format_trees(spark: SparkSession, nodes: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(leaf, tree, formatted, loss_spans) for the best branches of reply trees (node, parent, tree, role, text, score)."""
+    """(leaf, tree, formatted, loss_spans) for the best branches of reply trees (node, parent, tree, role, text, score).
+
+    A tree whose nodes all lie on a cycle has neither root nor leaf and gives no row; an empty table gives none.
+    """
     scratch = Scratch(spark, "chat")
     nodes = scratch.save(nodes, "nodes")
     best = chosen_paths(scratch, nodes.select("node", "parent", "tree", "score"), s)

@@ -73,7 +73,7 @@ class Scratch:
 
     def save(self, df: DataFrame, label: str) -> DataFrame:
         path = f"{self.base}/{label}"
-        df.write.option("parquet.block.size", _ROW_GROUP).parquet(path)
+        df.write.option("parquet.block.size", _ROW_GROUP).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", False).parquet(path)
         self.labels.append(label)
         tidy(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
