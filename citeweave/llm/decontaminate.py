@@ -49,6 +49,12 @@ def _codes(words: np.ndarray, s: Settings) -> np.ndarray:
     return (words >> np.uint64(20)).astype(np.int64) % s.buckets
 
 
+def distinct(codes: np.ndarray) -> np.ndarray:
+    """Sorted, each once; for short arrays sorting is cheaper than hashing."""
+    codes = np.sort(codes)
+    return codes[np.concatenate([[True], codes[1:] != codes[:-1]])] if len(codes) else codes
+
+
 def document_frequencies(docs: DataFrame, s: Settings) -> tuple[np.ndarray, int]:
     """In how many documents each bucket of words occurs, and how many documents have words; over all documents.
 
@@ -59,7 +65,7 @@ def document_frequencies(docs: DataFrame, s: Settings) -> tuple[np.ndarray, int]
         total, n = np.zeros(s.buckets, np.int64), 0
         for batch in batches:
             for text in batch.column("text"):
-                codes = np.unique(_codes(word_hashes(text_bytes(text))[0], s))
+                codes = distinct(_codes(word_hashes(text_bytes(text))[0], s))
                 total[codes] += 1
                 n += len(codes) > 0
         hit = np.flatnonzero(total)
@@ -204,9 +210,10 @@ def candidates(words: np.ndarray, ix: Index, s: Settings) -> list[tuple[int, int
         return [(k, at + start, c) for at in starts for k, start, c in candidates(words[at : at + size + 2 * s.block], ix, s)]
     codes = _codes(words, s)
     n = max(1, -(-len(words) // s.block) - 2)  # stretches; words of block b lie in those from b - 2 to b
-    block = np.arange(len(codes)) // s.block
-    place = np.unique(np.concatenate([(block - back) * s.buckets + codes for back in range(3)]))
-    place = place[(place >= 0) & (place < n * s.buckets)]
+    known = np.flatnonzero(ix.starts[codes + 1] > ix.starts[codes])
+    place = known // s.block * s.buckets + codes[known]
+    place = distinct(np.concatenate([place - back * s.buckets for back in range(3)]))
+    place = place[np.searchsorted(place, 0) : np.searchsorted(place, n * s.buckets)]
     stretch, code = place // s.buckets, place % s.buckets
     hits = ix.starts[code + 1] - ix.starts[code]
     nth = np.arange(hits.sum()) - np.repeat(np.cumsum(hits) - hits, hits)
@@ -215,7 +222,7 @@ def candidates(words: np.ndarray, ix: Index, s: Settings) -> list[tuple[int, int
     out, latent, at = [], None, -1
     for start, j in np.argwhere(shared >= ix.need).tolist():
         if start != at:
-            at, rows = start, ix.row[np.unique(codes[start * s.block : start * s.block + width])]
+            at, rows = start, ix.row[distinct(codes[start * s.block : start * s.block + width])]
             latent = ix.basis[rows[rows >= 0]].sum(axis=0)
         product = float(latent @ ix.queries[j])
         cosine = product / max(float(np.linalg.norm(latent)), 1e-12)
