@@ -6,11 +6,12 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeweave.functions import reference_rules as R
 from citeweave.functions import text as T
+from citeweave.session import ship
 
 
 def one_space(text: str) -> str:
@@ -425,7 +426,8 @@ def parse(text: str | None) -> list[dict]:
 
 # -- tables -------------------------------------------------------------------------------------
 def per_text(f: Callable, schema: str) -> Callable:
-    """A column function that maps every text of a batch; a null is null."""
+    """A column function that maps every text of a batch; a null is null. The workers of the active session get this package."""
+    ship(SparkSession.getActiveSession())
 
     @F.pandas_udf(schema)
     def run(s: pd.Series) -> pd.Series:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,12 +23,8 @@ BIOMED = [
 
 
 def contains_any(text: Column, words: list[str]) -> Column:
-    """Whether any word is a substring of the lower-cased text with single spaces."""
-    text = T.normalize_text(text)
-    out = F.lit(False)
-    for w in words:
-        out |= F.contains(text, F.lit(w))
-    return out
+    """Whether any word is a substring of the lower-cased text with single spaces; the text is normalised once."""
+    return T.normalize_text(text).rlike("|".join(map(re.escape, words))) if words else F.lit(False)
 
 
 def route(title: Column, venue: Column, raw: Column, doi: Column, arxiv_id: Column, url: Column, nlp=NLP, cs=CS, biomed=BIOMED) -> Column:
