@@ -8,22 +8,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import BLANKS, Scratch, table
+from citeweave.llm.common import BLANKS, Scratch, maybe_broadcast, quantile, table
 
 
 @dataclass(frozen=True)
 class Settings:
-    """trusted_rows bounds the ids of the trusted target, so that they can be broadcast.
-
-    A document is kept if its ratio reaches the score that trusted_loss of the trusted documents lie under,
-    less slack.
-    """
+    """A document is kept if its ratio reaches the score that trusted_loss of the trusted documents lie under, less slack."""
 
     buckets: int = 1 << 14
-    trusted_rows: int = 20_000
     trusted_loss: float = 0.005
     slack: float = 0.03
-    seed: int = 3
 
 
 def words_of(text: str) -> Column:
@@ -74,22 +68,24 @@ def gram_buckets(words: str, s: Settings) -> Column:
     return F.concat(one, two)
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, s: Settings) -> DataFrame:
-    """One row with an array of log(target / raw) by bucket, of smoothed multinomials over all documents.
+def trusted_ids(scratch: Scratch, trusted: DataFrame) -> DataFrame:
+    """The distinct ids of all trusted documents, broadcast where they are few."""
+    ids = scratch.save(trusted.where("doc_id is not null").select("doc_id").distinct(), "trusted")
+    return maybe_broadcast(ids, 64 * ids.count())
 
-    The raw counts cover every document. The target counts cover the documents whose ids are in `trusted`, of
-    which the trusted_rows with the least hash are used. There are at most `buckets` counts, whatever the input.
-    """
-    words = docs.select("doc_id", words_of("text").alias("w_"))
 
-    def count(of: DataFrame, name: str) -> DataFrame:
-        return of.select(F.explode(gram_buckets("w_", s)).alias("b")).groupBy("b").agg(F.count("*").alias(name))
+def log_ratios(docs: DataFrame, ids: DataFrame, s: Settings) -> DataFrame:
+    """One row with an array of log(target / raw) by bucket, of smoothed multinomials over all documents.
 
-    ids = trusted.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(s.seed)), "doc_id").limit(s.trusted_rows)
+    The raw counts cover every document, the target counts every document whose id is in `ids`, which has each once.
+    There are at most `buckets` counts, whatever the input.
+    """
+    flagged = docs.select("doc_id", "text").join(ids.withColumn("good", F.lit(True)), "doc_id", "left")
+    grams = flagged.select("good", words_of("text").alias("w_")).select("good", F.explode(gram_buckets("w_", s)).alias("b"))
+    counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.count("good").alias("good"))
     both = (
         docs.sparkSession.range(s.buckets).select(F.col("id").cast("int").alias("b"))
-        .join(count(words, "raw"), "b", "left")
-        .join(count(words.join(F.broadcast(ids), "doc_id", "left_semi"), "good"), "b", "left")
+        .join(counts, "b", "left")
         .select("b", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("raw", "good")))
     )
     rows = F.array_sort(F.collect_list(F.struct("b", "raw", "good")))
@@ -110,7 +106,9 @@ def apply_rules(docs: DataFrame, trusted: DataFrame, s: Settings = Settings()) -
     base_failed, else llr >= the threshold. Without trusted documents every llr is 0 and all that pass the base
     are kept. A null text has no words. Every row gives one row; other columns may be null or clash (replaced).
     """
-    ratios = Scratch(docs.sparkSession, "rules").save(log_ratios(docs, trusted, s), "ratios")
+    scratch = Scratch(docs.sparkSession, "rules")
+    ids = trusted_ids(scratch, trusted)
+    ratios = scratch.save(log_ratios(docs, ids, s), "ratios")
     ratios.createOrReplaceTempView(view := f"ratios_{uuid.uuid4().hex}")
     new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
     kept = [c for c in docs.columns if c.lower() not in new]
@@ -121,20 +119,18 @@ def apply_rules(docs: DataFrame, trusted: DataFrame, s: Settings = Settings()) -
     out = out.select(*kept, "w_", repeated_starts("s_").alias("q_"), F.coalesce(total / F.nullif(F.size("g_"), F.lit(0)), F.lit(0.0)).alias("llr"))
     out = out.select(*kept, *(c.alias(k) for k, c in base_columns("w_", "text").items()), covered("q_").alias("n_repeat_words"), "llr")
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold(docs, trusted, view, s)))
-    for name in (view, f"cut_{view}"):  # the plan has them
-        docs.sparkSession.catalog.dropTempView(name)
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold(scratch, docs, ids, view, s)))
+    docs.sparkSession.catalog.dropTempView(view)  # the plan has it
     return out
 
 
-def threshold(docs: DataFrame, trusted: DataFrame, view: str, s: Settings) -> Column:
-    """A scalar subquery: the exact trusted_loss quantile of the trusted documents' ratios, less slack."""
-    ids = trusted.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(s.seed)), "doc_id").limit(s.trusted_rows)
-    own = docs.join(F.broadcast(ids), "doc_id", "left_semi").select(words_of("text").alias("w_")).select(gram_buckets("w_", s).alias("g_"), F.expr(f"(select ratios from {view})").alias("r_"))
+def threshold(scratch: Scratch, docs: DataFrame, ids: DataFrame, view: str, s: Settings) -> float:
+    """The exact trusted_loss quantile of the ratios of all trusted documents, less slack."""
+    own = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select(words_of("text").alias("w_")).select(gram_buckets("w_", s).alias("g_"), F.expr(f"(select ratios from {view})").alias("r_"))
     # a filter on g_ would be pushed below and compute the words anew for each of them
     scores = own.select(F.when(F.size("g_") >= 50, F.aggregate("g_", F.lit(0.0), lambda a, b: a + F.col("r_")[b]) / F.size("g_")).alias("x"))
-    scores.agg(F.coalesce(F.percentile("x", F.lit(s.trusted_loss)) - s.slack, F.lit(float("-inf"))).alias("t")).createOrReplaceTempView(name := f"cut_{view}")
-    return F.expr(f"(select t from {name})")
+    found = quantile(scratch.save(scores, "scores"), s.trusted_loss)
+    return float("-inf") if found is None else found - s.slack
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

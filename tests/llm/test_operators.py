@@ -9,8 +9,9 @@ import time
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from citeweave.llm import chat_format, decontaminate, html_extract, language_id, line_dedup, minhash, mixing, quality_classifier, quality_rules, url_filter
+from citeweave.llm import chat_format, common, decontaminate, html_extract, language_id, line_dedup, minhash, mixing, quality_classifier, quality_rules, url_filter
 from citeweave.llm.common import shingle_hashes, word_hashes
 
 SF = "/root/testdata/sf0.001"
@@ -465,6 +466,29 @@ def test_log_ratios_match_brute_force(spark, odd):
     assert seen == {True, False}
 
 
+def test_rules_count_all_trusted_documents(spark):
+    """Where all documents are trusted, the target's counts are the raw ones, whatever their number."""
+    text = F.concat_ws(" ", F.lit("the words of"), F.concat(F.lit("w"), F.col("id") % 1009), F.concat(F.lit("x"), F.col("id") % 4001))
+    df = spark.range(20_500).select(F.col("id").alias("doc_id"), text.alias("text"))
+    assert quality_rules.apply_rules(df, df.select("doc_id")).where("abs(llr) > 1e-12").isEmpty()
+
+
+@pytest.mark.parametrize("most", [1, 7, 1000])
+def test_rows_around_a_sum_of_weights(spark, most):
+    rng = random.Random(5)
+    rows = [(float(rng.choice([rng.randint(-3, 3), rng.gauss(0, 1), 1e6])), rng.randint(0, 1)) for _ in range(300)]
+    df = spark.createDataFrame([*rows, (None, 1)], "x double, y int").cache()
+    for weights in ((0.0, 1.0), (1.0, 3.0)):
+        total = sum(weights[y] for _, y in rows)
+        for share in (0.003, 0.3, 0.5, 0.8, 1.0):
+            target = int(share * total) + 1 if share < 1 else total
+            order, sums = sorted(rows), np.cumsum([weights[y] for _, y in sorted(rows)])
+            at = int(np.searchsorted(sums, target))
+            assert common.around(df, weights, target, most) == (order[at][0], order[min(at + 1, 299)][0])
+    assert common.around(df.limit(0), (0.0, 1.0), 1) is None and common.quantile(df.limit(0), 0.5) is None
+    assert common.quantile(df, 0.37) == pytest.approx(np.quantile([x for x, _ in rows], 0.37), abs=1e-12)
+
+
 def test_url_verdicts_match_brute_force(spark):
     s = url_filter.Settings(buckets=4096, order=2)
     rng = random.Random(8)
