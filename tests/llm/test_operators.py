@@ -489,6 +489,28 @@ def test_rows_around_a_sum_of_weights(spark, most):
     assert common.quantile(df, 0.37) == pytest.approx(np.quantile([x for x, _ in rows], 0.37), abs=1e-12)
 
 
+def test_url_models_learn_from_all_urls(spark):
+    s = url_filter.Settings(buckets=4096, order=0)
+    urls = [f"http://example.net/en/{'abcdefgh'[i % 8] * (i % 5)}{i}" for i in range(20_500)] + [f"http://x.net/{i}" for i in range(10)]
+    rows = url_filter.judge(spark.createDataFrame([*enumerate(urls), (-1, "http://b.com/9")], "page_id int, url string"), s=s).where("page_id < 2").collect()
+    chars = {v: {} for v in ("allow", "block")}
+    for u in urls:
+        if spark_hash(u, s.seed + 1) % s.folds:
+            for c in u:
+                own = chars["allow" if "/en/" in u else "block"]
+                own[c] = own.get(c, 0) + 1
+    counts = {v: np.zeros(s.buckets) for v in chars}
+    for v, found in chars.items():
+        counts[v][spark_hash(0, "") % s.buckets] += sum(found.values())
+        for c, n in found.items():
+            counts[v][spark_hash(1, c) % s.buckets] += n
+    context = spark_hash(0, "") % s.buckets
+    p = lambda v, c: (counts[v][spark_hash(1, c) % s.buckets] + s.strength / s.alphabet) / (counts[v][context] + s.strength)
+    assert len(rows) == 3
+    for r in rows:
+        assert abs(r.llr - np.mean([np.log(p("allow", c) / p("block", c)) for c in r.url])) < 1e-9
+
+
 def test_url_verdicts_match_brute_force(spark):
     s = url_filter.Settings(buckets=4096, order=2)
     rng = random.Random(8)
