@@ -10,12 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import draw, held_out, mix, table, word_hashes
+from citeweave.llm.common import Scratch, around, by_group, held_out, maybe_broadcast, mix, table, word_hashes
 
 
 @dataclass(frozen=True)
 class Settings:
-    """rows_per_label bounds the training sample; pairs bounds the preference pairs drawn from it."""
+    """All labelled rows are learned from, in blocks of about rows_per_label of either label; pairs are drawn from a block in each epoch."""
 
     rows_per_label: int = 1500
     pairs: int = 40_000
@@ -104,34 +104,55 @@ def fit(x: np.ndarray, y: np.ndarray, s: Settings) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
-    """Learns from at most rows_per_label labelled documents of each quality, those with the least hash of the id.
+    """Learns from all labelled documents; their features stay with the executors, which send the driver a block's weights each.
 
-    The quantile of the cut is the share of quality 0 among all labelled rows given, so that a sample with as
-    many rows of either label stands for them.
+    The rows are dealt into blocks by hash, each block learns from its own pairs, and the weights are the mean of the
+    blocks'. Rows of the rarer label are in as many blocks as it takes for either label to come to as many rows. The cut is the
+    exact quantile of all labelled documents' raw scores at the share of quality 0 among all labelled rows given, either
+    label weighing as it does among these. Repeated rows count once.
     """
-    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    share = known.agg(F.avg(1.0 - F.col("quality"))).first()[0]
-    chosen = draw(known, "quality", ["doc_id"], s.rows_per_label, 2 * s.rows_per_label, s.seed)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    scratch = Scratch(docs.sparkSession, "classifier")
+    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    known = scratch.save(known, "known")
+    n, share = known.agg(F.count("*"), F.avg(1.0 - F.col("quality"))).first()
+    rows = docs.select("doc_id", "text").join(maybe_broadcast(known, 64 * n), "doc_id")
 
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch.doc_id, "quality": batch.quality, "f": [features(x, s).tobytes() for x in batch.text]})
 
-    got = sample.mapInPandas(compute, "doc_id long, quality int, f binary").distinct().toPandas()
-    got = got.sort_values(["doc_id", "f"], kind="stable")
-    x = np.frombuffer(b"".join(got.f), float).reshape(len(got), N_DENSE + s.buckets)
-    y = got.quality.to_numpy(int)
-    model = fit(x, y, s)
-    if share is not None and 0 < share < 1 and (y == 0).any() and (y == 1).any():
-        # quantile of the population: either label weighs as it does among all labelled rows
-        raw = (x - model.centre) @ model.weights
-        weight = np.where(y == 0, share / max((y == 0).sum(), 1), (1 - share) / max((y == 1).sum(), 1))
-        order = np.argsort(raw, kind="stable")
-        at = int(np.searchsorted(np.cumsum(weight[order]), share - 1e-9))
-        at = min(at, len(raw) - 2)
-        model.cut = float((raw[order[at]] + raw[order[at + 1]]) / 2)
-    return model
+    rows = scratch.save(rows.mapInPandas(compute, "doc_id long, quality int, f binary").distinct(), "features")
+    counts = rows.agg(F.count_if(F.col("quality") == 0), F.count_if(F.col("quality") == 1)).first()
+    most = max(counts)
+    if not min(counts):  # nothing to compare
+        return fit(np.zeros((min(most, 1), N_DENSE + s.buckets)), np.array([int(counts[1] > 0)][:most]), s)
+    blocks = -(-most // s.rows_per_label)
+    copies = [min(blocks, round(most / c)) for c in counts]
+    nth = F.explode(F.sequence(F.lit(0), F.when(F.col("quality") == 0, copies[0]).otherwise(copies[1]) - 1)).alias("nth")
+    dealt = rows.select("*", nth).select("doc_id", "quality", "f", F.pmod(F.xxhash64("doc_id", "f", F.lit(s.seed)) + F.col("nth"), F.lit(blocks)).cast("int").alias("block"))
+
+    def learn(g: dict) -> list[tuple]:
+        order = sorted(range(len(g["f"])), key=lambda k: (g["doc_id"][k], g["f"][k]))
+        x = np.frombuffer(b"".join(g["f"][k] for k in order), float).reshape(len(order), -1)
+        y = np.array([g["quality"][k] for k in order])
+        m = fit(x, y, s)
+        return [(g["block"][0], m.weights.tobytes(), m.centre.tobytes())] if 0 < y.sum() < len(y) else []
+
+    learned = sorted(tuple(r) for r in by_group(dealt, ["block"], "doc_id", learn, "block int, w binary, c binary").collect())
+    weights, centre = (np.mean([np.frombuffer(r[k]) for r in learned], axis=0) for k in (1, 2))
+
+    def raw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                x = np.frombuffer(b"".join(batch.f), float).reshape(len(batch), -1)
+                yield pd.DataFrame({"x": (x - centre) @ weights, "y": batch.quality})
+
+    scores = scratch.save(rows.select("quality", "f").mapInPandas(raw, "x double, y int"), "scores")
+    low, high = around(scores, (share / counts[0], (1 - share) / counts[1]), share - 1e-9)
+    scale = max(scores.agg(F.stddev_pop("x")).first()[0], 1e-6) / 4
+    for label in list(scratch.labels):
+        scratch.drop(label)
+    return Model(s, weights, centre, (low + high) / 2, float(f"{scale:.12g}"))  # sums of other partitions may differ in the last digits
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:

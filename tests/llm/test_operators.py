@@ -564,6 +564,25 @@ def test_quality_score_is_the_pairs_logistic(spark):
     assert out.columns == ["doc_id", "text", "score", "predicted"] and out.count() == 4
 
 
+@pytest.mark.parametrize("n_good, n_bad", [(70, 60), (70, 3)])
+def test_quality_learns_from_all_labelled_rows(spark, n_good, n_bad):
+    """Weights and cut come from all labelled rows, in blocks of few; the one bad text of a kind of its own is learned too."""
+    s = quality_classifier.Settings(rows_per_label=20, pairs=500, epochs=3)
+    good = [". ".join(invented(2, 100 + i)) + "." for i in range(n_good)]
+    bad = ["a | = | " * (6 + i % 7) + f"z {i}" for i in range(n_bad)]
+    rows = [(i, t, int(i < n_good)) for i, t in enumerate(good + bad)]
+    df = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, quality int").repartition(3)
+    m = quality_classifier.train(df, df, s)
+    x = np.array([quality_classifier.features(t, s) for _, t, _ in rows])
+    raw = np.sort((x - m.centre) @ m.weights)
+    assert m.cut == pytest.approx((raw[n_bad - 1] + raw[n_bad]) / 2, abs=1e-9) and m.scale == pytest.approx(raw.std() / 4, rel=1e-9)
+    assert [int(m.score(t) >= 0.5) for _, t, _ in rows] == [q for _, _, q in rows]
+    again = quality_classifier.train(df.repartition(2), df, s)
+    assert (again.weights == m.weights).all() and again.cut == m.cut
+    only = quality_classifier.train(df, df.where("quality = 1"), s)
+    assert only.score(good[0]) > 0.5
+
+
 def test_empty_tables(spark, odd):
     """Every operator gives no rows for an empty table."""
     none = odd.limit(0)
