@@ -140,7 +140,11 @@ def signatures(docs: DataFrame, s: Settings) -> DataFrame:
 
 
 def loose_links(pairs: DataFrame, s: Settings) -> DataFrame:
-    """(a, b) of the rows (a, b, sa, sb) whose sketches agree often enough."""
+    """Links (a, b) that connect whatever the rows (a, b, sa, sb) whose sketches agree often enough do.
+
+    A text meets the representatives of all its bands. Of the links in a batch of texts a forest is left, so there are
+    about as many links as texts, whatever the number of bands that a group of near copies shares.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -148,7 +152,14 @@ def loose_links(pairs: DataFrame, s: Settings) -> DataFrame:
                 x, y = (np.frombuffer(b"".join(c), np.uint8).reshape(len(batch), s.k) for c in (batch.sa, batch.sb))
                 yield batch.loc[(x == y).mean(axis=1) >= s.loose, ["a", "b"]]
 
-    return pairs.mapInPandas(run, "a long, b long")
+    def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            names, at = np.unique(batch[["a", "b"]].to_numpy(), return_inverse=True)
+            forest = Forest(len(names))
+            yield batch[[forest.join(x, y) for x, y in at.reshape(-1, 2).tolist()]]
+
+    schema = "a long, b long"
+    return pairs.mapInPandas(run, schema).repartition("b").sortWithinPartitions("b", "a").mapInPandas(thin, schema)
 
 
 def bucket_links(members: DataFrame, sketches: DataFrame, s: Settings) -> DataFrame:
@@ -249,7 +260,8 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     met = met.join(first.select(F.col("node").alias("rep"), F.col("c").alias("rc")), "rep", "left")
     met = scratch.save(met.select("key", "node", "comp", (F.col("comp") == F.coalesce("rc", "rep")).alias("linked")), "met")
     again = scratch.save(bucket_links(met, slim, s), "again")
-    groups = first if again.isEmpty() else connected_components(scratch, links.unionAll(again), "groups").withColumnRenamed("comp", "c")
+    stars_of = first.where("node != c").select(F.col("node").alias("a"), F.col("c").alias("b"))  # they connect what the links do
+    groups = first if again.isEmpty() else connected_components(scratch, stars_of.unionAll(again), "groups").withColumnRenamed("comp", "c")
     wanted = scratch.save(texts.join(groups, "node").select(F.col("c").alias("grp"), "node", "n", "h1", "h2", "least"), "wanted")
     keys = maybe_broadcast(wanted.select("h1", "h2", "least", "node"), 64 * wanted.count())
 

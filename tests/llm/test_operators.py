@@ -101,6 +101,25 @@ def test_near_duplicates_in_full_buckets_match_brute_force(spark):
     assert len(set(root)) == 300
 
 
+def test_links_of_near_copies_are_a_forest(spark):
+    """Each of 300 near copies meets 20 representatives; as many links as it takes are left, and they connect the same."""
+    s = minhash.Settings()
+    pairs = [(a, b) for b in range(20, 320) for a in range(20) if (a + b) % 2] + [(1000, 1001)]
+    sketch = lambda x: bytes([x % 2 if x < 1000 else 7]) * s.k
+    df = spark.createDataFrame([(a, b, sketch(1), sketch(1) if b != 1001 else sketch(0)) for a, b in pairs], "a long, b long, sa binary, sb binary")
+    links = [tuple(r) for r in minhash.loose_links(df, s).collect()]
+
+    def classes(links):
+        root = {x: x for p in pairs for x in p}
+        find = lambda x: x if root[x] == x else find(root[x])
+        for a, b in links:
+            root[find(b)] = find(a)
+        return {x: min(y for y in root if find(y) == find(x)) for x in root}
+
+    assert set(links) <= set(pairs) and classes(links) == classes(pairs[:-1])
+    assert len(links) < 320 + 4 * 20
+
+
 def test_lines_match_brute_force(spark):
     rng = random.Random(5)
     base = invented(25, 7)
