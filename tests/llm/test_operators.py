@@ -80,6 +80,45 @@ def test_near_duplicates_match_brute_force(spark, odd):
     assert len(ids) == len(set(ids)) and 3 in ids and 21 not in ids and {22, 23, 24, 25} <= set(ids)
 
 
+def odd_graph():
+    """A chain, a hub, a circle, loops, repeated and turned edges and random ones, under shuffled names of either sign; and the least name that each is connected with."""
+    rng = random.Random(31)
+    edges = [(k, k + 1) for k in range(60)] + [(100, 100 + k) for k in range(1, 80)] + [(200 + k, 200 + (k + 1) % 9) for k in range(9)]
+    edges += [(300, 300), (301, 302), (302, 301), (301, 302)] + [(rng.randrange(400, 700), rng.randrange(400, 700)) for _ in range(140)]
+    names = [x - 500 for x in range(1000)]
+    rng.shuffle(names)
+    edges = [(names[a], names[b]) for a, b in edges]
+    root = {x: x for a, b in edges if a != b for x in (a, b)}
+    for a, b in edges:
+        if a != b:
+            low, high = sorted((root[a], root[b]))
+            root = {x: low if r == high else r for x, r in root.items()}
+    return edges, root
+
+
+@pytest.mark.parametrize("at_once", [common._AT_ONCE, 50])
+def test_components_match_brute_force(spark, monkeypatch, at_once):
+    """By one task, and by steps where there are more edges than a task connects."""
+    monkeypatch.setattr(common, "_AT_ONCE", at_once)
+    edges, root = odd_graph()
+    scratch = common.Scratch(spark, "components")
+    found = common.connected_components(scratch, spark.createDataFrame(edges, "a long, b long").repartition(7), "odd").collect()
+    assert len(found) == len(root) and {r.node: r.comp for r in found} == root
+    assert common.connected_components(scratch, spark.createDataFrame([], "a long, b long"), "none").collect() == []
+
+
+def test_a_small_graph_takes_few_jobs(spark):
+    """A long chain takes no more of the driver than a pair: before, each step of it had jobs and plans of its own."""
+    edges = spark.createDataFrame([(k, k + 1) for k in range(200)], "a long, b long")
+    spark.sparkContext.setJobGroup("components", "")
+    try:
+        found = common.connected_components(common.Scratch(spark, "components"), edges, "chain")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found.where("comp = 0").count() == 201
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("components")) <= 6
+
+
 def test_near_duplicates_in_full_buckets_match_brute_force(spark):
     rng = random.Random(23)
     pool = [" ".join(f"p{i}w{k}" for k in range(30)) for i in range(40)]
