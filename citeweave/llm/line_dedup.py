@@ -320,7 +320,7 @@ def repeated_lines(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     words = scratch.save(payload(docs, scratch.save(places, "places"), s).dropDuplicates(["node"]), "words")
     pairs = sizes.where("lines = 2").select("a", "b").distinct()
     pairs = pairs.join(words.selectExpr("node a", "words wa"), "a").join(words.selectExpr("node b", "words wb"), "b")
-    links = pair_links(pairs.select("a", "b", "wa", "wb"), s)
+    links = scratch.save(pair_links(pairs.select("a", "b", "wa", "wb"), s), "pairs")
     larger = keyed.join(sizes.where("lines > 2").select("key", "lines"), "key").join(words, "node")
     larger = larger.select(F.col("key").alias("grp"), "node", "own", F.size("words").alias("n"), "words", "lines")
     hot = F.col("lines") > s.block_lines

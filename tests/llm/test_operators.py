@@ -119,6 +119,10 @@ def test_a_small_graph_takes_few_jobs(spark):
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("components")) <= 6
 
 
+def test_the_driver_gives_native_memory_back(spark):
+    assert "rim native heap" in common.trim(spark)
+
+
 def test_near_duplicates_in_full_buckets_match_brute_force(spark):
     rng = random.Random(23)
     pool = [" ".join(f"p{i}w{k}" for k in range(30)) for i in range(40)]
