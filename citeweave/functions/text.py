@@ -66,8 +66,13 @@ def drop_references(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(pieces, lambda x, i: F.when(i == 0, x).otherwise(one(x))), "")).otherwise(c)
 
 
-def normalize_title(c: Column) -> Column:
-    return F.regexp_replace(F.lower(drop_references(_text(c))), "[^a-z0-9]+", "")
+def normalize_title(c: Column, known: list[tuple[str, str]] | None = None) -> Column:
+    """A title's ASCII letters and digits, lower case. known: the character references that its source writes, with their characters, in
+    the order in which they are read; any other &, as of one that a cut title ends in, is text then. Without it all of HTML's are read."""
+    text = _text(c)
+    for reference, char in known or ():
+        text = F.replace(text, F.lit(reference), F.lit(char))
+    return F.regexp_replace(F.lower(drop_references(text) if known is None else text), "[^a-z0-9]+", "")
 
 
 def normalize_venue(c: Column) -> Column:

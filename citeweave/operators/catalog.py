@@ -48,13 +48,15 @@ SAME_DOI, SAME_TITLE = 20, 50
 def best_exact(citations: DataFrame, records: DataFrame) -> DataFrame:
     """(citation_id, db, record_id, match_type, confidence): the first catalog in db_priority with any hit, and in it id, DOI, title.
 
-    citations: citation_id, db_priority, run_exact_match, arxiv_id, doi, title, authors, year. records: candidate columns.
+    citations: citation_id, db_priority, run_exact_match, arxiv_id, doi, title, authors, year, and title_normalized where it isn't
+    normalize_title's with all of HTML's character references. records: candidate columns.
     Each of the three joins is on a bare normalised key, of which a catalog gives its first records only, so that a title that
     many records have doesn't multiply with the citations that have it. The choice is one group-wise minimum.
     """
+    title = F.col("title_normalized") if "title_normalized" in citations.columns else T.normalize_title(F.col("title"))
     c = citations.where("run_exact_match").select(
         "citation_id", "db_priority", F.col("authors").alias("c_authors"), F.col("year").alias("c_year"), "arxiv_id",
-        T.nonempty(T.normalize_doi(F.col("doi"))).alias("k_doi"), T.nonempty(T.normalize_title(F.col("title"))).alias("k_title"),
+        T.nonempty(T.normalize_doi(F.col("doi"))).alias("k_doi"), T.nonempty(title).alias("k_title"),
     )
     r = records.select("db", "record_id", F.col("authors").alias("r_authors"), F.col("year").alias("r_year"), T.nonempty(T.normalize_doi(F.col("doi"))).alias("r_doi"), T.nonempty(F.col("title_normalized")).alias("r_title"))
 

@@ -89,3 +89,10 @@ def test_stream_keeps_the_latest(spark, tmp_path):
     assert step("a", [(1, 1, "a"), (2, 5, "b"), (1, 2, "c")]) == [(1, 2, "c"), (2, 5, "b")]
     assert step("b", [(1, 1, "old"), (2, 6, "new"), (3, 1, None)]) == [(1, 2, "c"), (2, 6, "new"), (3, 1, None)]
     assert len([p for p in (tmp_path / "out").iterdir() if p.name.startswith("v=")]) <= 2
+
+
+def test_a_cut_reference_is_text_where_the_references_are_known(spark):
+    from citeweave import registry
+
+    for title, known, every in [("Nets&amp;&amp", "netsamp", "nets"), ("A &lt;b&#39;&AMP c&eacute;", "abampceacute", "abc"), ("&amp;lt; x&am", "ltxam", "ltxam"), (None, "", "")]:
+        assert one(spark, T.normalize_title(F.lit(title).cast("string"), registry.ENTITIES)) == known and one(spark, T.normalize_title(F.lit(title).cast("string"))) == every
