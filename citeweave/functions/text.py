@@ -182,6 +182,11 @@ def _share(a: Column, b: Column) -> Column:
     return let(a, lambda x: F.when((F.size(x) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(x, b)) / F.size(x)))
 
 
+def author_keys(names: Column) -> Column:
+    """The distinct keys of names, sorted; none of a null."""
+    return F.coalesce(F.array_sort(F.array_distinct(F.filter(F.transform(names, author_key), lambda k: k != ""))), F.array().cast("array<string>"))
+
+
 def author_overlap(ref: Column, cand: Column) -> Column:
     """Share of the reference's author keys that the candidate has; 0 if either has none."""
     a, b = (F.array_distinct(F.filter(F.transform(x, author_key), lambda k: k != "")) for x in (ref, cand))

@@ -41,45 +41,53 @@ def candidates(records: DataFrame, db: str) -> DataFrame:
     )
 
 
-#: How many records of a catalog with the same DOI or title are compared, in the catalog's order.
-SAME_DOI, SAME_TITLE = 20, 50
+def _first_of_same_key(c: DataFrame, r: DataFrame) -> DataFrame:
+    """(kind_rank, k, c_year, c_keys, db, off, author, known, record_id): for each way in which citations ask for a key, a catalog's best record.
+
+    c: kind_rank, k, c_year, c_keys (distinct author keys). r: kind_rank, k, db, record_id, r_year, r_keys. The best record has the same year (not off), then
+    the most of the asked author keys (author: less their number), then an unknown year on either side, then the least id. All records
+    count. Those that agree in what may be asked count as one, the least; so do citations. They meet by author key and, for the same year, by year; '' stands
+    for any author or any year. A record that is met so may seem worse than it is, but is met again by the author and year that it shares.
+    """
+    any_or = lambda x: F.array_compact(F.array(F.lit(""), x.cast("string")))
+    authors = lambda keys: F.explode(F.concat(F.array(F.lit("")), keys)).alias("author_key")
+    same = ["kind_rank", "k", "author_key", "y"]
+    first = r.select("kind_rank", "k", "db", "record_id", "r_year", "r_keys", authors(F.col("r_keys"))).select(
+        "kind_rank", "k", "db", "record_id", "author_key", F.when(F.col("author_key") != "", F.col("r_keys")).otherwise(F.array().cast("array<string>")).alias("r_keys"),
+        F.col("r_year").isNotNull().alias("has_year"), F.explode(any_or(F.col("r_year"))).alias("y"),
+    ).groupBy(*same, "db", "r_keys", "has_year").agg(F.min("record_id").alias("record_id"))
+    asked = c.select("kind_rank", "k", "c_year", "c_keys").distinct().select("*", authors(F.col("c_keys"))).select("*", F.explode(any_or(F.col("c_year"))).alias("y"))
+    found = asked.join(first, same).select(
+        "kind_rank", "k", "c_year", "c_keys", "db", (F.col("y") == "").alias("off"), (-F.size(F.array_intersect("c_keys", "r_keys"))).alias("author"),
+        (F.col("c_year").isNotNull() & F.col("has_year")).alias("known"), "record_id",
+    )
+    return found.groupBy("kind_rank", "k", "c_year", "c_keys", "db").agg(F.min(F.struct("off", "author", "known", "record_id")).alias("m")).select("kind_rank", "k", "c_year", "c_keys", "db", "m.*")
 
 
 def best_exact(citations: DataFrame, records: DataFrame) -> DataFrame:
     """(citation_id, db, record_id, match_type, confidence): the first catalog in db_priority with any hit, and in it id, DOI, title.
 
     citations: citation_id, db_priority, run_exact_match, arxiv_id, doi, title, authors, year, and title_normalized where it isn't
-    normalize_title's with all of HTML's character references. records: candidate columns.
-    Each of the three joins is on a bare normalised key, of which a catalog gives its first records only, so that a title that
-    many records have doesn't multiply with the citations that have it. The choice is one group-wise minimum.
+    normalize_title's with all of HTML's character references. records: candidate columns. All records with a citation's DOI or title are
+    compared; as only the best one for each way of asking is joined to the citations, a title that many records have doesn't multiply with the citations that have it.
     """
     title = F.col("title_normalized") if "title_normalized" in citations.columns else T.normalize_title(F.col("title"))
-    c = citations.where("run_exact_match").select(
-        "citation_id", "db_priority", F.col("authors").alias("c_authors"), F.col("year").alias("c_year"), "arxiv_id",
-        T.nonempty(T.normalize_doi(F.col("doi"))).alias("k_doi"), T.nonempty(title).alias("k_title"),
+    keys = lambda doi, title: F.inline(F.array(*(F.struct(F.lit(n).alias("kind_rank"), T.nonempty(x).alias("k")) for n, x in ((2, T.normalize_doi(doi)), (3, title)))))
+    c = citations.where("run_exact_match").select("citation_id", "db_priority", F.col("year").alias("c_year"), T.author_keys(F.col("authors")).alias("c_keys"), keys(F.col("doi"), title)).where("k is not null")
+    r = records.select("db", "record_id", F.col("year").alias("r_year"), T.author_keys(F.col("authors")).alias("r_keys"), keys(F.col("doi"), F.col("title_normalized"))).where("k is not null")
+    best = _first_of_same_key(c, r).withColumnsRenamed({x: f"b_{x}" for x in ("kind_rank", "k", "c_keys", "c_year")})
+    equal = [F.col(x) == F.col(f"b_{x}") for x in ("kind_rank", "k", "c_keys")]
+    by_key = c.join(best, [*equal, F.col("c_year").eqNullSafe(F.col("b_c_year"))]).select("citation_id", "db_priority", "db", "kind_rank", "off", "record_id")
+    ids = citations.where("run_exact_match").select("citation_id", "db_priority", "arxiv_id")
+    by_id = ids.join(records.where("db = 'arxiv'").select("db", "record_id"), F.col("arxiv_id") == F.col("record_id"))
+    every = by_key.unionByName(by_id.select("citation_id", "db_priority", "db", F.lit(1).alias("kind_rank"), F.lit(False).alias("off"), "record_id"))
+    every = every.withColumn("db_rank", F.array_position("db_priority", F.col("db"))).where("db_rank > 0")
+    kind, same_year = F.col("kind_rank"), ~F.col("off")
+    every = every.select(
+        "citation_id", "db_rank", "kind_rank", "off", "record_id", "db", F.when(kind == 1, "arxiv_id_exact").when(kind == 2, "doi_exact").when(same_year, "title_year_exact").otherwise("title_exact").alias("match_type"),
+        F.when(kind < 3, 0.99).when(same_year, 0.93).otherwise(0.88).alias("confidence"),
     )
-    r = records.select("db", "record_id", F.col("authors").alias("r_authors"), F.col("year").alias("r_year"), T.nonempty(T.normalize_doi(F.col("doi"))).alias("r_doi"), T.nonempty(F.col("title_normalized")).alias("r_title"))
-
-    def first(key: str, most: int) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy("db", key).orderBy("record_id"))
-        return r.where(F.col(key).isNotNull()).withColumn("place", place).where(F.col("place") <= most)
-
-    same_year = F.col("c_year") == F.col("r_year")
-    hits = [
-        (c.join(r.where("db = 'arxiv'"), F.col("arxiv_id") == F.col("record_id")), F.lit(1), F.lit("arxiv_id_exact"), 0.99),
-        (c.join(first("r_doi", SAME_DOI), F.col("k_doi") == F.col("r_doi")), F.lit(2), F.lit("doi_exact"), 0.99),
-        (c.join(first("r_title", SAME_TITLE), F.col("k_title") == F.col("r_title")), F.lit(3), F.when(same_year, "title_year_exact").otherwise("title_exact"), None),
-    ]
-    parts = []
-    for joined, rank, kind, confidence in hits:
-        score = F.lit(confidence) if confidence else F.when(same_year, 0.93).otherwise(0.88)
-        parts.append(joined.select(
-            "citation_id", F.array_position("db_priority", F.col("db")).alias("db_rank"), rank.alias("kind_rank"), (~F.coalesce(same_year, F.lit(False))).alias("off"),
-            (-T.author_overlap(F.col("c_authors"), F.col("r_authors"))).alias("author"), (F.col("c_year").isNotNull() & F.col("r_year").isNotNull()).alias("known"),
-            "record_id", "db", kind.alias("match_type"), score.alias("confidence"),
-        ))
-    every = parts[0].unionAll(parts[1]).unionAll(parts[2]).where("db_rank > 0")
-    order = F.struct("db_rank", "kind_rank", "off", "author", "known", "record_id")
+    order = F.struct("db_rank", "kind_rank", "off", "record_id")
     return every.groupBy("citation_id").agg(F.min_by(F.struct("db", "record_id", "match_type", "confidence"), order).alias("x")).select("citation_id", "x.*")
 
 

@@ -96,3 +96,31 @@ def test_a_cut_reference_is_text_where_the_references_are_known(spark):
 
     for title, known, every in [("Nets&amp;&amp", "netsamp", "nets"), ("A &lt;b&#39;&AMP c&eacute;", "abampceacute", "abc"), ("&amp;lt; x&am", "ltxam", "ltxam"), (None, "", "")]:
         assert one(spark, T.normalize_title(F.lit(title).cast("string"), registry.ENTITIES)) == known and one(spark, T.normalize_title(F.lit(title).cast("string"))) == every
+
+
+def test_the_exact_search_is_that_of_all_pairs(spark):
+    """Years and authors that are unknown, several authors, and keys that all have: what comparing each citation with each record gives."""
+    import random
+
+    from citeweave.operators.catalog import best_exact
+
+    rng = random.Random(5)
+    names = lambda: rng.choice([None, [], *(rng.sample([f"{x} {x}" for x in "ABCDEF"], rng.randint(1, 4)) for _ in range(6))])
+    year, doi, title = (lambda: rng.choice([None, 2000, 2001, 2002])), (lambda: rng.choice([None, "", "10.1/a"])), (lambda: rng.choice(["One", "one!", "Two", "", None]))
+    records = [(rng.choice(["arxiv", "dblp", "openalex"]), f"r{k}", names(), year(), doi() if k % 9 == 0 else None, title()) for k in range(150)]
+    cites = [(k, rng.sample(["arxiv", "dblp", "openalex"], rng.randint(0, 3)), k % 11 > 0, f"r{k}" if k % 7 == 0 else None, doi() if k % 4 == 0 else None, title(), names(), year()) for k in range(120)]
+    r = spark.createDataFrame(records, "db string, record_id string, authors array<string>, year int, doi string, title string").withColumn("title_normalized", T.normalize_title(F.col("title")))
+    c = spark.createDataFrame(cites, "citation_id int, db_priority array<string>, run_exact_match boolean, arxiv_id string, doi string, title string, authors array<string>, year int")
+    plain = lambda x: "".join(ch for ch in (x or "").lower() if ch.isalnum())
+
+    def best(priority, arxiv_id, doi, title, authors, year):
+        for db in priority:
+            mine = [x for x in records if x[0] == db]
+            for kind, hits in (("arxiv_id_exact", [x for x in mine if db == "arxiv" and x[1] == arxiv_id]), ("doi_exact", [x for x in mine if doi and x[4] == doi]), (None, [x for x in mine if plain(title) and plain(x[5]) == plain(title)])):
+                if hits:
+                    x = min(hits, key=lambda x: (year is None or x[3] != year, -len({*(authors or ())} & {*(x[2] or ())}), year is not None and x[3] is not None, x[1]))
+                    return db, x[1], kind or ("title_year_exact" if year is not None and x[3] == year else "title_exact")
+        return None
+
+    expected = {k: found for k, priority, run, *rest in cites if run and (found := best(priority, *rest))}
+    assert len(expected) > 50 and {x.citation_id: (x.db, x.record_id, x.match_type) for x in best_exact(c, r).collect()} == expected
