@@ -199,8 +199,9 @@ def overlap_ratio(a: Column, b: Column) -> Column:
 
 
 def split_sentences(c: Column) -> Column:
-    pieces = F.split(normalize_space(c), r"(?<=[.!?])\s+(?=[A-Z\[])|(?<=\])\s+(?=[A-Z])")
-    return F.filter(F.transform(pieces, F.trim), lambda x: x != "")
+    """No sentence has white space at its ends. The seams become line breaks, which a text of normal space has none of: split would compile a longer pattern for each row."""
+    marked = F.regexp_replace(normalize_space(c), r"(?<=[.!?]) (?=[A-Z\[])|(?<=\]) (?=[A-Z])", "\n")
+    return F.array_remove(F.split(marked, "\n"), "")
 
 
 def split_sections(c: Column) -> Column:
@@ -216,20 +217,21 @@ def split_sections(c: Column) -> Column:
 
 def citation_ids(sentence: Column) -> Column:
     """Sorted distinct numbers of all markers such as [1, 3-5]."""
-    inner = F.regexp_extract_all(_text(sentence), F.lit(r"\[([0-9,\-–—\s]+)\]"), F.lit(1))
-    tokens = F.flatten(F.transform(inner, lambda x: F.split(F.regexp_replace(x, "[–—]", "-"), ",")))
+    inner = F.array_join(F.regexp_extract_all(_text(sentence), F.lit(r"\[([0-9,\-–—\s]+)\]"), F.lit(1)), ",")
+    tokens = F.regexp_extract_all(F.translate(inner, "–—", "--"), F.lit(r"(?:^|(?<=,))\s*([0-9]+\s*(?:-\s*[0-9]+)?)\s*(?=,|\z)"), F.lit(1))
 
     def numbers(t: Column) -> Column:
-        ends = F.regexp_extract_all(F.regexp_extract(t, r"^\s*[0-9]+\s*(?:-\s*[0-9]+\s*)?$", 0), F.lit("[0-9]+"), F.lit(0))
-        ends = F.transform(ends, lambda x: x.try_cast("int"))
+        a, b = (F.substring_index(t, "-", k).try_cast("int") for k in (1, -1))
+        b = F.coalesce(b, a)
+        return F.when(a <= b, F.sequence(a, F.greatest(a, b))).otherwise(F.array().cast("array<int>"))
 
-        def span(e: Column) -> Column:
-            a, b = F.get(e, F.lit(0)), F.coalesce(F.get(e, F.lit(1)), F.get(e, F.lit(0)))
-            return F.when(a.isNull() | (a > b), F.array().cast("array<int>")).otherwise(F.sequence(a, F.greatest(a, b)))
+    return F.sort_array(F.array_distinct(F.flatten(F.transform(tokens, numbers))))
 
-        return let(ends, span)
 
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(tokens, numbers))))
+def marked_sentences(s: str) -> Column:
+    """A generator of the places and sentences in a column of sentences, for posexplode's two names. Were the column itself exploded, Spark
+    would first drop rows without any, and split every text anew for it."""
+    return F.posexplode(F.array_remove(s, ""))
 
 
 def citation_contexts(docs: DataFrame, key: str, body: str, known: DataFrame) -> DataFrame:
@@ -237,7 +239,7 @@ def citation_contexts(docs: DataFrame, key: str, body: str, known: DataFrame) ->
 
     A context is a sentence and the sentences before, itself and after it; contexts are in the text's order, and equal ones stand once.
     """
-    rows = docs.select(key, split_sentences(F.col(body)).alias("s")).select(key, "s", F.posexplode("s").alias("p", "x")).where(F.contains("x", F.lit("[")))
+    rows = docs.select(key, split_sentences(F.col(body)).alias("s")).select(key, "s", marked_sentences("s").alias("p", "x")).where(F.contains("x", F.lit("[")))
     near = F.slice("s", F.greatest(F.col("p"), F.lit(1)), F.when(F.col("p") > 0, 3).otherwise(2))
     context = F.struct(F.col("x").alias("sentence"), near.alias("expanded_context"))
     rows = rows.select(key, F.explode(citation_ids(F.col("x"))).alias("citation_id"), "p", context.alias("c"))

@@ -124,3 +124,15 @@ def test_the_exact_search_is_that_of_all_pairs(spark):
 
     expected = {k: found for k, priority, run, *rest in cites if run and (found := best(priority, *rest))}
     assert len(expected) > 50 and {x.citation_id: (x.db, x.record_id, x.match_type) for x in best_exact(c, r).collect()} == expected
+
+
+def test_sentences_keep_their_digits_and_are_split_once(spark):
+    """transform gives a two-place trim the place as what to trim: sentences lost digits at their ends. Each text is split, and each marker read, once a row."""
+    from citeweave import registry
+
+    assert one(spark, T.split_sentences(F.lit("0 is [1]. Next is 1! [2] See 0"))) == ["0 is [1].", "Next is 1!", "[2]", "See 0"]
+    assert one(spark, T.split_sentences(F.lit(" \n"))) == [] and one(spark, T.split_sentences(F.lit(None).cast("string"))) == []
+    for given, made in [("[ 2 - 4 ,1,][x] [7]", [1, 2, 3, 4, 7]), ("[1-2-3, 5–6]", [5, 6]), ("[6-5, 99999999999, 03, 3]", [3]), ("none", [])]:
+        assert one(spark, T.citation_ids(F.lit(given))) == made
+    plan = registry.sentence_contexts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?U)") == 1 and plan.count("regexp_extract_all(x#") == 1
